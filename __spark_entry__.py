@@ -19,7 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabforge.operators import clean as CL
+from tabforge.operators import encode as EN
 from tabforge.operators import profile as P
+from tabforge.operators import scale as SC
+from tabforge.operators import split as SP
 from tabforge.sources.tables import TABLES, load_table
 
 SF_SMOKE = "/root/testdata/sf0.001"
@@ -321,6 +325,226 @@ def q_column_notes(spark, sf):
     return _round(P.column_notes(_t(spark, sf, "orders_dirty")))
 
 
+# ------------------------------------------------------------------ clean
+
+def _cols_sql(cols: list[str]) -> str:
+    return ", ".join(cols)
+
+
+@_register("drop_columns",
+           f"select {_cols_sql([c for c in LINEITEM_COLS if c not in ('l_partkey', 'l_suppkey')])} from lineitem")
+def q_drop_columns(spark, sf):
+    return CL.remove_columns(_t(spark, sf, "lineitem"), ["l_partkey", "l_suppkey", "no_such_column"])
+
+
+@_register("dropna_any",
+           f"select * from {_sql_from('lineitem_dirty')} where "
+           + " and ".join(f"{x} is not null" for x in DIRTY_COLS))
+def q_dropna_any(spark, sf):
+    return CL.drop_missing_rows(_t(spark, sf, "lineitem_dirty"))
+
+
+@_register("dropna_subset",
+           f"select * from {_sql_from('lineitem_dirty')} where qty is not null and discount is not null")
+def q_dropna_subset(spark, sf):
+    return CL.drop_missing_rows(_t(spark, sf, "lineitem_dirty"), ["qty", "discount", "no_such_column"])
+
+
+@_register("drop_missing_columns",
+           f"select {_cols_sql([c for c in DIRTY_COLS if c not in ('qty', 'discount', 'returnflag')])} "
+           f"from {_sql_from('lineitem_dirty')}")
+def q_drop_missing_columns(spark, sf):
+    return CL.drop_missing_columns(_t(spark, sf, "lineitem_dirty"))
+
+
+@_register("drop_duplicates", f"select distinct {_cols_sql(FLAG_COLS)} from lineitem")
+def q_drop_duplicates(spark, sf):
+    return CL.drop_duplicates(_t(spark, sf, "lineitem_flags"))
+
+
+def _impute_sql(fill: dict[str, str]) -> str:
+    src = _sql_from("lineitem_dirty")
+    sel = []
+    for x in DIRTY_COLS:
+        if x in fill:
+            sel.append(f"round(coalesce({x}, (select {fill[x].format(x=x)} from {src})), {ND}) as {x}")
+        elif x == "l_extendedprice" or x == "l_tax":
+            sel.append(f"round({x}, {ND}) as {x}")
+        else:
+            sel.append(x)
+    return f"select {', '.join(sel)} from {src}"
+
+
+@_register("impute_mean", _impute_sql({"qty": "avg({x})", "discount": "avg({x})"}))
+def q_impute_mean(spark, sf):
+    return _round(CL.impute(_t(spark, sf, "lineitem_dirty"), "mean", ["qty", "discount"]))
+
+
+@_register("impute_median", _impute_sql({"qty": "quantile_cont({x}, 0.5)", "discount": "quantile_cont({x}, 0.5)"}))
+def q_impute_median(spark, sf):
+    return _round(CL.impute(_t(spark, sf, "lineitem_dirty"), "median", ["qty", "discount"]))
+
+
+@_register("impute_mode",
+           f"select o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, {ND}) as o_totalprice, "
+           f"coalesce(prio, (select prio from {_sql_from('orders_dirty')} where prio is not null "
+           f"group by prio order by count(*) desc, prio limit 1)) as prio, o_orderdate "
+           f"from {_sql_from('orders_dirty')}")
+def q_impute_mode(spark, sf):
+    return _round(CL.impute(_t(spark, sf, "orders_dirty"), "mode", ["prio"]))
+
+
+def _impute_map_sql() -> str:
+    src = _sql_from("lineitem_dirty")
+    return (f"select l_orderkey, l_partkey, l_linenumber, "
+            f"round(coalesce(qty, (select quantile_cont(qty, 0.5) from {src})), {ND}) as qty, "
+            f"round(l_extendedprice, {ND}) as l_extendedprice, "
+            f"round(coalesce(discount, (select avg(discount) from {src})), {ND}) as discount, "
+            f"round(l_tax, {ND}) as l_tax, "
+            f"coalesce(returnflag, (select returnflag from {src} where returnflag is not null "
+            f"group by returnflag order by count(*) desc, returnflag limit 1)) as returnflag, "
+            f"l_linestatus, l_shipdate from {src}")
+
+
+@_register("impute_strategy_map", _impute_map_sql())
+def q_impute_strategy_map(spark, sf):
+    plan = {"qty": "median", "discount": "mean", "returnflag": "mode", "no_such_column": "mean",
+            "l_linestatus": "mean"}  # mean on a string column is skipped, as in the reference
+    return _round(CL.impute(_t(spark, sf, "lineitem_dirty"), plan))
+
+
+@_register("impute_drop", f"select * from {_sql_from('lineitem_dirty')} where returnflag is not null")
+def q_impute_drop(spark, sf):
+    return CL.impute(_t(spark, sf, "lineitem_dirty"), {"returnflag": "drop"})
+
+
+# ------------------------------------------------------------------ encode
+
+def _label_sql() -> str:
+    src = _sql_from("orders_dirty")
+    def codes(x):
+        return (f"(select v, dense_rank() over (order by v) - 1 as code from "
+                f"(select distinct coalesce(cast({x} as varchar), 'nan') as v from {src}))")
+    return (f"select d.o_orderkey, d.o_custkey, a.code as o_orderstatus, round(d.o_totalprice, {ND}) as o_totalprice, "
+            f"b.code as prio, d.o_orderdate from {src.replace(' as orders_dirty', ' as d')} "
+            f"join {codes('o_orderstatus')} a on coalesce(cast(d.o_orderstatus as varchar), 'nan') = a.v "
+            f"join {codes('prio')} b on coalesce(cast(d.prio as varchar), 'nan') = b.v")
+
+
+@_register("label_encode", _label_sql())
+def q_label_encode(spark, sf):
+    return _round(EN.label_encode(_t(spark, sf, "orders_dirty"), ["o_orderstatus", "prio"]))
+
+
+# category lists of part.p_type and part.p_brand (fixed by the data generator)
+P_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+P_BRANDS = sorted(f"Brand#{i}" for i in range(1, 26))
+
+
+def _onehot_sql() -> str:
+    dummies = [f"case when p_type = {_lit(v)} then 1 else 0 end as {_qi('p_type_' + v)}" for v in P_TYPES[1:]]
+    dummies += [f"case when p_brand = {_lit(v)} then 1 else 0 end as {_qi('p_brand_' + v)}" for v in P_BRANDS[1:]]
+    return (f"select p_partkey, p_name, p_size, round(p_retailprice, {ND}) as p_retailprice, "
+            f"{', '.join(dummies)} from part")
+
+
+@_register("onehot_encode", _onehot_sql())
+def q_onehot_encode(spark, sf):
+    return _round(EN.onehot_encode(_t(spark, sf, "part"), ["p_type", "p_brand"]))
+
+
+@_register("onehot_guard", _union([
+    f"select {_lit(x)} as \"column\", count(distinct {x}) as \"unique\", count(distinct {x}) <= 50 as allowed "
+    f"from customer" for x in ["c_name", "c_mktsegment", "c_nationkey"]]))
+def q_onehot_guard(spark, sf):
+    return EN.cardinality(_t(spark, sf, "customer"), ["c_name", "c_mktsegment", "c_nationkey"])
+
+
+# ------------------------------------------------------------------ scale
+
+SCALED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "flag", "k"]
+
+
+def _scale_sql(center: str, spread: str) -> str:
+    src = _sql_from("lineitem_scale")
+    stats = ", ".join(f"{center.format(x=x)} as c_{x}, coalesce(nullif({spread.format(x=x)}, 0), 1) as s_{x}"
+                      for x in SCALED)
+    sel = ", ".join(f"round((cast({x} as double) - st.c_{x}) / st.s_{x}, {ND}) as {x}" for x in SCALED)
+    return (f"select t.l_orderkey, t.l_linenumber, {sel} from {src.replace(' as lineitem_scale', ' as t')}, "
+            f"(select {stats} from {src}) st")
+
+
+@_register("scale_standard", _scale_sql("avg({x})", "stddev_pop({x})"))
+def q_scale_standard(spark, sf):
+    return _round(SC.scale(_t(spark, sf, "lineitem_scale"), "StandardScaler", SCALED))
+
+
+@_register("scale_minmax", _scale_sql("min({x})", "max({x}) - min({x})"))
+def q_scale_minmax(spark, sf):
+    return _round(SC.scale(_t(spark, sf, "lineitem_scale"), "MinMaxScaler", SCALED))
+
+
+@_register("scale_robust", _scale_sql("quantile_cont({x}, 0.5)",
+                                      "quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25)"))
+def q_scale_robust(spark, sf):
+    return _round(SC.scale(_t(spark, sf, "lineitem_scale"), "RobustScaler", SCALED))
+
+
+@_register("scale_params", _union([
+    f"select {_lit(x)} as \"column\", round(avg({x}), {ND}) as center, "
+    f"round(coalesce(nullif(stddev_pop({x}), 0), 1), {ND}) as scale from {_sql_from('lineitem_scale')}"
+    for x in SCALED]))
+def q_scale_params(spark, sf):
+    return _round(SC.fit_scaler(_t(spark, sf, "lineitem_scale"), "standard", SCALED).params_df(spark))
+
+
+# ------------------------------------------------------------------ task, split
+
+TASK_TARGETS = ["l_returnflag", "l_linenumber", "l_quantity", "l_extendedprice", "l_orderkey"]
+
+
+def _task_sql() -> str:
+    types = {"l_returnflag": "string", "l_linenumber": "int", "l_quantity": "double",
+             "l_extendedprice": "double", "l_orderkey": "bigint"}
+    parts = []
+    for x in TASK_TARGETS:
+        t = types[x]
+        if t == "string":
+            rule = "'classification'"
+        else:
+            small = "true" if t in ("int", "bigint") else "false"
+            rule = (f"case when {small} and count(distinct {x}) <= 20 then 'classification' "
+                    f"when count(distinct {x}) / count(*) < 0.05 then 'classification' else 'regression' end")
+        parts.append(f"select {_lit(x)} as target, {_lit(t)} as dtype, count(distinct {x}) as n_unique, "
+                     f"count(*) as n_rows, {rule} as task_type from lineitem")
+    return _union(parts)
+
+
+@_register("task_type", _task_sql())
+def q_task_type(spark, sf):
+    df = _t(spark, sf, "lineitem")
+    out = None
+    for x in TASK_TARGETS:
+        one = SP.task_stats(df, x)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@_register("train_test_split")
+def q_train_test_split(spark, sf):
+    return SP.mark_split(_t(spark, sf, "lineitem"), 0.2, 42)
+
+
+@_register("kfold")
+def q_kfold(spark, sf):
+    return SP.assign_folds(_t(spark, sf, "lineitem"), 5, 42)
+
+
+@_register("kfold_stratified")
+def q_kfold_stratified(spark, sf):
+    return SP.assign_folds(_t(spark, sf, "lineitem"), 5, 42, stratify="l_returnflag")
+
+
 # ------------------------------------------------------------------ contract
 
 def entry(spark: SparkSession) -> DataFrame:
