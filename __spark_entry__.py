@@ -19,6 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabforge.functions import insights as IN
+from tabforge.functions import metrics as ME
+from tabforge.operators import balance as BA
 from tabforge.operators import clean as CL
 from tabforge.operators import encode as EN
 from tabforge.operators import profile as P
@@ -51,12 +54,25 @@ LINEITEM_SCALE = [
     "cast(5.0 as double) as k",
 ]
 FLAG_COLS = ["l_returnflag", "l_linestatus", "l_linenumber"]
+# deterministic rule predictions, so metric operators are checked without a model
+LINEITEM_RULE = [
+    "l_orderkey", "l_linenumber",
+    "case when l_returnflag = 'R' then 1 else 0 end as label",
+    "case when l_discount > 0.05 then 1 else 0 end as prediction",
+    "l_discount as score",
+    "l_orderkey % 5 as fold",
+    "l_returnflag",
+    "case when l_discount > 0.06 then 'R' when l_tax > 0.04 then 'A' else 'N' end as mc_prediction",
+    "l_tax as score_a", "1.0 - l_discount as score_n", "l_discount as score_r",
+    "l_extendedprice", "l_quantity * 1500.0 as price_pred",
+]
 
 DERIVED = {
     "lineitem_dirty": ("lineitem", LINEITEM_DIRTY),
     "orders_dirty": ("orders", ORDERS_DIRTY),
     "lineitem_scale": ("lineitem", LINEITEM_SCALE),
     "lineitem_flags": ("lineitem", FLAG_COLS),
+    "lineitem_rule": ("lineitem", LINEITEM_RULE),
 }
 
 
@@ -545,6 +561,179 @@ def q_kfold_stratified(spark, sf):
     return SP.assign_folds(_t(spark, sf, "lineitem"), 5, 42, stratify="l_returnflag")
 
 
+# ------------------------------------------------------------------ metrics
+
+RULE = _sql_from("lineitem_rule")
+
+
+@_register("confusion_matrix",
+           f"select l_returnflag as label, mc_prediction as prediction, count(*) as \"count\" "
+           f"from {RULE} group by 1, 2")
+def q_confusion_matrix(spark, sf):
+    return ME.confusion(_t(spark, sf, "lineitem_rule"), "l_returnflag", "mc_prediction")
+
+
+def _clf_sql(label: str, pred: str) -> str:
+    return (f"with cm as (select cast({label} as varchar) as y, cast({pred} as varchar) as p, count(*) as cnt "
+            f"from {RULE} group by 1, 2), "
+            f"cls as (select y as cls from cm union select p from cm), "
+            f"pc as (select cls, "
+            f"coalesce((select sum(cnt) from cm where y = cls and p = cls), 0) as tp, "
+            f"coalesce((select sum(cnt) from cm where y = cls), 0) as support, "
+            f"coalesce((select sum(cnt) from cm where p = cls), 0) as predicted from cls), "
+            f"m as (select *, case when predicted = 0 then 0 else tp / predicted end as pr, "
+            f"case when support = 0 then 0 else tp / support end as rc from pc), "
+            f"f as (select *, case when pr + rc = 0 then 0 else 2 * pr * rc / (pr + rc) end as f1 from m) "
+            f"select cast(sum(support) as bigint) as n, round(sum(tp) / sum(support), {ND}) as accuracy, "
+            f"round(sum(f1 * support) / sum(support), {ND}) as weighted_f1, round(avg(f1), {ND}) as macro_f1 from f")
+
+
+@_register("accuracy", _clf_sql("label", "prediction"))
+def q_accuracy(spark, sf):
+    return _round(ME.classification_metrics(_t(spark, sf, "lineitem_rule"), "label", "prediction"))
+
+
+@_register("weighted_f1", _clf_sql("l_returnflag", "mc_prediction"))
+def q_weighted_f1(spark, sf):
+    return _round(ME.classification_metrics(_t(spark, sf, "lineitem_rule"), "l_returnflag", "mc_prediction"))
+
+
+@_register("regression_metrics",
+           f"select count(*) as n, round(avg((l_extendedprice - price_pred) ^ 2), 2) as mse, "
+           f"round(sqrt(avg((l_extendedprice - price_pred) ^ 2)), 4) as rmse, "
+           f"round(1 - sum((l_extendedprice - price_pred) ^ 2) / (var_pop(l_extendedprice) * count(*)), {ND}) as r2 "
+           f"from {RULE}")
+def q_regression_metrics(spark, sf):
+    m = ME.regression_metrics(_t(spark, sf, "lineitem_rule"), "l_extendedprice", "price_pred")
+    return m.select("n", F.round("mse", 2).alias("mse"), F.round("rmse", 4).alias("rmse"),
+                    F.round("r2", ND).alias("r2"))
+
+
+def _auc_sql(pos: str, score: str, src: str = RULE, group: str | None = None) -> str:
+    g = f"{group}, " if group else ""
+    part = f"partition by {group} " if group else ""
+    return (f"with s as (select {g}{score} as score, sum(case when {pos} then 1 else 0 end) as pos, "
+            f"sum(case when {pos} then 0 else 1 end) as neg from {src} where {score} is not null "
+            f"group by {g}{score}), "
+            f"c as (select *, coalesce(sum(neg) over ({part}order by score rows between unbounded preceding "
+            f"and 1 preceding), 0) as below from s) "
+            f"select {g}round(sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)), {ND}) as auc, "
+            f"cast(sum(pos) as bigint) as n_pos, cast(sum(neg) as bigint) as n_neg from c"
+            + (f" group by {group}" if group else ""))
+
+
+@_register("roc_auc_binary", _auc_sql("label = 1", "score"))
+def q_roc_auc_binary(spark, sf):
+    return _round(ME.roc_auc_binary(_t(spark, sf, "lineitem_rule"), "label", "score", 1))
+
+
+def _ovr_sql() -> str:
+    long = (f"(select l_returnflag as y, 'A' as cls, score_a as score from {RULE} union all "
+            f"select l_returnflag, 'N', score_n from {RULE} union all "
+            f"select l_returnflag, 'R', score_r from {RULE}) as lf")
+    per = _auc_sql("y = cls", "score", long, "cls")
+    return (f"with per as ({per}) select cls, auc from per union all "
+            f"select 'macro' as cls, round(avg(auc), {ND}) as auc from per")
+
+
+@_register("roc_auc_ovr", _ovr_sql())
+def q_roc_auc_ovr(spark, sf):
+    out = ME.roc_auc_ovr(_t(spark, sf, "lineitem_rule"), "l_returnflag",
+                         {"A": "score_a", "N": "score_n", "R": "score_r"})
+    # the macro row averages the unrounded class AUCs; round per class first, like the oracle
+    per = _round(out.where(F.col("cls") != "macro"))
+    return per.unionByName(per.agg(F.round(F.avg("auc"), ND).alias("auc")).select(F.lit("macro").alias("cls"), "auc"))
+
+
+@_register("roc_curve",
+           f"with s as (select score, sum(label) as pos, sum(1 - label) as neg from {RULE} group by score), "
+           f"c as (select score, sum(pos) over (order by score desc) as tp, sum(neg) over (order by score desc) as fp, "
+           f"sum(pos) over () as tot_p, sum(neg) over () as tot_n from s) "
+           f"select score as threshold, cast(tp as bigint) as tp, cast(fp as bigint) as fp, "
+           f"round(tp / tot_p, {ND}) as tpr, round(fp / tot_n, {ND}) as fpr from c")
+def q_roc_curve(spark, sf):
+    return _round(ME.roc_curve(_t(spark, sf, "lineitem_rule"), "label", "score", 1))
+
+
+FOLD_SCORES_SQL = (f"select fold, avg(case when label = prediction then 1.0 else 0.0 end) as score "
+                   f"from {RULE} group by fold")
+
+
+@_register("fold_scores", f"select fold, round(score, {ND}) as score from ({FOLD_SCORES_SQL})")
+def q_fold_scores(spark, sf):
+    return _round(ME.fold_scores(_t(spark, sf, "lineitem_rule"), "fold", "label", "prediction", "accuracy"))
+
+
+@_register("cv_summary",
+           f"select count(score) as n_folds, round(avg(score), 4) as cv_mean, round(stddev_pop(score), {ND}) as cv_std, "
+           f"round(min(score), {ND}) as cv_min, round(max(score), {ND}) as cv_max from ({FOLD_SCORES_SQL})")
+def q_cv_summary(spark, sf):
+    s = ME.fold_scores(_t(spark, sf, "lineitem_rule"), "fold", "label", "prediction", "accuracy")
+    return _round(ME.cv_summary(s))
+
+
+@_register("fold_deviation",
+           f"select fold, round(score, {ND}) as score, round(score - avg(score) over (), {ND}) as deviation "
+           f"from ({FOLD_SCORES_SQL})")
+def q_fold_deviation(spark, sf):
+    s = ME.fold_scores(_t(spark, sf, "lineitem_rule"), "fold", "label", "prediction", "accuracy")
+    return _round(ME.fold_deviation(s))
+
+
+THRESHOLDS = [0.0, 0.02, 0.04, 0.06, 0.08, 0.1]
+
+
+def _insights_sql() -> str:
+    runs = ", ".join(f"(cast({t} as double))" for t in THRESHOLDS)
+    per = (f"select r.t as run, fold, sum(case when label = (case when score > r.t then 1 else 0 end) "
+           f"then 1.0 else 0.0 end) as hits, count(*) as n from {RULE} join (values {runs}) as r(t) on true "
+           f"group by 1, 2")
+    agg = (f"select run, sum(case when fold <> 0 then hits end) / sum(case when fold <> 0 then n end) as train_score, "
+           f"sum(case when fold = 0 then hits end) / sum(case when fold = 0 then n end) as test_score, "
+           f"avg(case when fold <> 0 then hits / n end) as cv_mean, "
+           f"stddev_pop(case when fold <> 0 then hits / n end) as cv_std from ({per}) group by run")
+    t, r, s = "test_score", "train_score", "cv_std"
+    return (f"select round(run, {ND}) as run, round({r}, {ND}) as train_score, round({t}, {ND}) as test_score, "
+            f"round(cv_mean, {ND}) as cv_mean, round({s}, {ND}) as cv_std, "
+            f"case when {t} >= 0.9 then 'Excellent Performance' when {t} >= 0.8 then 'Good Performance' "
+            f"when {t} >= 0.7 then 'Fair Performance' else 'Needs Improvement' end as performance, "
+            f"case when {r} - {t} > 0.1 then 'Possible Overfitting' when {r} - {t} < 0.05 then 'Well-Balanced Model' "
+            f"end as fit, "
+            f"case when {s} < 0.05 then 'Consistent Cross-Validation' when {s} > 0.1 then 'Variable Performance' "
+            f"end as cv_stability, "
+            f"case when {t} >= 0.9 then 'Excellent' when {t} >= 0.8 then 'Good' when {t} >= 0.7 then 'Fair' "
+            f"when {t} >= 0.6 then 'Warning' else 'Poor' end as grade from ({agg})")
+
+
+@_register("insights", _insights_sql())
+def q_insights(spark, sf):
+    df = _t(spark, sf, "lineitem_rule")
+    runs = df.select("label", "fold", "score", F.explode(F.array(*[F.lit(t) for t in THRESHOLDS])).alias("run"))
+    runs = runs.withColumn("pred", (F.col("score") > F.col("run")).cast("int"))
+    scores = ME.run_scores(runs, "run", "fold", "label", "pred", test_fold=0)
+    return _round(IN.insights(scores))
+
+
+# ------------------------------------------------------------------ balance
+
+@_register("class_weights",
+           f"select l_returnflag, count(*) as \"count\", "
+           f"round(sum(count(*)) over () / (count(*) over () * count(*)), {ND}) as weight "
+           f"from lineitem group by l_returnflag")
+def q_class_weights(spark, sf):
+    return _round(BA.class_weights(_t(spark, sf, "lineitem"), "l_returnflag"))
+
+
+@_register("undersample")
+def q_undersample(spark, sf):
+    return BA.undersample(_t(spark, sf, "lineitem"), "l_returnflag", seed=42)
+
+
+@_register("oversample")
+def q_oversample(spark, sf):
+    return BA.oversample(_t(spark, sf, "lineitem"), "l_returnflag", seed=42)
+
+
 # ------------------------------------------------------------------ contract
 
 def entry(spark: SparkSession) -> DataFrame:

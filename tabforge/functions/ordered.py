@@ -12,8 +12,12 @@ helpers here never do it on data-sized inputs:
   local running sum, and a table with one row per (range partition, group),
   bounded by the partition count, supplies the offsets of earlier partitions.
 
-Both branches read the same range exchange (ReusedExchange), so every row
-sees the offsets of the very partitioning it was placed in.
+The range-partitioned table is written once with ``checkpoint()`` (to the
+cluster's ``spark.checkpoint.dir``) and both branches read that copy. Range
+bounds come from sampling, and column pruning can give the two branches
+different exchanges, so without the stored partition id a row could be
+placed by one sample and offset by another. The checkpoint also cuts the
+lineage, so a lost executor does not re-run the sampling.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabforge.session import default_partitions
+from tabforge.session import default_partitions, ensure_checkpoint_dir
 
 _PID = "__pid"
 
@@ -48,6 +52,7 @@ def prefix_sums(df: DataFrame, group: Sequence[str] | str | None,
     n = num_partitions or default_partitions(df.sparkSession)
     ranged = df.repartitionByRange(n, *[F.col(g) for g in group], *order_exprs) \
         .withColumn(_PID, F.spark_partition_id())
+    ranged = materialize(ranged)
 
     w_local = (Window.partitionBy(_PID, *group).orderBy(*order_exprs)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -67,6 +72,14 @@ def prefix_sums(df: DataFrame, group: Sequence[str] | str | None,
         (F.col(f"__lc_{v}") + F.col(f"__off_{v}")).alias(f"{prefix}{v}") for v in values])
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into ``spark.checkpoint.dir`` (never a local checkpoint)."""
+    if ensure_checkpoint_dir(df.sparkSession) is None:
+        raise RuntimeError("spark.checkpoint.dir is not set; ordered statistics need a shared "
+                           "checkpoint folder on a cluster")
+    return df.checkpoint(eager=True)
+
+
 def quantiles_from_counts(counts: DataFrame, group: str, value: str, cnt: str,
                           probs: Sequence[float],
                           num_partitions: int | None = None) -> DataFrame:

@@ -110,7 +110,8 @@ def assign_folds(df: DataFrame, k: int = DEFAULT_FOLDS, seed: int = DEFAULT_SEED
     keyed = df.withColumn("__h", h)
     counts = keyed.groupBy(C.c(stratify).alias("__y"), "__h").agg(F.count(F.lit(1)).alias("__c"))
     ranked = prefix_sums(counts, "__y", ["__h"], ["__c"], prefix="__cum")
-    ranked = ranked.select("__y", "__h", F.pmod(F.col("__cum__c") - F.col("__c"), F.lit(k)).cast("int").alias(name))
-    joined = keyed.join(ranked, (keyed["__h"] == ranked["__h"])
-                        & C.c(stratify).eqNullSafe(ranked["__y"]), "inner")
-    return joined.select(*[keyed[C.q(n)] for n in df.columns], ranked[name])
+    ranked = ranked.select(F.col("__y").alias("__y2"), F.col("__h").alias("__h2"),
+                           F.pmod(F.col("__cum__c") - F.col("__c"), F.lit(k)).cast("int").alias(name))
+    joined = keyed.join(ranked, (F.col("__h") == F.col("__h2"))
+                        & C.c(stratify).eqNullSafe(F.col("__y2")), "inner")
+    return joined.select(*[C.c(n) for n in df.columns], F.col(name))
