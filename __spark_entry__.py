@@ -27,6 +27,7 @@ from tabforge.operators import encode as EN
 from tabforge.operators import profile as P
 from tabforge.operators import scale as SC
 from tabforge.operators import split as SP
+from tabforge.plans import training as TR
 from tabforge.sources.tables import TABLES, load_table
 
 SF_SMOKE = "/root/testdata/sf0.001"
@@ -734,6 +735,82 @@ def q_oversample(spark, sf):
     return BA.oversample(_t(spark, sf, "lineitem"), "l_returnflag", seed=42)
 
 
+# ------------------------------------------------------------------ models
+# Not expressible in SQL: rows-only checks. Small forests / few boosting
+# rounds keep the driver's run short; the full reference grids are the
+# defaults of tabforge.plans.models.HYPERPARAMETER_GRIDS.
+
+FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_linestatus"]
+
+
+def _clf_table(spark, sf, target_expr: str = "l_returnflag") -> DataFrame:
+    df = _t(spark, sf, "lineitem").selectExpr(*FEATURES, f"{target_expr} as target")
+    return EN.label_encode(df, ["l_linestatus"])
+
+
+def _reg_table(spark, sf) -> DataFrame:
+    return _t(spark, sf, "lineitem").selectExpr("l_quantity", "l_discount", "l_tax", "l_linenumber",
+                                                "l_extendedprice as target")
+
+
+@_register("train_rf_classifier")
+def q_train_rf_classifier(spark, sf):
+    r = TR.train(_clf_table(spark, sf), "target", "Random Forest",
+                 params={"n_estimators": 20, "max_depth": 5})
+    return r.record(spark)
+
+
+@_register("train_rf_regressor")
+def q_train_rf_regressor(spark, sf):
+    r = TR.train(_reg_table(spark, sf), "target", "Random Forest",
+                 params={"n_estimators": 20, "max_depth": 5})
+    return r.record(spark)
+
+
+@_register("train_gbt_classifier")
+def q_train_gbt_classifier(spark, sf):
+    df = _clf_table(spark, sf, "case when l_returnflag = 'R' then 1 else 0 end")
+    r = TR.train(df, "target", "XGBoost", params={"n_estimators": 20, "max_depth": 3}, use_cv=False)
+    return r.record(spark)
+
+
+@_register("train_gbt_multiclass")
+def q_train_gbt_multiclass(spark, sf):
+    r = TR.train(_clf_table(spark, sf), "target", "LightGBM",
+                 params={"n_estimators": 10, "max_depth": 3}, use_cv=False)
+    return r.record(spark)
+
+
+@_register("train_gbt_regressor")
+def q_train_gbt_regressor(spark, sf):
+    r = TR.train(_reg_table(spark, sf), "target", "XGBoost",
+                 params={"n_estimators": 20, "max_depth": 3, "learning_rate": 0.1}, use_cv=False)
+    return r.record(spark)
+
+
+@_register("grid_search")
+def q_grid_search(spark, sf):
+    r = TR.train(_clf_table(spark, sf), "target", "Random Forest", tuning="Grid Search",
+                 grid={"n_estimators": [10, 20], "max_depth": [3, 5], "min_samples_split": [2]},
+                 use_cv=False)
+    return r.search_table(spark)
+
+
+@_register("random_search")
+def q_random_search(spark, sf):
+    r = TR.train(_reg_table(spark, sf), "target", "XGBoost", tuning="Random Search", n_iter=3,
+                 grid={"n_estimators": [5, 10], "max_depth": [2, 3], "learning_rate": [0.1, 0.2]},
+                 use_cv=False)
+    return r.search_table(spark)
+
+
+@_register("feature_importance")
+def q_feature_importance(spark, sf):
+    r = TR.train(_clf_table(spark, sf), "target", "Random Forest",
+                 params={"n_estimators": 20, "max_depth": 5}, use_cv=False)
+    return r.importance(spark)
+
+
 # ------------------------------------------------------------------ contract
 
 def entry(spark: SparkSession) -> DataFrame:
