@@ -28,6 +28,10 @@ from tabforge.operators import profile as P
 from tabforge.operators import scale as SC
 from tabforge.operators import split as SP
 from tabforge.plans import training as TR
+from tabforge.plans import pipeline as WF
+from tabforge.session import ensure_checkpoint_dir
+from tabforge.sources import csv as CSV
+from tabforge.sources import store as ST
 from tabforge.sources.tables import TABLES, load_table
 
 SF_SMOKE = "/root/testdata/sf0.001"
@@ -811,6 +815,82 @@ def q_feature_importance(spark, sf):
     return r.importance(spark)
 
 
+# ------------------------------------------------------------------ sources (S1-S10), pipeline
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the session's checkpoint directory (shared storage
+    on a cluster; tests and local runs get a scratch folder)."""
+    import uuid
+    base = ensure_checkpoint_dir(spark)
+    if base is None:
+        raise RuntimeError("spark.checkpoint.dir is not set")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+CSV_COLS = [c for c in DIRTY_COLS if c != "l_shipdate"]
+
+
+@_register("csv_roundtrip",
+           f"select l_orderkey, l_partkey, cast(l_linenumber as bigint) as l_linenumber, qty, l_extendedprice, "
+           f"discount, l_tax, returnflag, l_linestatus from {_sql_from('lineitem_dirty')}")
+def q_csv_roundtrip(spark, sf):
+    path = _scratch(spark, "csv") + "/lineitem.csv"
+    ST.export_data(_t(spark, sf, "lineitem_dirty").select(*CSV_COLS), path, "csv")
+    return CSV.read_csv(spark, path)
+
+
+@_register("save_load_version", f"select * from {_sql_from('lineitem_dirty')}")
+def q_save_load_version(spark, sf):
+    base = _scratch(spark, "versions")
+    ST.save_version(_t(spark, sf, "lineitem_dirty"), base, "v1")
+    return ST.load_version(spark, base, "v1")
+
+
+@_register("head_sample",
+           f"select l_orderkey, l_partkey, l_linenumber, qty, l_extendedprice, discount, l_tax, returnflag, "
+           f"l_linestatus, l_shipdate from {_sql_from('lineitem_dirty')} "
+           f"order by {', '.join(c + ' nulls first' for c in DIRTY_COLS)} limit 5")
+def q_head_sample(spark, sf):
+    # a total order (every column) makes the five rows reproducible
+    return ST.head(_t(spark, sf, "lineitem_dirty"), 5, order_by=DIRTY_COLS)
+
+
+@_register("dataset_descriptor",
+           f"select 'v1' as id, count(*) as n_rows, 10 as n_cols from {_sql_from('lineitem_dirty')}")
+def q_dataset_descriptor(spark, sf):
+    return ST.describe_version(_t(spark, sf, "lineitem_dirty"), "v1").select("id", "n_rows", "n_cols")
+
+
+def _pipeline_sql() -> str:
+    src = _sql_from("lineitem_dirty")
+    t = (f"select l_orderkey, l_linenumber, coalesce(qty, (select quantile_cont(qty, 0.5) from {src})) as qty, "
+         f"l_extendedprice, discount, l_tax, returnflag, l_linestatus, l_shipdate from {src}")
+    return (f"with t as ({t}), s as (select min(qty) as a1, max(qty) as b1, min(l_extendedprice) as a2, "
+            f"max(l_extendedprice) as b2 from t) "
+            f"select l_orderkey, l_linenumber, round((qty - a1) / coalesce(nullif(b1 - a1, 0), 1), {ND}) as qty, "
+            f"round((l_extendedprice - a2) / coalesce(nullif(b2 - a2, 0), 1), {ND}) as l_extendedprice, "
+            f"round(discount, {ND}) as discount, round(l_tax, {ND}) as l_tax, returnflag, l_linestatus, l_shipdate "
+            f"from t, s")
+
+
+def _workflow(spark, sf) -> WF.Workflow:
+    w = WF.Workflow(_t(spark, sf, "lineitem_dirty"))
+    w.remove_columns(["l_partkey"])
+    w.handle_missing("median", ["qty"])
+    w.scale("MinMaxScaler", ["qty", "l_extendedprice"])
+    return w
+
+
+@_register("pipeline_result", _pipeline_sql())
+def q_pipeline_result(spark, sf):
+    return _round(_workflow(spark, sf).df)
+
+
+@_register("pipeline_log")
+def q_pipeline_log(spark, sf):
+    return _workflow(spark, sf).log_df(spark)
+
+
 # ------------------------------------------------------------------ contract
 
 def entry(spark: SparkSession) -> DataFrame:
