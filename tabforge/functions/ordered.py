@@ -8,9 +8,12 @@ helpers here never do it on data-sized inputs:
 * the input is first reduced to distinct keys with counts (map-side partial
   aggregation absorbs hot values: a value holding a third of all rows becomes
   one row per map task);
-* the distinct keys are range-partitioned, every range partition computes a
-  local running sum, and a table with one row per (range partition, group),
-  bounded by the partition count, supplies the offsets of earlier partitions.
+* for running sums over every key (:func:`prefix_sums`), the distinct keys
+  are range-partitioned, every range partition computes a local running sum,
+  and a table with one row per (range partition, group), bounded by the
+  partition count, supplies the offsets of earlier partitions;
+* for a few order statistics (:func:`exact_quantiles`) only the value
+  interval around each wanted rank is ever sorted.
 
 The range-partitioned table is written once with ``checkpoint()`` (to the
 cluster's ``spark.checkpoint.dir``) and both branches read that copy. Range
@@ -80,61 +83,111 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def quantiles_from_counts(counts: DataFrame, group: str, value: str, cnt: str,
-                          probs: Sequence[float],
-                          num_partitions: int | None = None) -> DataFrame:
-    """Exact linearly-interpolated quantiles from a (group, value, cnt) table.
-
-    Same definition as ``percentile`` / ``quantile_cont``: position
-    ``h = (n - 1) * p`` over the sorted values, result
-    ``x[floor h] + (h - floor h) * (x[ceil h] - x[floor h])``.
-    Returns ``(group, p, quantile)``.
-    """
-    counts = counts.where(F.col(value).isNotNull())
-    cum = prefix_sums(counts, group, [value], [cnt], num_partitions)
-    totals = counts.groupBy(group).agg(F.sum(cnt).alias("__n"))
-    # targets: (#groups x #probs x 2) rows, bounded by the schema width
-    targets = (totals
-               .select(group, "__n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-               .withColumn("__h", (F.col("__n") - 1) * F.col("p"))
-               .withColumn("__lo", F.floor("__h"))
-               .withColumn("__hi", F.ceil("__h"))
-               .select(group, "p", "__h", "__lo",
-                       F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("__lo").alias("rank")),
-                                         F.struct(F.lit(1).alias("side"), F.col("__hi").alias("rank"))))
-                       .alias("t"))
-               .select(F.col(group).alias("__g"), "p", "__h", "__lo", "t.side", "t.rank"))
-    hits = cum.join(
-        F.broadcast(targets),
-        (F.col(group) == F.col("__g"))
-        & (F.col("rank") >= F.col(f"cum_{cnt}") - F.col(cnt))
-        & (F.col("rank") < F.col(f"cum_{cnt}")))
-    picked = hits.groupBy(F.col("__g").alias(group), "p").agg(
-        F.first("__h").alias("__h"), F.first("__lo").alias("__lo"),
-        F.max(F.when(F.col("side") == 0, F.col(value).cast("double"))).alias("__x0"),
-        F.max(F.when(F.col("side") == 1, F.col(value).cast("double"))).alias("__x1"))
-    return picked.select(
-        group, "p",
-        F.when(F.col("__x0") == F.col("__x1"), F.col("__x0"))
-        .otherwise(F.col("__x0") + (F.col("__h") - F.col("__lo")) * (F.col("__x1") - F.col("__x0")))
-        .alias("quantile"))
+def _in_cell(v: Column, lo: float, hi: float) -> Column:
+    return v.isNotNull() & (v >= F.lit(lo)) & (v <= F.lit(hi))
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                    num_partitions: int | None = None) -> DataFrame:
-    """Exact quantiles for several numeric columns in one pass over ``df``.
+                    buckets: int = 1024, max_rows: int = 50_000, max_rounds: int = 8) -> DataFrame:
+    """Exact linearly-interpolated quantiles of several numeric columns.
 
+    Same definition as ``percentile`` / ``quantile_cont``: position
+    ``h = (n - 1) * p`` over the sorted non-missing values, result
+    ``x[floor h] + (h - floor h) * (x[ceil h] - x[floor h])``.
     Returns ``(column, p, quantile)``; columns without values get no row.
+
+    Selection by refinement, never a sort of a whole column. Every wanted
+    rank sits in a closed value interval ("cell") ``[lo, hi]`` of actual
+    values, with ``base`` values below it; at first the cell is the whole
+    column. While a cell holds more than ``max_rows`` values, one scan counts
+    its values in ``buckets`` equal-width sub-ranges (count, min, max per
+    bucket) and the rank moves to the bucket that holds it. The bucket index
+    ``floor((v - lo) / (hi - lo) * buckets)`` is monotone in ``v``, so each
+    bucket is a contiguous run of values and its exact min/max bound the next
+    cell. Finally the values of each small cell are counted per distinct value
+    and ranked by a window partitioned by cell. A hot value collapses into one
+    (value, count) row, and a cell with a single value is resolved without a
+    window. Only cell statistics (cells x buckets rows) reach the driver.
     """
     from tabforge.functions.cols import c
     if not columns:
         raise ValueError("no columns")
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(name).alias("column"), (c(name).cast("double") + F.lit(0.0)).alias("value"))
-        for name in columns])))
-    counts = long.where(F.col("value").isNotNull()) \
-        .groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    return quantiles_from_counts(counts, "column", "value", "cnt", probs, num_partitions)
+    names = list(columns)
+    val = {n: c(n).cast("double") + F.lit(0.0) for n in names}  # -0.0 -> 0.0
+    first = df.agg(*[F.count(val[n]).alias(f"n{i}") for i, n in enumerate(names)],
+                   *[F.min(val[n]).alias(f"a{i}") for i, n in enumerate(names)],
+                   *[F.max(val[n]).alias(f"b{i}") for i, n in enumerate(names)]).first()
+    total = {n: first[f"n{i}"] for i, n in enumerate(names)}
+
+    # wanted (column, rank) -> [lo, hi, base, rows, resolved value]
+    want: dict[tuple[str, int], list] = {}
+    for i, n in enumerate(names):
+        if total[n]:
+            lo, hi = first[f"a{i}"], first[f"b{i}"]
+            for p in probs:
+                h = (total[n] - 1) * float(p)
+                for r in {math.floor(h), math.ceil(h)}:
+                    want[(n, r)] = [lo, hi, 0, total[n], lo if lo == hi else None]
+
+    for _ in range(max_rounds):
+        cells = sorted({(n, st[0], st[1]) for (n, _r), st in want.items()
+                        if st[4] is None and st[3] > max_rows})
+        if not cells:
+            break
+        long = df.select(F.inline(F.array(*[
+            F.struct(F.lit(i).alias("cell"),
+                     F.when(_in_cell(val[n], lo, hi),
+                            F.least(F.floor((val[n] - F.lit(lo)) / F.lit(hi - lo) * F.lit(buckets)),
+                                    F.lit(buckets - 1))).alias("b"),
+                     val[n].alias("v"))
+            for i, (n, lo, hi) in enumerate(cells)])))
+        stats = long.where(F.col("b").isNotNull()).groupBy("cell", "b").agg(
+            F.count(F.lit(1)).alias("k"), F.min("v").alias("mn"), F.max("v").alias("mx")).collect()
+        per_cell: dict[int, list] = {}
+        for r in stats:
+            per_cell.setdefault(r["cell"], []).append((r["b"], r["k"], r["mn"], r["mx"]))
+        for i, (n, lo, hi) in enumerate(cells):
+            rows = sorted(per_cell.get(i, []))
+            for (wn, rank), st in want.items():
+                if (wn, st[0], st[1]) != (n, lo, hi) or st[4] is not None or st[3] <= max_rows:
+                    continue
+                before = st[2]
+                for _b, k, mn, mx in rows:
+                    if before + k > rank:
+                        st[0], st[1], st[2], st[3] = mn, mx, before, k
+                        if mn == mx:
+                            st[4] = mn
+                        break
+                    before += k
+
+    # final: rank inside each remaining cell
+    cells = sorted({(n, st[0], st[1]) for (n, _r), st in want.items() if st[4] is None})
+    if cells:
+        cell_id = {cell: i for i, cell in enumerate(cells)}
+        long = df.select(F.inline(F.array(*[
+            F.struct(F.lit(i).alias("cell"), F.when(_in_cell(val[n], lo, hi), val[n]).alias("v"))
+            for i, (n, lo, hi) in enumerate(cells)])))
+        vc = long.where(F.col("v").isNotNull()).groupBy("cell", "v").agg(F.count(F.lit(1)).alias("k"))
+        w = Window.partitionBy("cell").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranked = vc.withColumn("cum", F.sum("k").over(w))
+        tgt = [(cell_id[(n, st[0], st[1])], rank - st[2], n, rank)
+               for (n, rank), st in want.items() if st[4] is None]
+        tdf = df.sparkSession.createDataFrame(tgt, "tcell int, trank long, tcol string, rank long")
+        hit = ranked.join(F.broadcast(tdf), (F.col("cell") == F.col("tcell"))
+                          & (F.col("trank") >= F.col("cum") - F.col("k")) & (F.col("trank") < F.col("cum")))
+        for r in hit.select("tcol", "rank", "v").collect():  # one row per wanted rank
+            want[(r["tcol"], r["rank"])][4] = r["v"]
+
+    out = []
+    for n in names:
+        if not total[n]:
+            continue
+        for p in probs:
+            h = (total[n] - 1) * float(p)
+            x0, x1 = want[(n, math.floor(h))][4], want[(n, math.ceil(h))][4]
+            q = x0 if x0 == x1 else x0 + (h - math.floor(h)) * (x1 - x0)
+            out.append((n, float(p), q))
+    return df.sparkSession.createDataFrame(out, "column string, p double, quantile double")
 
 
 def approx_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
@@ -151,22 +204,16 @@ def approx_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
         .select("column", F.element_at(arr, F.col("i") + 1).alias("p"), "quantile")
 
 
-def top_k_per_group(df: DataFrame, group: str, order: Sequence[Column], k: int,
-                    buckets: int | None = None, bucket_key: Column | None = None) -> DataFrame:
-    """Exact top-k rows per group without one task per group.
+def top_k_per_group(df: DataFrame, group: str, order: Sequence[Column], k: int) -> DataFrame:
+    """Exact top-k rows per group; adds ``rank`` (1-based). ``order`` must be total.
 
-    Rows are first ranked inside (group, hash bucket); the global top-k of a
-    group is contained in the union of the per-bucket top-k, so the final
-    per-group window sees at most ``k * buckets`` rows. ``order`` must be a
-    total order. Adds ``rank`` (1-based).
+    A single ``row_number`` window filtered to ``rank <= k``: Catalyst plans
+    it with a partial ``WindowGroupLimit`` below the shuffle, so each map task
+    forwards at most ``k`` rows per group and the final per-group window sees
+    at most ``k`` x (map tasks) rows, even for a group with billions of rows.
     """
-    n = buckets or default_partitions(df.sparkSession)
-    key = bucket_key if bucket_key is not None else F.xxhash64(*[F.col(x) for x in df.columns])
-    b = df.withColumn("__b", F.pmod(key, F.lit(n)))
-    w1 = Window.partitionBy(group, "__b").orderBy(*order)
-    pre = b.withColumn("__r", F.row_number().over(w1)).where(F.col("__r") <= k).drop("__r", "__b")
-    w2 = Window.partitionBy(group).orderBy(*order)
-    return pre.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
+    w = Window.partitionBy(group).orderBy(*order)
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def dense_index(distinct: DataFrame, group: str | None, order: Sequence[Column | str],

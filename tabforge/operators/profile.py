@@ -158,27 +158,57 @@ def missing_ranking(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 def value_counts_long(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column, i, d, s, cnt)``: count of every distinct non-missing value.
 
-    Integral columns keep exact ``bigint`` values in ``i``, fractional columns
-    use ``d`` (``-0.0`` folded into ``0.0``), everything else is compared as
-    text in ``s``. Exactly one of ``i, d, s`` is set per row.
+    Integral, boolean and date/time columns are keyed by an exact ``bigint``
+    in ``i`` (epoch days / microseconds for dates and timestamps), fractional
+    columns by ``d`` (``-0.0`` folded into ``0.0``), everything else by its
+    text in ``s``. Exactly one of ``i, d, s`` is set per row. Rows are keyed by
+    the column's position while counting (an int is cheaper to hash and
+    shuffle than the name) and get the name back afterwards.
     """
     names = _columns(df, columns)
     structs = []
-    for n in names:
+    none_i, none_d, none_s = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    for pos, n in enumerate(names):
         dt = C.field(df, n).dataType
         x = C.c(n)
-        i = x.cast("long") if C.is_integral(dt) else F.lit(None).cast("long")
-        d = (x.cast("double") + F.lit(0.0)) if (C.is_numeric(dt) and not C.is_integral(dt)) \
-            else F.lit(None).cast("double")
-        s = F.lit(None).cast("string") if C.is_numeric(dt) else x.cast("string")
-        structs.append(F.struct(F.lit(n).alias("column"), i.alias("i"), d.alias("d"), s.alias("s")))
+        i, d, s = none_i, none_d, none_s
+        if C.is_integral(dt):
+            i = x.cast("long")
+        elif C.is_numeric(dt):
+            d = x.cast("double") + F.lit(0.0)
+        elif isinstance(dt, T.BooleanType):
+            i = x.cast("long")
+        elif isinstance(dt, T.DateType):
+            i = F.unix_date(x).cast("long")
+        elif isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+            i = F.unix_micros(x.cast("timestamp")) if isinstance(dt, T.TimestampNTZType) else F.unix_micros(x)
+        else:
+            s = x.cast("string")
+        structs.append(F.struct(F.lit(pos).alias("pos"), i.alias("i"), d.alias("d"), s.alias("s")))
     long = df.select(F.inline(F.array(*structs)))
     long = long.where(F.col("i").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull())
-    return long.groupBy("column", "i", "d", "s").agg(F.count(F.lit(1)).alias("cnt"))
+    counted = long.groupBy("pos", "i", "d", "s").agg(F.count(F.lit(1)).alias("cnt"))
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("pos") + 1)
+    return counted.select(name.alias("column"), "i", "d", "s", "cnt")
 
 
-def _key(vc: DataFrame) -> Column:
-    return F.coalesce(F.col("i").cast("string"), F.col("d").cast("string"), F.col("s"))
+def _render(df: DataFrame, names: Sequence[str]) -> Column:
+    """Text of a long-form value in the column's own type (as ``cast(x as string)``)."""
+    kinds = {}
+    for n in names:
+        dt = C.field(df, n).dataType
+        if isinstance(dt, T.BooleanType):
+            kinds[n] = F.col("i").cast("boolean").cast("string")
+        elif isinstance(dt, T.DateType):
+            kinds[n] = F.date_from_unix_date(F.col("i")).cast("string")
+        elif isinstance(dt, T.TimestampNTZType):
+            kinds[n] = F.timestamp_micros(F.col("i")).cast("timestamp_ntz").cast("string")
+        elif isinstance(dt, T.TimestampType):
+            kinds[n] = F.timestamp_micros(F.col("i")).cast("string")
+    out = F.coalesce(F.col("i").cast("string"), F.col("d").cast("string"), F.col("s"))
+    for n, expr in kinds.items():
+        out = F.when(F.col("column") == F.lit(n), expr).otherwise(out)
+    return out
 
 
 def _value_order() -> list[Column]:
@@ -215,10 +245,8 @@ def value_counts_top(df: DataFrame, columns: Sequence[str] | None = None, k: int
     eligible = _column_list(df, names).join(F.broadcast(u), "column") \
         .where((F.col("kind") == "categorical") | (F.col("unique") <= max_distinct)) \
         .select("column")
-    top = top_k_per_group(vc.join(F.broadcast(eligible), "column"), "column",
-                          _value_order(), k,
-                          bucket_key=F.xxhash64("i", "d", "s"))
-    return top.select("column", _key(top).alias("value"),
+    top = top_k_per_group(vc.join(F.broadcast(eligible), "column"), "column", _value_order(), k)
+    return top.select("column", _render(df, names).alias("value"),
                       F.col("cnt").alias("count"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -370,7 +398,7 @@ def column_notes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     types = column_types(df).select("column", "dtype", "kind")
     u = vc.groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
     m = modes(df, names, counts=vc)
-    m = m.select("column", _key(m).alias("top_value"), F.col("cnt").alias("top_count"))
+    m = m.select("column", _render(df, names).alias("top_value"), F.col("cnt").alias("top_count"))
     stats = column_stats(df, names).select("column", "missing", "min", "max")
     return types.join(F.broadcast(stats), "column") \
         .join(F.broadcast(u), "column", "left") \

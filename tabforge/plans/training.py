@@ -163,8 +163,14 @@ def train(df: DataFrame, target: str, model: str = "Random Forest", test_size: f
           tuning: str = "None", use_cv: bool = True, params: dict[str, Any] | None = None,
           grid: dict[str, list] | None = None, n_iter: int = MD.RANDOM_SEARCH_POINTS,
           folds: int = MD.CV_FOLDS, seed: int = MD.SEED, parallelism: int = 4,
-          task: str | None = None) -> TrainResult:
-    """Train one model the way the reference's train request does."""
+          task: str | None = None, exact_stratified_folds: bool = False) -> TrainResult:
+    """Train one model the way the reference's train request does.
+
+    Folds are a seeded hash of the row: no shuffle, and every class spreads
+    evenly over the folds in expectation. ``exact_stratified_folds=True``
+    deals each class round-robin instead (counts per fold differ by at most
+    one), at the price of a distributed ranking (several shuffles).
+    """
     if tuning not in TUNING:
         raise ValueError(f"unknown tuning method {tuning!r}")
     features, _ = SP.features_and_label(df, target)
@@ -183,11 +189,17 @@ def train(df: DataFrame, target: str, model: str = "Random Forest", test_size: f
             out = out.withColumn("label", C.c(target).cast("double"))
         return out.select("features", "label", *extra)
 
-    strat = target if task == "classification" else None
+    strat = target if task == "classification" and exact_stratified_folds else None
     train_raw = marked.where(F.col("__split") == "train").drop("__split")
     test_part = assemble(marked.where(F.col("__split") == "test"), [])
-    train_part = assemble(SP.assign_folds(train_raw, folds, seed, stratify=strat), ["fold"]) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    train_part = assemble(SP.assign_folds(train_raw, folds, seed, stratify=strat), ["fold"])
+    # tree learners re-scan the data once per level: give every core a share
+    # of it (no-op when the input already has enough partitions)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if train_part.rdd.getNumPartitions() < cores:
+        train_part = train_part.repartition(cores)
+    train_part = train_part.persist(StorageLevel.MEMORY_AND_DISK)
+    train_part.count()  # materialise once before concurrent fits read it
     try:
         def factory(p):
             return MD.make_estimator(model, task, n_classes, p)

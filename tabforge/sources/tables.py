@@ -31,13 +31,28 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str,
-               normalize: bool = False) -> DataFrame:
-    """Read one table. ``normalize=True`` turns NaN into NULL (see cols)."""
+               normalize: bool = False, spread: bool = False) -> DataFrame:
+    """Read one table. ``normalize=True`` turns NaN into NULL (see cols).
+
+    ``spread`` (opt-in): a parquet file is split only at row-group boundaries, so a
+    small table written as one row group scans in a single task while the
+    other cores idle. When the scan yields fewer splits than half the
+    default parallelism, the rows are dealt round-robin over the cores once.
+    A large table (many files / row groups) already has enough splits and is
+    left alone, so this adds no shuffle at scale.
+    """
     if name not in TABLES and not os.path.exists(table_path(sf_dir, name)):
         raise KeyError(f"unknown table {name!r}")
     df = spark.read.parquet(table_path(sf_dir, name))
+    if spread:
+        df = spread_small(df)
     return normalize_missing(df) if normalize else df
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() * 2 <= target else df
+
+
 def task_hint(name: str) -> tuple[str, str] | None:
     return TASK_HINTS.get(name)

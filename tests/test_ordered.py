@@ -13,7 +13,7 @@ values = st.lists(st.one_of(st.integers(-50, 50).map(float), st.floats(-1e6, 1e6
 @given(values)
 def test_exact_quantiles_match_numpy(spark, xs):
     df = spark.createDataFrame([(x,) for x in xs], "x double")
-    got = {r["p"]: r["quantile"] for r in exact_quantiles(df, ["x"], [0.0, 0.25, 0.5, 0.75, 1.0], 3).collect()}
+    got = {r["p"]: r["quantile"] for r in exact_quantiles(df, ["x"], [0.0, 0.25, 0.5, 0.75, 1.0], buckets=3, max_rows=5).collect()}
     for p, q in got.items():
         assert np.isclose(q, np.quantile(np.array(xs), p), rtol=1e-9, atol=1e-9)
 
@@ -43,7 +43,7 @@ def test_top_k_per_group_is_exact(spark):
     pdf = pd.DataFrame({"g": ["x"] * 200 + ["y"] * 5, "v": list(range(200)) + list(range(5)),
                         "cnt": [i % 13 for i in range(200)] + [1] * 5})
     df = spark.createDataFrame(pdf)
-    out = top_k_per_group(df, "g", [F.col("cnt").desc(), F.col("v")], 10, buckets=7).toPandas()
+    out = top_k_per_group(df.repartition(7), "g", [F.col("cnt").desc(), F.col("v")], 10).toPandas()
     exp = pdf.sort_values(["g", "cnt", "v"], ascending=[True, False, True]).groupby("g").head(10)
     assert sorted(zip(out["g"], out["v"])) == sorted(zip(exp["g"], exp["v"]))
     assert out.groupby("g")["rank"].max().to_dict() == {"x": 10, "y": 5}
@@ -53,3 +53,13 @@ def test_dense_index(spark):
     df = spark.createDataFrame([("c", "b"), ("c", "a"), ("c", "z"), ("d", "q")], "column string, value string")
     out = {(r["column"], r["value"]): r["index"] for r in dense_index(df, "column", ["value"], 3).collect()}
     assert out == {("c", "a"): 0, ("c", "b"): 1, ("c", "z"): 2, ("d", "q"): 0}
+
+
+def test_quantile_refinement_with_hot_value(spark):
+    rows = [(7.0,)] * 3000 + [(float(i),) for i in range(500)]
+    df = spark.createDataFrame(rows, "x double")
+    xs = np.array([r[0] for r in rows])
+    ps = [0.01, 0.1, 0.5, 0.9, 0.999]
+    got = {r["p"]: r["quantile"] for r in exact_quantiles(df, ["x"], ps, buckets=8, max_rows=50).collect()}
+    for p in ps:
+        assert np.isclose(got[p], np.quantile(xs, p))
