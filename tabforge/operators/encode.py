@@ -53,7 +53,7 @@ def label_encode(df: DataFrame, columns: Sequence[str],
                  maps: DataFrame | None = None) -> DataFrame:
     """Replace each column by its code (bigint), in place."""
     cols = validate_columns(df, columns)
-    maps = (maps if maps is not None else label_maps(df, cols)).persist()
+    maps = maps if maps is not None else label_maps(df, cols)
     sizes = {r["column"]: r["n"] for r in maps.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = df
     for i, n in enumerate(cols):

@@ -190,16 +190,18 @@ def train(df: DataFrame, target: str, model: str = "Random Forest", test_size: f
         return out.select("features", "label", *extra)
 
     strat = target if task == "classification" and exact_stratified_folds else None
-    train_raw = marked.where(F.col("__split") == "train").drop("__split")
-    test_part = assemble(marked.where(F.col("__split") == "test"), [])
-    train_part = assemble(SP.assign_folds(train_raw, folds, seed, stratify=strat), ["fold"])
-    # tree learners re-scan the data once per level: give every core a share
-    # of it (no-op when the input already has enough partitions)
+    # one assembled table for both parts, spread over the cores (tree learners
+    # re-scan it once per level; no-op when there are enough partitions) and
+    # persisted once: search, CV and evaluation never re-run the upstream plan
+    base = assemble(SP.assign_folds(marked, folds, seed, stratify=strat), ["fold", "__split"])
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if train_part.rdd.getNumPartitions() < cores:
-        train_part = train_part.repartition(cores)
-    train_part = train_part.persist(StorageLevel.MEMORY_AND_DISK)
-    train_part.count()  # materialise once before concurrent fits read it
+    if base.rdd.getNumPartitions() < cores:
+        base = base.repartition(cores)
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    base.count()  # materialise once before concurrent fits read it
+    train_part = base.where(F.col("__split") == "train").select("features", "label", "fold")
+    test_part = base.where(F.col("__split") == "test").select("features", "label")
+    test_pred = None
     try:
         def factory(p):
             return MD.make_estimator(model, task, n_classes, p)
@@ -218,14 +220,16 @@ def train(df: DataFrame, target: str, model: str = "Random Forest", test_size: f
             search = [{"params": p, "score": m} for p, m in zip(points, means)]
         fitted = factory(best).fit(train_part)
         train_score = _score(fitted.transform(train_part), task)
-        test_pred = fitted.transform(test_part)
+        test_pred = fitted.transform(test_part).persist(StorageLevel.MEMORY_AND_DISK)
         test_score = _score(test_pred, task)
         cv = []
         if use_cv:
             cv = _fold_fits(factory, train_part, task, [best], folds, None, parallelism)[0]
         metrics = evaluate_predictions(test_pred, task, n_classes)
     finally:
-        train_part.unpersist()
+        if test_pred is not None:
+            test_pred.unpersist()
+        base.unpersist()
     full = PipelineModel(stages=[*prep.stages, fitted])
     return TrainResult(model, task, train_score, test_score, cv, best, features, metrics, full,
                        labels, search)
