@@ -20,6 +20,8 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # remove checkpoint files once the DataFrames that read them are gone
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
