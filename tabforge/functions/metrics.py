@@ -18,14 +18,6 @@ from tabforge.functions.cols import c
 from tabforge.functions.ordered import prefix_sums
 
 
-def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Combine two one-row results without a join (union + max)."""
-    ca, cb = a.columns, b.columns
-    u = a.select(*ca, *[F.lit(None).cast(b.schema[x].dataType).alias(x) for x in cb]) \
-        .unionByName(b.select(*[F.lit(None).cast(a.schema[x].dataType).alias(x) for x in ca], *cb))
-    return u.agg(*[F.max(x).alias(x) for x in ca + cb])
-
-
 # ---------------------------------------------------------------- classification
 
 def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -102,7 +94,6 @@ def roc_auc_binary(df: DataFrame, label: str, score: str, pos_label=1) -> DataFr
 def roc_auc_ovr(df: DataFrame, label: str, scores: Mapping[object, str]) -> DataFrame:
     """V3: one-vs-rest AUC per class (class value -> its score column) and
     their macro average: ``(cls, auc)`` rows plus the ``macro`` row."""
-    classes = list(scores)
     long = df.select(c(label).alias("__y"), F.inline(F.array(*[
         F.struct(F.lit(str(k)).alias("cls"), F.lit(k).alias("__k"), c(col).cast("double").alias("score"))
         for k, col in scores.items()])))
@@ -110,7 +101,6 @@ def roc_auc_ovr(df: DataFrame, label: str, scores: Mapping[object, str]) -> Data
     per = _auc_from_counts(counts).select(F.col("grp").alias("cls"), "auc")
     # classes absent from the labels have no AUC and are left out of the average
     macro = per.agg(F.avg("auc").alias("auc")).select(F.lit("macro").alias("cls"), "auc")
-    del classes
     return per.unionByName(macro)
 
 

@@ -222,9 +222,3 @@ def dense_index(distinct: DataFrame, group: str | None, order: Sequence[Column |
     one = distinct.withColumn("__one", F.lit(1).cast("long"))
     ranked = prefix_sums(one, group, order, ["__one"], num_partitions, prefix="__cum")
     return ranked.withColumn(name, F.col("__cum__one") - 1).drop("__one", "__cum__one")
-
-
-def interpolation_position(n: int, p: float) -> tuple[int, int, float]:
-    """Helper for tests: the (lo, hi, frac) ranks of the linear quantile."""
-    h = (n - 1) * p
-    return math.floor(h), math.ceil(h), h - math.floor(h)

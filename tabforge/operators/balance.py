@@ -9,7 +9,7 @@ single task has to emit an unbounded number of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabforge.functions import cols as C
@@ -30,9 +30,8 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """``(label, count, weight)`` with ``weight = n / (k * n_c)``."""
     cc = class_counts(df, label)
-    # n = total rows and k = classes: total(count) and count(*) over the class
-    # table, attached with window aggregates over its (few) rows
-    from pyspark.sql import Window
+    # n = total rows and k = classes: window aggregates over the class table,
+    # one row per class (an aggregated set, never the data itself)
     w = Window.partitionBy()
     return cc.select(label, "count", (F.sum("count").over(w) / (F.count(F.lit(1)).over(w) * F.col("count")))
                      .alias("weight"))

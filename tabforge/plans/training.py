@@ -101,13 +101,14 @@ def check_features(df: DataFrame, features: Sequence[str]) -> None:
         raise ValueError(f"encode these columns before training (non-numeric features): {bad}")
 
 
-def _prep_pipeline(df: DataFrame, target: str, features: list[str], task: str) -> Pipeline:
+def _prep_pipeline(target: str, features: list[str], task: str) -> Pipeline:
+    """Label index (classification, alphabetical like the reference's encoder)
+    and the feature vector; booleans and numbers are cast to double."""
     stages = []
     if task == "classification":
         stages.append(StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc",
                                     handleInvalid="error"))
-    casts = features  # booleans and numbers are cast to double by the assembler
-    stages.append(VectorAssembler(inputCols=casts, outputCol="features", handleInvalid="error"))
+    stages.append(VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error"))
     return Pipeline(stages=stages)
 
 
@@ -179,7 +180,7 @@ def train(df: DataFrame, target: str, model: str = "Random Forest", test_size: f
     data = df.where(C.c(target).isNotNull())
 
     marked = SP.mark_split(data, test_size, seed, name="__split")
-    prep = _prep_pipeline(data, target, features, task).fit(data)
+    prep = _prep_pipeline(target, features, task).fit(data)
     labels = list(prep.stages[0].labels) if task == "classification" else None
     n_classes = len(labels) if labels else 0
 
