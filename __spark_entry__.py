@@ -346,6 +346,45 @@ def q_column_notes(spark, sf):
     return _round(P.column_notes(_t(spark, sf, "orders_dirty")))
 
 
+EVENTS_COLS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+
+
+@_register("events_unique_counts", _union([
+    f"select {_lit(x)} as \"column\", count(distinct {x}) as \"unique\" from events" for x in EVENTS_COLS]))
+def q_events_unique_counts(spark, sf):
+    return P.unique_counts(_t(spark, sf, "events"))
+
+
+def _events_notes_sql() -> str:
+    types = {"event_id": ("bigint", "numeric"), "ts": ("timestamp_ntz", "datetime"),
+             "user_id": ("bigint", "numeric"), "event_type": ("string", "categorical"),
+             "value": ("double", "numeric"), "props": ("string", "categorical")}
+    parts = []
+    for x in EVENTS_COLS:
+        dtype, kind = types[x]
+        num = kind == "numeric"
+        mn = f"round(min(cast({x} as double)), {ND})" if num else "cast(null as double)"
+        mx = f"round(max(cast({x} as double)), {ND})" if num else "cast(null as double)"
+        parts.append(
+            f"select {_lit(x)} as \"column\", {_lit(dtype)} as dtype, {_lit(kind)} as kind, "
+            f"count(distinct {x}) as \"unique\", count(*) - count({x}) as missing, {mn} as min, {mx} as max, "
+            f"(select cast({x} as varchar) from events where {x} is not null group by {x} "
+            f"order by count(*) desc, {x} limit 1) as top_value, "
+            f"(select count(*) from events where {x} is not null group by {x} order by count(*) desc limit 1) "
+            f"as top_count from events")
+    return _union(parts)
+
+
+@_register("events_column_notes", _events_notes_sql())
+def q_events_column_notes(spark, sf):
+    return _round(P.column_notes(_t(spark, sf, "events")))
+
+
+@_register("events_numeric_summary", _numeric_summary_sql("events", ["event_id", "user_id", "value"]))
+def q_events_numeric_summary(spark, sf):
+    return _round(P.numeric_summary(_t(spark, sf, "events")))
+
+
 # ------------------------------------------------------------------ clean
 
 def _cols_sql(cols: list[str]) -> str:
@@ -578,6 +617,14 @@ def q_confusion_matrix(spark, sf):
     return ME.confusion(_t(spark, sf, "lineitem_rule"), "l_returnflag", "mc_prediction")
 
 
+@_register("confusion_matrix_wide",
+           f"select l_returnflag as label, "
+           + ", ".join(f"count(*) filter (where mc_prediction = '{v}') as \"{v}\"" for v in ("A", "N", "R"))
+           + f" from {RULE} group by 1")
+def q_confusion_matrix_wide(spark, sf):
+    return ME.confusion_wide(_t(spark, sf, "lineitem_rule"), "l_returnflag", "mc_prediction")
+
+
 def _clf_sql(label: str, pred: str) -> str:
     return (f"with cm as (select cast({label} as varchar) as y, cast({pred} as varchar) as p, count(*) as cnt "
             f"from {RULE} group by 1, 2), "

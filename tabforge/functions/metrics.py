@@ -28,7 +28,10 @@ def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
 
 def confusion_wide(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """V10 as a matrix: one row per true label, one column per predicted label."""
-    return confusion(df, label, prediction).groupBy("label").pivot("prediction").agg(F.sum("count"))
+    cm = confusion(df, label, prediction)
+    # the pivot values are the predicted classes: one small distinct job, bounded by the classes
+    wide = cm.groupBy("label").pivot("prediction").agg(F.sum("count"))
+    return wide.na.fill(0, [x for x in wide.columns if x != "label"])
 
 
 def per_class(df: DataFrame, label: str, prediction: str) -> DataFrame:

@@ -83,3 +83,12 @@ def test_scaler_fit_on_train_only(spark):
     train = spark.createDataFrame([(0.0,), (10.0,)], "x double")
     test = spark.createDataFrame([(20.0,)], "x double")
     assert SC.scale(test, "minmax", fit_on=train).first()["x"] == 2.0
+
+
+def test_label_encode_shuffle_join_path(spark, monkeypatch):
+    monkeypatch.setattr(EN, "BROADCAST_MAX_ROWS", 0)  # force the non-broadcast join
+    df = spark.createDataFrame([(f"k{i % 30}", i) for i in range(90)], "c string, i int")
+    out = EN.label_encode(df, ["c"]).collect()
+    codes = {r["i"]: r["c"] for r in out}
+    expected = {v: n for n, v in enumerate(sorted({f"k{i % 30}" for i in range(90)}))}
+    assert all(codes[i] == expected[f"k{i % 30}"] for i in range(90))

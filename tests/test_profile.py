@@ -77,3 +77,10 @@ def test_odd_column_names(spark):
     m = {r["column"]: r["missing"] for r in P.missing_counts(df).collect()}
     assert m == {"sepal width (cm)": 0, "a.b": 1}
     assert P.numeric_summary(df).count() == 2
+
+
+def test_numeric_summary_approx_option(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(1001)], "x double")
+    exact = P.numeric_summary(df).first()
+    approx = P.numeric_summary(df, method="approx").first()
+    assert exact["p50"] == 500.0 and abs(approx["p50"] - 500.0) <= 1.0

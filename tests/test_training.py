@@ -45,3 +45,9 @@ def test_string_features_rejected(spark):
     df = load_table(spark, SF, "lineitem").select("l_quantity", "l_linestatus", "l_returnflag")
     with pytest.raises(ValueError, match="l_linestatus"):
         TR.train(df, "l_returnflag")
+
+
+def test_exact_stratified_cv_folds(spark):
+    r = TR.train(_table(spark), "l_returnflag", "Random Forest", params={"n_estimators": 3, "max_depth": 2},
+                 exact_stratified_folds=True)
+    assert len(r.cv_scores) == 5 and all(0.0 <= s <= 1.0 for s in r.cv_scores)
