@@ -71,6 +71,20 @@ def existing(df: DataFrame, names) -> list[str]:
     return [n for n in (names or []) if n in have]
 
 
+def is_missing(name: str, dt: T.DataType) -> Column:
+    """NULL, or NaN in a float column: what the reference counts as missing."""
+    x = c(name)
+    return (x.isNull() | F.isnan(x)) if isinstance(dt, (T.FloatType, T.DoubleType)) else x.isNull()
+
+
+def value_or_null(name: str, dt: T.DataType) -> Column:
+    """The column with NaN turned into NULL (other types unchanged)."""
+    x = c(name)
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return F.when(F.isnan(x), F.lit(None)).otherwise(x)
+    return x
+
+
 def normalize_missing(df: DataFrame, inf_as_missing: bool = False) -> DataFrame:
     """Turn NaN (and optionally +-inf) in float columns into NULL, in one projection.
 

@@ -33,7 +33,9 @@ def validate_columns(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
 
 
 def _as_label(df: DataFrame, name: str):
-    return F.coalesce(C.c(name).cast("string"), F.lit(MISSING_LABEL))
+    """Text of the value; missing (NULL or NaN) becomes the class ``nan``."""
+    dt = C.field(df, name).dataType
+    return F.coalesce(C.value_or_null(name, dt).cast("string"), F.lit(MISSING_LABEL))
 
 
 # ---------------------------------------------------------------- E1

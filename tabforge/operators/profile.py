@@ -103,7 +103,7 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         xd = x.cast("double")
         none = F.lit(None).cast("double")
         aggs += [
-            F.count_if(x.isNull()).alias(f"missing__{i}"),
+            F.count_if(C.is_missing(n, C.field(df, n).dataType)).alias(f"missing__{i}"),
             F.count(x).alias(f"count__{i}"),
             (F.avg(xd) if num else none).alias(f"mean__{i}"),
             (F.stddev_samp(xd) if num else none).alias(f"std__{i}"),
@@ -122,7 +122,8 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """P5: ``(column, missing)`` for every column, in one pass."""
     names = _columns(df, columns)
-    row = df.agg(*[F.count_if(C.c(n).isNull()).alias(f"m{i}") for i, n in enumerate(names)])
+    row = df.agg(*[F.count_if(C.is_missing(n, C.field(df, n).dataType)).alias(f"m{i}")
+                   for i, n in enumerate(names)])
     return row.select(F.inline(F.array(*[
         F.struct(F.lit(n).alias("column"), F.col(f"m{i}").alias("missing"))
         for i, n in enumerate(names)])))
@@ -136,7 +137,8 @@ def missing_ranking(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     """Columns with missing values, with percent (2 dp), severity and rank."""
     names = _columns(df, columns)
     row = df.agg(F.count(F.lit(1)).alias("n"),
-                 *[F.count_if(C.c(n).isNull()).alias(f"m{i}") for i, n in enumerate(names)])
+                 *[F.count_if(C.is_missing(n, C.field(df, n).dataType)).alias(f"m{i}")
+                   for i, n in enumerate(names)])
     tall = row.select("n", F.inline(F.array(*[
         F.struct(F.lit(n).alias("column"), F.col(f"m{i}").alias("missing"))
         for i, n in enumerate(names)])))
@@ -174,7 +176,7 @@ def value_counts_long(df: DataFrame, columns: Sequence[str] | None = None) -> Da
         if C.is_integral(dt):
             i = x.cast("long")
         elif C.is_numeric(dt):
-            d = x.cast("double") + F.lit(0.0)
+            d = C.value_or_null(n, dt).cast("double") + F.lit(0.0)
         elif isinstance(dt, T.BooleanType):
             i = x.cast("long")
         elif isinstance(dt, T.DateType):

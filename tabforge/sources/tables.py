@@ -31,8 +31,10 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str,
-               normalize: bool = False, spread: bool = False) -> DataFrame:
-    """Read one table. ``normalize=True`` turns NaN into NULL (see cols).
+               normalize: bool = True, spread: bool = False) -> DataFrame:
+    """Read one table. ``normalize`` turns NaN into NULL once at ingestion, so
+    NULL is the only missing marker downstream (a no-op projection for
+    tables without float columns).
 
     ``spread`` (opt-in): a parquet file is split only at row-group boundaries, so a
     small table written as one row group scans in a single task while the

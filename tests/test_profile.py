@@ -84,3 +84,9 @@ def test_numeric_summary_approx_option(spark):
     exact = P.numeric_summary(df).first()
     approx = P.numeric_summary(df, method="approx").first()
     assert exact["p50"] == 500.0 and abs(approx["p50"] - 500.0) <= 1.0
+
+
+def test_nan_counts_as_missing_without_normalising(spark):
+    df = spark.createDataFrame([(float("nan"),), (1.0,), (None,)], "x double")
+    assert P.missing_counts(df).first()["missing"] == 2
+    assert P.unique_counts(df).first()["unique"] == 1
