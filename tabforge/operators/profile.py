@@ -410,9 +410,11 @@ def column_notes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 
 def profile(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, DataFrame]:
-    """All profile outputs; the long-form counts are computed once and shared."""
+    """All profile outputs as lazy DataFrames (P1-P15). The long-form counts
+    are one plan shared by the outputs that read it; nothing is cached, so
+    the caller decides what to materialise."""
     names = _columns(df, columns)
-    vc = value_counts_long(df, names).persist()
+    vc = value_counts_long(df, names)
     out = {
         "shape": shape(df),
         "column_types": column_types(df),

@@ -90,3 +90,11 @@ def test_nan_counts_as_missing_without_normalising(spark):
     df = spark.createDataFrame([(float("nan"),), (1.0,), (None,)], "x double")
     assert P.missing_counts(df).first()["missing"] == 2
     assert P.unique_counts(df).first()["unique"] == 1
+
+
+def test_profile_bundle(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (1, "a", 2.0), (2, None, 3.0)], "k int, s string, x double")
+    out = P.profile(df)
+    assert out["shape"].first()["n_rows"] == 3
+    assert out["duplicates"].first()["duplicates"] == 1
+    assert {r["column"] for r in out["numeric_summary"].collect()} == {"k", "x"}
