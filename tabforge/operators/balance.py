@@ -68,9 +68,10 @@ def undersample(df: DataFrame, label: str, seed: int = DEFAULT_SEED) -> DataFram
     """B1: every class cut to the size of the smallest class; the kept rows
     are the first in seeded hash order."""
     g = _collapsed(df, label, seed).where(F.col("__y").isNotNull())
-    m = g.groupBy("__y").agg(F.sum("__c").alias("__nc")).agg(F.min("__nc")).first()[0] or 0
     ranked = prefix_sums(g.select("__y", "__h", "__c", *[C.c(n) for n in df.columns]),
                          "__y", ["__h"], ["__c"], prefix="__cum")
+    # class sizes = the last running count of each class (reads the stored ranking)
+    m = ranked.groupBy("__y").agg(F.max("__cum__c").alias("__nc")).agg(F.min("__nc")).first()[0] or 0
     before = F.col("__cum__c") - F.col("__c")
     keep = F.greatest(F.lit(0), F.least(F.col("__c"), F.lit(m) - before))
     return _expand(ranked, keep, df.columns)
@@ -81,14 +82,15 @@ def oversample(df: DataFrame, label: str, seed: int = DEFAULT_SEED) -> DataFrame
     repeated ``floor(M / n_c)`` times and the remainder is taken in seeded
     hash order."""
     g = _collapsed(df, label, seed).where(F.col("__y").isNotNull())
-    nc = g.groupBy("__y").agg(F.sum("__c").alias("__nc"))
+    ranked = prefix_sums(g.select("__y", "__h", "__c", *[C.c(n) for n in df.columns]),
+                         "__y", ["__h"], ["__c"], prefix="__cum")
+    # class sizes = the last running count of each class (reads the stored ranking)
+    nc = ranked.groupBy("__y").agg(F.max("__cum__c").alias("__nc"))
     big = F.lit(nc.agg(F.max("__nc")).first()[0] or 0)
-    plan = nc.select("__y", "__nc", (F.floor(big / F.col("__nc"))).alias("__q"),
+    plan = nc.select("__y", (F.floor(big / F.col("__nc"))).alias("__q"),
                      (big - F.floor(big / F.col("__nc")) * F.col("__nc")).alias("__r"))
     n_classes = plan.count()
     plan = F.broadcast(plan) if n_classes <= BROADCAST_MAX_CLASSES else plan
-    ranked = prefix_sums(g.select("__y", "__h", "__c", *[C.c(n) for n in df.columns]),
-                         "__y", ["__h"], ["__c"], prefix="__cum")
     ranked = ranked.join(plan, "__y")
     before = F.col("__cum__c") - F.col("__c")
     extra = F.greatest(F.lit(0), F.least(F.col("__c"), F.col("__r") - before))
