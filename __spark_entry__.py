@@ -478,6 +478,27 @@ def q_impute_drop(spark, sf):
     return CL.impute(_t(spark, sf, "lineitem_dirty"), {"returnflag": "drop"})
 
 
+@_register("columns_with_missing", "select * from (" + _union([
+    f"select {_lit(x)} as \"column\", count(*) - count({x}) as missing from {_sql_from('lineitem_dirty')}"
+    for x in DIRTY_COLS]) + ") where missing > 0")
+def q_columns_with_missing(spark, sf):
+    return P.columns_with_missing(_t(spark, sf, "lineitem_dirty"))
+
+
+def _impute_report_sql() -> str:
+    src = _sql_from("lineitem_dirty")
+    filled = (f"(select * replace (coalesce(qty, (select avg(qty) from {src})) as qty) "
+              f"from {src}) as t")
+    return _union([f"select {_lit(x)} as \"column\", count(*) - count({x}) as missing from {filled}"
+                   for x in DIRTY_COLS])
+
+
+@_register("impute_report", _impute_report_sql())
+def q_impute_report(spark, sf):
+    # M5: the missing counts after a mean imputation of qty
+    return P.missing_counts(CL.impute(_t(spark, sf, "lineitem_dirty"), "mean", ["qty"]))
+
+
 # ------------------------------------------------------------------ encode
 
 def _label_sql() -> str:
@@ -520,6 +541,27 @@ def q_onehot_guard(spark, sf):
     return EN.cardinality(_t(spark, sf, "customer"), ["c_name", "c_mktsegment", "c_nationkey"])
 
 
+def _onehot_lists_sql() -> str:
+    dummies = [f"p_type_{v}" for v in P_TYPES[1:]] + [f"p_brand_{v}" for v in P_BRANDS[1:]]
+    cols = ["p_partkey", "p_name", "p_size", "p_retailprice"] + dummies
+    numeric = ["p_partkey", "p_size", "p_retailprice"] + dummies
+    return _union([
+        f"select 'columns' as list, {_lit(', '.join(cols))} as columns",
+        f"select 'numeric' as list, {_lit(', '.join(numeric))} as columns",
+        "select 'categorical' as list, 'p_name' as columns",
+        # scalable: numeric, not id-like, not unique per row, > 2 distinct, ratio <= 0.95
+        "select 'scalable' as list, coalesce(string_agg(c, ', ' order by pos), '') as columns from ("
+        "select 'p_size' as c, 1 as pos, count(distinct p_size) as u, count(*) as n from part union all "
+        "select 'p_retailprice', 2, count(distinct p_retailprice), count(*) from part) "
+        "where u <> n and u > 2 and u / n <= 0.95"])
+
+
+@_register("onehot_column_lists", _onehot_lists_sql())
+def q_onehot_column_lists(spark, sf):
+    # E5: column lists after one-hot encoding (0/1 dummies are never scalable)
+    return P.column_lists(EN.onehot_encode(_t(spark, sf, "part"), ["p_type", "p_brand"]))
+
+
 # ------------------------------------------------------------------ scale
 
 SCALED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "flag", "k"]

@@ -432,3 +432,29 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, Da
         out["numeric_summary"] = numeric_summary(df, names)
     out["categorical_summary"] = categorical_summary(df, names, counts=vc)
     return out
+
+
+def columns_with_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``(column, missing)`` for the columns that have missing values
+    (the ones offered for imputation)."""
+    return missing_counts(df, columns).where(F.col("missing") > 0)
+
+
+def column_lists(df: DataFrame, match: str = "substring") -> DataFrame:
+    """E5 (and R1's response): ``(list, columns)`` for all / numeric /
+    categorical / scalable columns, each a comma-separated list in table order."""
+    names = list(df.columns)
+    num = [n for n in names if C.is_numeric(C.field(df, n).dataType)]
+    cat = [n for n in names if C.kind(C.field(df, n).dataType) == "categorical"]
+    base = _spark(df).createDataFrame(
+        [("columns", ", ".join(names)), ("numeric", ", ".join(num)), ("categorical", ", ".join(cat))],
+        "list string, columns string")
+    if not num:
+        return base.unionByName(_spark(df).createDataFrame([("scalable", "")], "list string, columns string"))
+    sc = scalable_columns(df, num, match).where(F.col("scalable"))
+    pos = {n: i for i, n in enumerate(names)}
+    order = F.element_at(F.create_map(*[x for n in num for x in (F.lit(n), F.lit(pos[n]))]), F.col("column"))
+    scal = sc.select(F.struct(order.alias("p"), F.col("column").alias("c")).alias("pc")) \
+        .agg(F.array_join(F.transform(F.sort_array(F.collect_list("pc")), lambda x: x["c"]), ", ").alias("columns")) \
+        .select(F.lit("scalable").alias("list"), F.coalesce("columns", F.lit("")).alias("columns"))
+    return base.unionByName(scal)

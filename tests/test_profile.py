@@ -98,3 +98,11 @@ def test_profile_bundle(spark):
     assert out["shape"].first()["n_rows"] == 3
     assert out["duplicates"].first()["duplicates"] == 1
     assert {r["column"] for r in out["numeric_summary"].collect()} == {"k", "x"}
+
+
+def test_column_lists_after_onehot(spark):
+    from tabforge.operators import encode as EN
+    df = spark.createDataFrame([(i, float(i % 7), f"c{i % 3}") for i in range(40)], "row_id int, v double, c string")
+    out = {r["list"]: r["columns"] for r in P.column_lists(EN.onehot_encode(df, ["c"])).collect()}
+    assert out == {"columns": "row_id, v, c_c1, c_c2", "numeric": "row_id, v, c_c1, c_c2",
+                   "categorical": "", "scalable": "v"}
