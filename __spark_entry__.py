@@ -808,6 +808,15 @@ def q_insights(spark, sf):
     return _round(IN.insights(scores))
 
 
+@_register("export_results_roundtrip", _SQL["insights"])
+def q_export_results_roundtrip(spark, sf):
+    # The insight table written as JSON lines and read back with its schema
+    res = q_insights(spark, sf)
+    path = _scratch(spark, "results") + "/insights.json"
+    ST.export_results(res, path)
+    return spark.read.schema(res.schema).json(path)
+
+
 # ------------------------------------------------------------------ balance
 
 @_register("class_weights",
@@ -897,6 +906,16 @@ def q_random_search(spark, sf):
     return r.search_table(spark)
 
 
+@_register("model_export_roundtrip")
+def q_model_export_roundtrip(spark, sf):
+    # Save the fitted pipeline (indexer + assembler + forest), load it, score the table
+    df = _clf_table(spark, sf)
+    r = TR.train(df, "target", "Random Forest", params={"n_estimators": 5, "max_depth": 3}, use_cv=False)
+    path = _scratch(spark, "model")
+    ST.export_model(r.model, path)
+    return ST.load_model(path).transform(df).select("target", "prediction")
+
+
 @_register("feature_importance")
 def q_feature_importance(spark, sf):
     r = TR.train(_clf_table(spark, sf), "target", "Random Forest",
