@@ -159,8 +159,8 @@ def missing_ranking(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 def value_counts_long(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column, i, d, s, cnt)``: count of every distinct non-missing value.
 
-    Integral, boolean and date/time columns are keyed by an exact ``bigint``
-    in ``i`` (epoch days / microseconds for dates and timestamps), fractional
+    Integral, boolean, date and timestamp columns are keyed by an exact
+    ``bigint`` in ``i`` (epoch days / microseconds), fractional
     columns by ``d`` (``-0.0`` folded into ``0.0``), everything else by its
     text in ``s``. Exactly one of ``i, d, s`` is set per row. Rows are keyed by
     the column's position while counting (an int is cheaper to hash and
@@ -181,9 +181,10 @@ def value_counts_long(df: DataFrame, columns: Sequence[str] | None = None) -> Da
             i = x.cast("long")
         elif isinstance(dt, T.DateType):
             i = F.unix_date(x).cast("long")
-        elif isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-            i = F.unix_micros(x.cast("timestamp")) if isinstance(dt, T.TimestampNTZType) else F.unix_micros(x)
+        elif isinstance(dt, T.TimestampType):
+            i = F.unix_micros(x)  # an instant: exact whatever the session time zone
         else:
+            # text (and timestamp_ntz: a wall-clock value has no time-zone-free epoch)
             s = x.cast("string")
         structs.append(F.struct(F.lit(pos).alias("pos"), i.alias("i"), d.alias("d"), s.alias("s")))
     long = df.select(F.inline(F.array(*structs)))
@@ -202,8 +203,6 @@ def _render(df: DataFrame, names: Sequence[str]) -> Column:
             kinds[n] = F.col("i").cast("boolean").cast("string")
         elif isinstance(dt, T.DateType):
             kinds[n] = F.date_from_unix_date(F.col("i")).cast("string")
-        elif isinstance(dt, T.TimestampNTZType):
-            kinds[n] = F.timestamp_micros(F.col("i")).cast("timestamp_ntz").cast("string")
         elif isinstance(dt, T.TimestampType):
             kinds[n] = F.timestamp_micros(F.col("i")).cast("string")
     out = F.coalesce(F.col("i").cast("string"), F.col("d").cast("string"), F.col("s"))
