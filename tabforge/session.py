@@ -51,10 +51,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     """Use the cluster's ``spark.checkpoint.dir``; only a local-mode session
     without one gets a scratch folder (tests and laptops)."""
     sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
     if configured:
         sc.setCheckpointDir(configured)
         return configured
