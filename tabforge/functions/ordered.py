@@ -88,7 +88,8 @@ def _in_cell(v: Column, lo: float, hi: float) -> Column:
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                    buckets: int = 1024, max_rows: int = 50_000, max_rounds: int = 8) -> DataFrame:
+                    buckets: int = 1024, max_rows: int = 50_000, max_rounds: int = 8,
+                    stats: dict[str, tuple] | None = None) -> DataFrame:
     """Exact linearly-interpolated quantiles of several numeric columns.
 
     Same definition as ``percentile`` / ``quantile_cont``: position
@@ -108,22 +109,31 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     and ranked by a window partitioned by cell. A hot value collapses into one
     (value, count) row, and a cell with a single value is resolved without a
     window. Only cell statistics (cells x buckets rows) reach the driver.
+
+    ``stats`` (column -> (count, min, max) of the non-missing values, as
+    doubles) skips the first scan when the caller has already aggregated them.
     """
-    from tabforge.functions.cols import c
+    from tabforge.functions.cols import field, value_or_null
     if not columns:
         raise ValueError("no columns")
     names = list(columns)
-    val = {n: c(n).cast("double") + F.lit(0.0) for n in names}  # -0.0 -> 0.0
-    first = df.agg(*[F.count(val[n]).alias(f"n{i}") for i, n in enumerate(names)],
-                   *[F.min(val[n]).alias(f"a{i}") for i, n in enumerate(names)],
-                   *[F.max(val[n]).alias(f"b{i}") for i, n in enumerate(names)]).first()
+    # NaN is missing; adding 0.0 folds -0.0 into 0.0
+    val = {n: value_or_null(n, field(df, n).dataType).cast("double") + F.lit(0.0) for n in names}
+    if stats is not None and all(n in stats for n in names):
+        first = {}
+        for i, n in enumerate(names):
+            first[f"n{i}"], first[f"a{i}"], first[f"b{i}"] = stats[n]
+    else:
+        first = df.agg(*[F.count(val[n]).alias(f"n{i}") for i, n in enumerate(names)],
+                       *[F.min(val[n]).alias(f"a{i}") for i, n in enumerate(names)],
+                       *[F.max(val[n]).alias(f"b{i}") for i, n in enumerate(names)]).first().asDict()
     total = {n: first[f"n{i}"] for i, n in enumerate(names)}
 
     # wanted (column, rank) -> [lo, hi, base, rows, resolved value]
     want: dict[tuple[str, int], list] = {}
     for i, n in enumerate(names):
         if total[n]:
-            lo, hi = first[f"a{i}"], first[f"b{i}"]
+            lo, hi = first[f"a{i}"] + 0.0, first[f"b{i}"] + 0.0  # -0.0 -> 0.0, as the values
             for p in probs:
                 h = (total[n] - 1) * float(p)
                 for r in {math.floor(h), math.ceil(h)}:

@@ -100,7 +100,7 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     for i, n in enumerate(names):
         x = C.c(n)
         num = C.is_numeric(C.field(df, n).dataType)
-        xd = x.cast("double")
+        xd = C.value_or_null(n, C.field(df, n).dataType).cast("double")
         none = F.lit(None).cast("double")
         aggs += [
             F.count_if(C.is_missing(n, C.field(df, n).dataType)).alias(f"missing__{i}"),
@@ -257,8 +257,9 @@ def column_ranges(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     names = [n for n in _columns(df, columns) if C.is_numeric(C.field(df, n).dataType)]
     if not names:
         return _spark(df).createDataFrame([], "column string, min double, max double")
-    row = df.agg(*[F.min(C.c(n).cast("double")).alias(f"a{i}") for i, n in enumerate(names)],
-                 *[F.max(C.c(n).cast("double")).alias(f"b{i}") for i, n in enumerate(names)])
+    xs = [C.value_or_null(n, C.field(df, n).dataType).cast("double") for n in names]
+    row = df.agg(*[F.min(x).alias(f"a{i}") for i, x in enumerate(xs)],
+                 *[F.max(x).alias(f"b{i}") for i, x in enumerate(xs)])
     return row.select(F.inline(F.array(*[
         F.struct(F.lit(n).alias("column"), F.col(f"a{i}").alias("min"), F.col(f"b{i}").alias("max"))
         for i, n in enumerate(names)])))
@@ -276,18 +277,32 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None,
         raise ValueError("no numeric columns")
     aggs = []
     for i, n in enumerate(names):
-        x = C.c(n).cast("double")
+        x = C.value_or_null(n, C.field(df, n).dataType).cast("double")
         aggs += [F.count(x).alias(f"count__{i}"), F.avg(x).alias(f"mean__{i}"),
                  F.stddev_samp(x).alias(f"std__{i}"), F.min(x).alias(f"min__{i}"),
                  F.max(x).alias(f"max__{i}")]
-    stats = _tall(df.agg(*aggs), names, ("count", "mean", "std", "min", "max"))
-    qfun = exact_quantiles if method == "exact" else approx_quantiles
-    qs = qfun(df, names, SUMMARY_PROBS)
-    qw = qs.groupBy("column").agg(*[
+    if method != "exact":
+        stats = _tall(df.agg(*aggs), names, ("count", "mean", "std", "min", "max"))
+        qw = _quartiles_wide(approx_quantiles(df, names, SUMMARY_PROBS))
+        return stats.join(F.broadcast(qw), "column", "left").select(
+            "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    # exact: the one wide aggregate (one row, bounded by the column count) also
+    # seeds the quantile search, so the table is not scanned again for min/max
+    row = df.agg(*aggs).first()
+    seed = {n: (row[f"count__{i}"], row[f"min__{i}"], row[f"max__{i}"])
+            for i, n in enumerate(names) if row[f"count__{i}"]}
+    qs = {(r["column"], r["p"]): r["quantile"]
+          for r in exact_quantiles(df, names, SUMMARY_PROBS, stats=seed).collect()}
+    out = [(n, row[f"count__{i}"], row[f"mean__{i}"], row[f"std__{i}"], row[f"min__{i}"],
+            *[qs.get((n, p)) for p in SUMMARY_PROBS], row[f"max__{i}"]) for i, n in enumerate(names)]
+    return _spark(df).createDataFrame(out, "column string, count long, mean double, std double, min double, "
+                                           "p25 double, p50 double, p75 double, max double")
+
+
+def _quartiles_wide(qs: DataFrame) -> DataFrame:
+    return qs.groupBy("column").agg(*[
         F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(name)
         for p, name in zip(SUMMARY_PROBS, ("p25", "p50", "p75"))])
-    return stats.join(F.broadcast(qw), "column", "left").select(
-        "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def categorical_summary(df: DataFrame, columns: Sequence[str] | None = None,

@@ -106,3 +106,10 @@ def test_column_lists_after_onehot(spark):
     out = {r["list"]: r["columns"] for r in P.column_lists(EN.onehot_encode(df, ["c"])).collect()}
     assert out == {"columns": "row_id, v, c_c1, c_c2", "numeric": "row_id, v, c_c1, c_c2",
                    "categorical": "", "scalable": "v"}
+
+
+def test_numeric_summary_ignores_nan(spark):
+    df = spark.createDataFrame([(float("nan"),), (1.0,), (3.0,), (None,)], "x double")
+    r = P.numeric_summary(df).first()
+    assert (r["count"], r["min"], r["max"], r["p50"]) == (2, 1.0, 3.0, 2.0)
+    assert P.column_ranges(df).first()["max"] == 3.0
