@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from tabforge.session import default_partitions, ensure_checkpoint_dir
 
 _PID = "__pid"
+BROADCAST_MAX_ROWS = 1_000_000
 
 
 def _cols(xs) -> list[str]:
@@ -69,7 +70,10 @@ def prefix_sums(df: DataFrame, group: Sequence[str] | str | None,
         F.coalesce(F.sum(f"__pt_{v}").over(w_off), F.lit(0)).alias(f"__off_{v}")
         for v in values])
 
-    out = local.join(F.broadcast(offs), [_PID, *group])
+    # offsets: one row per (range partition, group) -- partitions + groups rows.
+    # Broadcast when that is small (columns, classes); otherwise a shuffle join.
+    n_offs = offs.count()
+    out = local.join(F.broadcast(offs) if n_offs <= BROADCAST_MAX_ROWS else offs, [_PID, *group])
     keep = [x for x in df.columns]
     return out.select(*[F.col(x) for x in keep], *[
         (F.col(f"__lc_{v}") + F.col(f"__off_{v}")).alias(f"{prefix}{v}") for v in values])

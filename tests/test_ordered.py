@@ -63,3 +63,12 @@ def test_quantile_refinement_with_hot_value(spark):
     got = {r["p"]: r["quantile"] for r in exact_quantiles(df, ["x"], ps, buckets=8, max_rows=50).collect()}
     for p in ps:
         assert np.isclose(got[p], np.quantile(xs, p))
+
+
+def test_prefix_sums_many_groups_shuffle_path(spark, monkeypatch):
+    import tabforge.functions.ordered as O
+    monkeypatch.setattr(O, "BROADCAST_MAX_ROWS", 0)
+    pdf = pd.DataFrame({"g": [i % 37 for i in range(2000)], "k": range(2000), "v": 1})
+    out = O.prefix_sums(spark.createDataFrame(pdf), "g", ["k"], ["v"], num_partitions=9).toPandas()
+    exp = pdf.sort_values(["g", "k"]).groupby("g")["v"].cumsum()
+    assert list(out.sort_values(["g", "k"])["cum_v"]) == list(exp)
