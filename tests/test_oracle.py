@@ -48,3 +48,10 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_a_callable():
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_negative_zero_rewrite():
+    sql = "select round(a, 6) x, round((b - round(c, 2)) / d, 6) y, 'round(q' z, around(1) from t"
+    assert E._fold_negative_zero(sql) == (
+        "select (round(a, 6) + 0.0) x, (round((b - (round(c, 2) + 0.0)) / d, 6) + 0.0) y, "
+        "'round(q' z, around(1) from t")
