@@ -72,3 +72,25 @@ def test_streaming_apply(spark, tmp_dir):
     q.awaitTermination(120)
     got = sorted(r["x"] for r in spark.table("scaled_stream").collect())
     assert got[0] == 0.0 and got[-1] == 1.0 and len(got) == 10
+
+
+def test_score_stream_with_pipeline_model(spark, tmp_dir):
+    from tabforge.plans import training as TR
+    from tabforge.streaming.apply import score_stream
+    df = load_table(spark, SF, "lineitem").selectExpr("l_quantity", "l_discount", "l_tax",
+                                                     "case when l_returnflag = 'R' then 1 else 0 end as y")
+    r = TR.train(df, "y", "Random Forest", params={"n_estimators": 3, "max_depth": 2}, use_cv=False)
+    src = f"{tmp_dir}/stream_in"
+    df.write.parquet(src)
+    stream = spark.readStream.schema(df.schema).parquet(src)
+    q = (score_stream(stream, r.model, keep=["y"]).writeStream.format("memory").queryName("scored")
+         .trigger(availableNow=True).option("checkpointLocation", f"{tmp_dir}/ck2").start())
+    q.awaitTermination(120)
+    assert spark.table("scored").count() == df.count()
+
+
+def test_workflow_checkpoint_every(spark):
+    df = load_table(spark, SF, "orders").select("o_totalprice", "o_orderstatus")
+    w = Workflow(df, checkpoint_every=1)
+    w.scale("MinMaxScaler", ["o_totalprice"]).encode("Label Encoding", ["o_orderstatus"])
+    assert w.df.count() == df.count() and len(w.log) == 2
