@@ -72,7 +72,8 @@ def accuracy(df: DataFrame, label: str, prediction: str) -> Column:
 
 def _score_counts(df: DataFrame, positive: Column, score: Column, group: Column | None = None) -> DataFrame:
     keys = ([group.alias("grp")] if group is not None else [F.lit(0).alias("grp")]) + [score.alias("score")]
-    return df.where(score.isNotNull()).groupBy(*keys).agg(
+    # rows without a score or without a label take no part (neither class)
+    return df.where(score.isNotNull() & positive.isNotNull()).groupBy(*keys).agg(
         F.sum(F.when(positive, 1).otherwise(0)).cast("long").alias("pos"),
         F.sum(F.when(positive, 0).otherwise(1)).cast("long").alias("neg"))
 

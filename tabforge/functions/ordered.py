@@ -72,10 +72,15 @@ def prefix_sums(df: DataFrame, group: Sequence[str] | str | None,
 
     # offsets: one row per (range partition, group) -- partitions + groups rows.
     # Broadcast when that is small (columns, classes); otherwise a shuffle join.
+    # A NULL group is a group too: match it null-safely.
+    offs = offs.select(F.col(_PID).alias("__opid"), *[F.col(g).alias(f"__og{i}") for i, g in enumerate(group)],
+                       *[f"__off_{v}" for v in values])
+    cond = F.col(_PID) == F.col("__opid")
+    for i, g in enumerate(group):
+        cond = cond & F.col(g).eqNullSafe(F.col(f"__og{i}"))
     n_offs = offs.count()
-    out = local.join(F.broadcast(offs) if n_offs <= BROADCAST_MAX_ROWS else offs, [_PID, *group])
-    keep = [x for x in df.columns]
-    return out.select(*[F.col(x) for x in keep], *[
+    out = local.join(F.broadcast(offs) if n_offs <= BROADCAST_MAX_ROWS else offs, cond)
+    return out.select(*[F.col(x) for x in df.columns], *[
         (F.col(f"__lc_{v}") + F.col(f"__off_{v}")).alias(f"{prefix}{v}") for v in values])
 
 

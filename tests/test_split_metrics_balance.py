@@ -97,3 +97,17 @@ def test_oversample_hot_row_is_chunked(spark, monkeypatch):
     rows = [(0, "a")] * 3 + [(i, "b") for i in range(30)]
     o = dict(BA.oversample(spark.createDataFrame(rows, "x int, y string"), "y").groupBy("y").count().collect())
     assert o == {"a": 30, "b": 30}
+
+
+def test_stratified_folds_keep_rows_with_missing_label(spark):
+    rows = [(i, None if i % 10 == 0 else f"c{i % 3}") for i in range(300)]
+    df = spark.createDataFrame(rows, "x int, y string")
+    f = SP.assign_folds(df, 5, 42, stratify="y")
+    assert f.count() == 300
+    assert f.where(F.col("y").isNull()).select("fold").distinct().count() == 5
+
+
+def test_auc_ignores_missing_labels(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, 0.1), (None, 0.5)], "y int, s double")
+    r = ME.roc_auc_binary(df, "y", "s").first()
+    assert (r["auc"], r["n_pos"], r["n_neg"]) == (1.0, 1, 1)
