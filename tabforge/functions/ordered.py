@@ -153,6 +153,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
                         if st[4] is None and st[3] > max_rows})
         if not cells:
             break
+        before_round = {k: tuple(v) for k, v in want.items()}
         long = df.select(F.inline(F.array(*[
             F.struct(F.lit(i).alias("cell"),
                      F.when(_in_cell(val[n], lo, hi),
@@ -178,6 +179,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
                             st[4] = mn
                         break
                     before += k
+        if all(tuple(v) == before_round[k] for k, v in want.items()):
+            break  # no cell narrowed (e.g. infinite bounds): rank what is left exactly
 
     # final: rank inside each remaining cell
     cells = sorted({(n, st[0], st[1]) for (n, _r), st in want.items() if st[4] is None})

@@ -72,3 +72,10 @@ def test_prefix_sums_many_groups_shuffle_path(spark, monkeypatch):
     out = O.prefix_sums(spark.createDataFrame(pdf), "g", ["k"], ["v"], num_partitions=9).toPandas()
     exp = pdf.sort_values(["g", "k"]).groupby("g")["v"].cumsum()
     assert list(out.sort_values(["g", "k"])["cum_v"]) == list(exp)
+
+
+def test_quantiles_with_infinities(spark):
+    xs = [float("-inf"), float("inf")] + [float(i) for i in range(100)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = {r["p"]: r["quantile"] for r in exact_quantiles(df, ["x"], [0.0, 0.5, 1.0], buckets=4, max_rows=10).collect()}
+    assert got == {0.0: float("-inf"), 0.5: 49.5, 1.0: float("inf")}
