@@ -92,3 +92,12 @@ def test_label_encode_shuffle_join_path(spark, monkeypatch):
     codes = {r["i"]: r["c"] for r in out}
     expected = {v: n for n, v in enumerate(sorted({f"k{i % 30}" for i in range(90)}))}
     assert all(codes[i] == expected[f"k{i % 30}"] for i in range(90))
+
+
+def test_onehot_boolean_and_date_columns(spark):
+    import datetime as dt
+    df = spark.createDataFrame([(True, dt.date(2024, 1, 2)), (False, dt.date(2024, 1, 1)), (None, dt.date(2024, 1, 2))],
+                               "flag boolean, day date")
+    out = EN.onehot_encode(df, ["flag", "day"])
+    assert out.columns == ["flag_True", "day_2024-01-02"]
+    assert [tuple(r) for r in out.collect()] == [(1, 1), (0, 0), (0, 1)]
