@@ -85,6 +85,22 @@ def value_or_null(name: str, dt: T.DataType) -> Column:
     return x
 
 
+def from_key(v, dt: T.DataType):
+    """Python value of a long-form key: booleans, dates and (time-zone
+    aware) timestamps are keyed by integers there (0/1, epoch days, epoch
+    microseconds); other values are returned as they are."""
+    import datetime as _dt
+    if v is None:
+        return None
+    if isinstance(dt, T.BooleanType):
+        return bool(v)
+    if isinstance(dt, T.DateType):
+        return _dt.date(1970, 1, 1) + _dt.timedelta(days=int(v))
+    if isinstance(dt, T.TimestampType):
+        return _dt.datetime(1970, 1, 1, tzinfo=_dt.timezone.utc) + _dt.timedelta(microseconds=int(v))
+    return v
+
+
 def normalize_missing(df: DataFrame, inf_as_missing: bool = False) -> DataFrame:
     """Turn NaN (and optionally +-inf) in float columns into NULL, in one projection.
 

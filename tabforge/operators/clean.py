@@ -121,7 +121,8 @@ def fit_imputer(df: DataFrame, strategy: str | Mapping[str, str] = "mean",
             params[k] = {"strategy": "median", "value": got.get(k), "missing": missing[k]}
     if mode_cols:
         m = modes(df, mode_cols, counts=value_counts_long(df, mode_cols)).collect()
-        got = {r["column"]: next((v for v in (r["i"], r["d"], r["s"]) if v is not None), None) for r in m}
+        got = {r["column"]: C.from_key(next((v for v in (r["i"], r["d"], r["s"]) if v is not None), None),
+                                       C.field(df, r["column"]).dataType) for r in m}
         for k in mode_cols:
             params[k] = {"strategy": "mode", "value": got.get(k)}
     for k, s in plan.items():

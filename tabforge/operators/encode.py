@@ -85,19 +85,6 @@ def cardinality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         (F.coalesce("unique", F.lit(0)) <= ONEHOT_MAX_DISTINCT).alias("allowed"))
 
 
-def _from_key(v, dt: T.DataType):
-    """Python value of a long-form key (booleans, dates and timestamps are
-    keyed by integers there)."""
-    import datetime as _dt
-    if isinstance(dt, T.BooleanType):
-        return bool(v)
-    if isinstance(dt, T.DateType):
-        return _dt.date(1970, 1, 1) + _dt.timedelta(days=int(v))
-    if isinstance(dt, T.TimestampType):
-        return _dt.datetime(1970, 1, 1, tzinfo=_dt.timezone.utc) + _dt.timedelta(microseconds=int(v))
-    return v
-
-
 def _dummy_suffix(v) -> str:
     if isinstance(v, float) and v.is_integer():
         return repr(v)
@@ -144,7 +131,7 @@ def fit_onehot(df: DataFrame, columns: Sequence[str], drop_first: bool = True,
         cats: dict[str, list] = {n: [] for n in cols}
         for r in vc.collect():  # bounded: at most max_distinct rows per column
             dt = C.field(df, r["column"]).dataType
-            cats[r["column"]].append(_from_key(next(v for v in (r["i"], r["d"], r["s"]) if v is not None), dt))
+            cats[r["column"]].append(C.from_key(next(v for v in (r["i"], r["d"], r["s"]) if v is not None), dt))
     finally:
         vc.unpersist()
     return OneHot({n: sorted(v) for n, v in cats.items()}, drop_first)

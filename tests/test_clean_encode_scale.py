@@ -101,3 +101,13 @@ def test_onehot_boolean_and_date_columns(spark):
     out = EN.onehot_encode(df, ["flag", "day"])
     assert out.columns == ["flag_True", "day_2024-01-02"]
     assert [tuple(r) for r in out.collect()] == [(1, 1), (0, 0), (0, 1)]
+
+
+def test_mode_imputation_dates_and_timestamps(spark):
+    import datetime as dt
+    rows = [(dt.date(2024, 1, 2), dt.datetime(2024, 5, 1, 10, 0)), (dt.date(2024, 1, 2), dt.datetime(2024, 5, 1, 10, 0)),
+            (dt.date(2023, 1, 1), dt.datetime(2020, 1, 1)), (None, None)]
+    df = spark.createDataFrame(rows, "d date, t timestamp")
+    out = CL.impute(df, "mode").collect()
+    assert out[3]["d"] == dt.date(2024, 1, 2)
+    assert out[3]["t"] == out[0]["t"]
