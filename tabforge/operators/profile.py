@@ -225,9 +225,20 @@ def _column_list(df: DataFrame, names: Sequence[str]) -> DataFrame:
 # ---------------------------------------------------------------- P4, P8
 
 def unique_counts(df: DataFrame, columns: Sequence[str] | None = None,
-                  counts: DataFrame | None = None) -> DataFrame:
-    """``(column, unique)``; missing values are not counted."""
+                  counts: DataFrame | None = None, rsd: float | None = None) -> DataFrame:
+    """``(column, unique)``; missing values are not counted.
+
+    Exact by default (long-form counts). ``rsd`` switches to HyperLogLog++
+    sketches (``approx_count_distinct`` with that relative standard
+    deviation): one aggregate, no shuffle of values, for very large tables.
+    """
     names = _columns(df, columns)
+    if rsd is not None:
+        row = df.agg(*[F.approx_count_distinct(C.value_or_null(n, C.field(df, n).dataType), rsd).alias(f"u{i}")
+                       for i, n in enumerate(names)])
+        return row.select(F.inline(F.array(*[
+            F.struct(F.lit(n).alias("column"), F.col(f"u{i}").cast("long").alias("unique"))
+            for i, n in enumerate(names)])))
     vc = counts if counts is not None else value_counts_long(df, names)
     u = vc.groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
     return _column_list(df, names).join(F.broadcast(u), "column", "left") \

@@ -113,3 +113,10 @@ def test_numeric_summary_ignores_nan(spark):
     r = P.numeric_summary(df).first()
     assert (r["count"], r["min"], r["max"], r["p50"]) == (2, 1.0, 3.0, 2.0)
     assert P.column_ranges(df).first()["max"] == 3.0
+
+
+def test_unique_counts_sketch_option(spark):
+    df = spark.createDataFrame([(i % 1000, float("nan") if i % 7 == 0 else float(i % 50)) for i in range(5000)],
+                               "a int, b double")
+    got = {r["column"]: r["unique"] for r in P.unique_counts(df, rsd=0.01).collect()}
+    assert abs(got["a"] - 1000) <= 30 and abs(got["b"] - 50) <= 2
