@@ -31,7 +31,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabforge.session import default_partitions, ensure_checkpoint_dir
+from tabforge.session import ensure_checkpoint_dir
 
 _PID = "__pid"
 BROADCAST_MAX_ROWS = 1_000_000
@@ -53,9 +53,12 @@ def prefix_sums(df: DataFrame, group: Sequence[str] | str | None,
     """
     group = _cols(group)
     order_exprs = [F.col(o) if isinstance(o, str) else o for o in order]
-    n = num_partitions or default_partitions(df.sparkSession)
-    ranged = df.repartitionByRange(n, *[F.col(g) for g in group], *order_exprs) \
-        .withColumn(_PID, F.spark_partition_id())
+    keys = [*[F.col(g) for g in group], *order_exprs]
+    # Without an explicit count AQE may coalesce neighbouring ranges to its
+    # advisory partition size; coalesced ranges stay in key order, so the
+    # partition id still orders the partitions.
+    ranged = (df.repartitionByRange(num_partitions, *keys) if num_partitions
+              else df.repartitionByRange(*keys)).withColumn(_PID, F.spark_partition_id())
     ranged = materialize(ranged)
 
     w_local = (Window.partitionBy(_PID, *group).orderBy(*order_exprs)

@@ -79,3 +79,10 @@ def test_quantiles_with_infinities(spark):
     df = spark.createDataFrame([(x,) for x in xs], "x double")
     got = {r["p"]: r["quantile"] for r in exact_quantiles(df, ["x"], [0.0, 0.5, 1.0], buckets=4, max_rows=10).collect()}
     assert got == {0.0: float("-inf"), 0.5: 49.5, 1.0: float("inf")}
+
+
+def test_prefix_sums_default_partitioning(spark):
+    pdf = pd.DataFrame({"g": [i % 3 for i in range(5000)], "k": range(5000), "v": [i % 11 for i in range(5000)]})
+    out = prefix_sums(spark.createDataFrame(pdf).repartition(13), "g", ["k"], ["v"]).toPandas()
+    exp = pdf.sort_values(["g", "k"]).groupby("g")["v"].cumsum()
+    assert list(out.sort_values(["g", "k"])["cum_v"]) == list(exp)
