@@ -28,7 +28,7 @@ from tabforge.operators import profile as P
 from tabforge.operators import scale as SC
 from tabforge.operators import split as SP
 from tabforge.plans import training as TR
-from tabforge.plans import pipeline as WF
+from tabforge.plans import workflow as WF
 from tabforge.session import ensure_checkpoint_dir
 from tabforge.sources import csv as CSV
 from tabforge.sources import store as ST
@@ -965,7 +965,7 @@ def q_feature_importance(spark, sf):
     return r.importance(spark)
 
 
-# ------------------------------------------------------------------ sources (S1-S10), pipeline
+# ------------------------------------------------------------------ sources (S1-S10), workflow
 
 def _scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the session's checkpoint directory (shared storage
@@ -1011,7 +1011,7 @@ def q_dataset_descriptor(spark, sf):
     return ST.describe_version(_t(spark, sf, "lineitem_dirty"), "v1").select("id", "n_rows", "n_cols")
 
 
-def _pipeline_sql() -> str:
+def _workflow_sql() -> str:
     src = _sql_from("lineitem_dirty")
     t = (f"select l_orderkey, l_linenumber, coalesce(qty, (select quantile_cont(qty, 0.5) from {src})) as qty, "
          f"l_extendedprice, discount, l_tax, returnflag, l_linestatus, l_shipdate from {src}")
@@ -1031,13 +1031,13 @@ def _workflow(spark, sf) -> WF.Workflow:
     return w
 
 
-@_register("pipeline_result", _pipeline_sql())
-def q_pipeline_result(spark, sf):
+@_register("workflow_result", _workflow_sql())
+def q_workflow_result(spark, sf):
     return _round(_workflow(spark, sf).df)
 
 
-@_register("pipeline_log")
-def q_pipeline_log(spark, sf):
+@_register("workflow_log")
+def q_workflow_log(spark, sf):
     return _workflow(spark, sf).log_df(spark)
 
 

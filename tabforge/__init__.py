@@ -9,7 +9,7 @@ Subpackages
 sources    table catalog, CSV ingestion, versioned save/load, export
 operators  profiling, cleaning, imputation, encoding, scaling, split, balance
 functions  column helpers, distributed ordered statistics, metrics, insights
-plans      model training, tuning, cross-validation, step pipeline
+plans      model training, tuning, cross-validation, step workflow
 streaming  applying fitted transforms to streaming DataFrames
 """
 

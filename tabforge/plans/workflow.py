@@ -1,4 +1,4 @@
-"""Step pipeline with a log (G1-G2): the reference's sequence of requests as
+"""Step workflow with a log (G1-G2): the reference's sequence of requests as
 one object. Each step returns a new lazy DataFrame; the log records what
 really changed, and ``checkpoint_every`` cuts the lineage of long pipelines
 (reliable checkpoint in ``spark.checkpoint.dir``)."""

@@ -2,7 +2,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from tabforge.plans.pipeline import Workflow
+from tabforge.plans.workflow import Workflow
 from tabforge.sources import csv as CSV
 from tabforge.sources import store as ST
 from tabforge.sources.tables import load_table
