@@ -249,14 +249,25 @@ def value_counts_top(df: DataFrame, columns: Sequence[str] | None = None, k: int
                      max_distinct: int = VALUE_COUNT_MAX_DISTINCT,
                      counts: DataFrame | None = None) -> DataFrame:
     """Top-``k`` values of string columns and of columns with at most
-    ``max_distinct`` distinct values: ``(column, value, count, rank)``."""
+    ``max_distinct`` distinct values: ``(column, value, count, rank)``.
+
+    Eligibility is decided first (distinct counts of the non-string columns,
+    one row per column to the driver); the top-k pass then counts only the
+    eligible columns, so near-unique numeric columns are never shuffled twice.
+    """
     names = _columns(df, columns)
-    vc = counts if counts is not None else value_counts_long(df, names)
-    u = vc.groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
-    eligible = _column_list(df, names).join(F.broadcast(u), "column") \
-        .where((F.col("kind") == "categorical") | (F.col("unique") <= max_distinct)) \
-        .select("column")
-    top = top_k_per_group(vc.join(F.broadcast(eligible), "column"), "column", _value_order(), k)
+    strings = [n for n in names if C.kind(C.field(df, n).dataType) == "categorical"]
+    others = [n for n in names if n not in strings]
+    small = []
+    if others:
+        src = counts.where(F.col("column").isin(others)) if counts is not None else value_counts_long(df, others)
+        u = {r["column"]: r["n"] for r in src.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+        small = [n for n in others if u.get(n, 0) <= max_distinct]
+    eligible = [n for n in names if n in strings or n in small]
+    if not eligible:
+        return _spark(df).createDataFrame([], "column string, value string, count long, rank long")
+    vc = counts.where(F.col("column").isin(eligible)) if counts is not None else value_counts_long(df, eligible)
+    top = top_k_per_group(vc, "column", _value_order(), k)
     return top.select("column", _render(df, names).alias("value"),
                       F.col("cnt").alias("count"), F.col("rank").cast("long").alias("rank"))
 
