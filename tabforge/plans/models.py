@@ -45,6 +45,8 @@ MAX_DEPTH_UNLIMITED = 30      # MLlib's ceiling stands in for "no limit"
 RF_DEFAULTS = {"n_estimators": 100, "max_depth": 10, "min_samples_split": 2}
 GBT_DEFAULTS = {"n_estimators": 100, "max_depth": 3, "learning_rate": 0.1}
 
+OVR_PARALLELISM = 4          # one-vs-rest class models fitted at the same time
+
 _FAMILY = {"Random Forest": "rf", "rf": "rf", "random_forest": "rf",
            "XGBoost": "gbt", "LightGBM": "gbt", "gbt": "gbt"}
 
@@ -95,7 +97,9 @@ def make_estimator(model_name: str, task: str, n_classes: int = 2,
         if n_classes <= 2:
             return GBTClassifier(**common, **kw)
         inner = GBTClassifier(**common, **kw)
-        return OneVsRest(classifier=inner, featuresCol=features, labelCol=label)
+        # one binary booster per class, fitted concurrently (each is a cluster job)
+        return OneVsRest(classifier=inner, featuresCol=features, labelCol=label,
+                         parallelism=min(n_classes, OVR_PARALLELISM))
     if task == "regression":
         if fam == "rf":
             return RandomForestRegressor(featureSubsetStrategy="all", **common, **kw)
