@@ -115,9 +115,12 @@ def _prep_pipeline(target: str, features: list[str], task: str) -> Pipeline:
 def _score(pred: DataFrame, task: str, metric: str | None = None) -> float:
     if task == "classification":
         r = pred.agg(F.avg(F.when(F.col("label") == F.col("prediction"), 1.0).otherwise(0.0))).first()[0]
-        return float(r)
-    m = ME.regression_metrics(pred, "label", "prediction").first()
-    return float(m["mse"] if metric == "mse" else m["r2"])
+    else:
+        m = ME.regression_metrics(pred, "label", "prediction").first()
+        r = m["mse"] if metric == "mse" else m["r2"]
+    if r is None:
+        raise ValueError("no rows to score: the split or fold is empty (too few rows for this test_size / folds)")
+    return float(r)
 
 
 def _fold_fits(est_factory, data: DataFrame, task: str, points: list[dict], folds: int,
