@@ -311,8 +311,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None,
     # exact: the one wide aggregate (one row, bounded by the column count) also
     # seeds the quantile search, so the table is not scanned again for min/max
     row = df.agg(*aggs).first()
-    seed = {n: (row[f"count__{i}"], row[f"min__{i}"], row[f"max__{i}"])
-            for i, n in enumerate(names) if row[f"count__{i}"]}
+    seed = {n: (row[f"count__{i}"], row[f"min__{i}"], row[f"max__{i}"]) for i, n in enumerate(names)}
     qs = {(r["column"], r["p"]): r["quantile"]
           for r in exact_quantiles(df, names, SUMMARY_PROBS, stats=seed).collect()}
     out = [(n, row[f"count__{i}"], row[f"mean__{i}"], row[f"std__{i}"], row[f"min__{i}"],

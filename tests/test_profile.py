@@ -120,3 +120,9 @@ def test_unique_counts_sketch_option(spark):
                                "a int, b double")
     got = {r["column"]: r["unique"] for r in P.unique_counts(df, rsd=0.01).collect()}
     assert abs(got["a"] - 1000) <= 30 and abs(got["b"] - 50) <= 2
+
+
+def test_numeric_summary_all_null_column(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, None)], "a double, b double")
+    got = {r["column"]: r for r in P.numeric_summary(df).collect()}
+    assert got["b"]["count"] == 0 and got["b"]["p50"] is None and got["a"]["p50"] == 1.5
