@@ -94,3 +94,14 @@ def test_workflow_checkpoint_every(spark):
     w = Workflow(df, checkpoint_every=1)
     w.scale("MinMaxScaler", ["o_totalprice"]).encode("Label Encoding", ["o_orderstatus"])
     assert w.df.count() == df.count() and len(w.log) == 2
+
+
+def test_csv_odd_header_names(spark, tmp_dir):
+    from tabforge.operators import profile as P
+    p = f"{tmp_dir}/iris.csv"
+    _write(p, b"sepal width (cm),a.b,target\n3.5,1,0\n3.0,,1\n3.2,2,1\n")
+    df = CSV.read_csv(spark, p)
+    assert df.columns == ["sepal width (cm)", "a.b", "target"]
+    assert dict(df.dtypes) == {"sepal width (cm)": "double", "a.b": "bigint", "target": "bigint"}
+    s = {r["column"]: r["p50"] for r in P.numeric_summary(df).collect()}
+    assert s == {"sepal width (cm)": 3.2, "a.b": 1.5, "target": 1.0}
