@@ -18,7 +18,10 @@ from tabforge.functions.ordered import dense_index
 ONEHOT_MAX_DISTINCT = 50
 # Text used for a missing value by label encoding (str() of a float NaN).
 MISSING_LABEL = "nan"
-# Label maps up to this many rows are broadcast; larger ones use a shuffle join.
+# Label codes: up to LITERAL_MAX_CODES per column become a literal map in the
+# projection; larger code tables are broadcast up to BROADCAST_MAX_ROWS rows,
+# and joined with a shuffle beyond that.
+LITERAL_MAX_CODES = 10_000
 BROADCAST_MAX_ROWS = 1_000_000
 
 
@@ -53,20 +56,51 @@ def label_maps(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def label_encode(df: DataFrame, columns: Sequence[str],
                  maps: DataFrame | None = None) -> DataFrame:
-    """Replace each column by its code (bigint), in place."""
+    """Replace each column by its code (bigint), in place.
+
+    Columns with at most ``LITERAL_MAX_CODES`` categories get their codes as a
+    literal map (the transform is a projection, like the other fitted steps);
+    larger ones get a distributed code table joined back (broadcast up to
+    ``BROADCAST_MAX_ROWS`` codes, shuffle join beyond).
+    """
     cols = validate_columns(df, columns)
-    maps = maps if maps is not None else label_maps(df, cols)
-    sizes = {r["column"]: r["n"] for r in maps.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if maps is None:
+        long = df.select(F.inline(F.array(*[
+            F.struct(F.lit(n).alias("column"), _as_label(df, n).alias("value")) for n in cols])))
+        distinct = long.distinct()
+        sizes = {r["column"]: r["n"] for r in
+                 distinct.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+        small = [n for n in cols if sizes.get(n, 0) <= LITERAL_MAX_CODES]
+        literal: dict[str, list[str]] = {n: [] for n in small}
+        if small:
+            for r in distinct.where(F.col("column").isin(small)).collect():  # bounded per column
+                literal[r["column"]].append(r["value"])
+        big = [n for n in cols if n not in literal]
+        maps = label_maps(df, big) if big else None
+    else:
+        sizes = {r["column"]: r["n"] for r in maps.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+        literal, big = {}, list(cols)
+
     out = df
-    for i, n in enumerate(cols):
+    for i, n in enumerate(big):
         m = maps.where(F.col("column") == n).select(
             F.col("value").alias(f"__v{i}"), F.col("code").alias(f"__c{i}"))
         if sizes.get(n, 0) <= BROADCAST_MAX_ROWS:
             m = F.broadcast(m)
         out = out.join(m, _as_label(out, n) == F.col(f"__v{i}"), "left")
-    return out.select(*[
-        F.col(f"__c{cols.index(f.name)}").cast("long").alias(f.name) if f.name in cols else C.c(f.name)
-        for f in df.schema.fields])
+    exprs = []
+    for f in df.schema.fields:
+        if f.name in literal:
+            # code = position in byte-wise (code point) order, as Spark sorts strings
+            values = sorted(literal[f.name])
+            pairs = [x for code, v in enumerate(values) for x in (F.lit(v), F.lit(code))]
+            lookup = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,int>")
+            exprs.append(F.element_at(lookup, _as_label(df, f.name)).cast("long").alias(f.name))
+        elif f.name in big:
+            exprs.append(F.col(f"__c{big.index(f.name)}").cast("long").alias(f.name))
+        else:
+            exprs.append(C.c(f.name))
+    return out.select(*exprs)
 
 
 # ---------------------------------------------------------------- E2, E3
