@@ -40,10 +40,16 @@ HYPERPARAMETER_GRIDS = {
 RANDOM_SEARCH_POINTS = 20
 CV_FOLDS = 5
 
-# MLlib limits / defaults used when a reference parameter has no equivalent
-MAX_DEPTH_UNLIMITED = 30      # MLlib's ceiling stands in for "no limit"
-RF_DEFAULTS = {"n_estimators": 100, "max_depth": 10, "min_samples_split": 2}
-GBT_DEFAULTS = {"n_estimators": 100, "max_depth": 3, "learning_rate": 0.1}
+# Untuned defaults per model name: the named libraries' public defaults,
+# except where MLlib needs a bound. A forest's "no depth limit" would be
+# MLlib's ceiling of 30 (MAX_DEPTH_UNLIMITED); the untuned forest uses 10.
+# LightGBM grows 31 leaves per tree, about depth 5 for a depth-wise learner.
+MAX_DEPTH_UNLIMITED = 30
+DEFAULTS = {
+    "Random Forest": {"n_estimators": 100, "max_depth": 10, "min_samples_split": 2},
+    "XGBoost": {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.3},
+    "LightGBM": {"n_estimators": 100, "max_depth": 5, "learning_rate": 0.1},
+}
 
 OVR_PARALLELISM = 4          # one-vs-rest class models fitted at the same time
 
@@ -85,7 +91,7 @@ def make_estimator(model_name: str, task: str, n_classes: int = 2,
                    features: str = "features", label: str = "label", weight: str | None = None):
     """An MLlib estimator with seed 42 and the reference's defaults."""
     fam = family(model_name)
-    base = dict(RF_DEFAULTS if fam == "rf" else GBT_DEFAULTS)
+    base = dict(DEFAULTS.get(model_name, DEFAULTS["Random Forest" if fam == "rf" else "XGBoost"]))
     base.update(params or {})
     kw = to_mllib(fam, base)
     common = {"featuresCol": features, "labelCol": label, "seed": SEED}
