@@ -81,6 +81,11 @@ class Workflow:
         removed = CL.duplicates_removed(self.df, out).first()["removed"]
         return self._step("Remove Duplicates", f"Removed {removed} duplicate rows", out)
 
+    def info(self) -> dict[str, DataFrame]:
+        """The current table's profile (P1-P15) as lazy DataFrames."""
+        from tabforge.operators.profile import profile
+        return profile(self.df)
+
     def train(self, target: str, **kw) -> TR.TrainResult:
         return TR.train(self.df, target, **kw)
 

@@ -105,3 +105,10 @@ def test_csv_odd_header_names(spark, tmp_dir):
     assert dict(df.dtypes) == {"sepal width (cm)": "double", "a.b": "bigint", "target": "bigint"}
     s = {r["column"]: r["p50"] for r in P.numeric_summary(df).collect()}
     assert s == {"sepal width (cm)": 3.2, "a.b": 1.5, "target": 1.0}
+
+
+def test_workflow_info(spark):
+    w = Workflow(load_table(spark, SF, "customer"))
+    info = w.info()
+    assert info["shape"].first()["n_rows"] == 150
+    assert {r["column"] for r in info["categorical_summary"].collect()} == {"c_name", "c_mktsegment"}
