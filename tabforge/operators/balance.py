@@ -53,8 +53,16 @@ def _collapsed(df: DataFrame, label: str, seed: int) -> DataFrame:
 
 
 def _expand(df: DataFrame, copies: Column, columns: list[str]) -> DataFrame:
-    """Emit each row ``copies`` times, at most ``CHUNK`` per generated row."""
+    """Emit each row ``copies`` times, at most ``CHUNK`` per generated row.
+
+    When no row needs more than ``CHUNK`` copies (one small aggregate over the
+    stored ranking tells) the rows are generated in place, without a shuffle.
+    """
     t = df.withColumn("__n", copies.cast("long")).where(F.col("__n") > 0)
+    most = t.agg(F.max("__n")).first()[0] or 0
+    if most <= CHUNK:
+        rows = t.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
+        return rows.select(*[C.c(n) for n in columns])
     chunks = t.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"),
                                                       F.floor((F.col("__n") - 1) / CHUNK).cast("long"))))
     chunks = chunks.withColumn("__m", F.least(F.lit(CHUNK).cast("long"), F.col("__n") - F.col("__k") * CHUNK))
