@@ -55,3 +55,20 @@ def test_negative_zero_rewrite():
     assert E._fold_negative_zero(sql) == (
         "select (round(a, 6) + 0.0) x, (round((b - (round(c, 2) + 0.0)) / d, 6) + 0.0) y, "
         "'round(q' z, around(1) from t")
+
+
+ROWS_ONLY = sorted(set(E.queries()) - set(E.oracle_sql()))
+
+
+@pytest.mark.parametrize("name", ROWS_ONLY)
+def test_rows_only_query_runs(spark, name):
+    df = E.queries()[name](spark, SF)
+    assert len(set(df.columns)) == len(df.columns)
+    assert df.count() > 0
+
+
+def test_query_names():
+    import re
+    for name in E.queries():
+        assert re.fullmatch(r"[a-z][a-z0-9_]*", name)
+        assert "pipeline" not in name and not re.match(r"op\d+_", name)
