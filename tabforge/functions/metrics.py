@@ -20,10 +20,20 @@ from tabforge.functions.ordered import prefix_sums
 
 # ---------------------------------------------------------------- classification
 
+def _common(df: DataFrame, label: str, prediction: str) -> tuple[Column, Column]:
+    """Label and prediction in one type (an int label and a double prediction
+    are compared as doubles), so each class has one key."""
+    from tabforge.functions.cols import field, is_numeric
+    lt, pt = field(df, label).dataType, field(df, prediction).dataType
+    if lt != pt and is_numeric(lt) and is_numeric(pt):
+        return c(label).cast("double"), c(prediction).cast("double")
+    return c(label), c(prediction)
+
+
 def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """``(label, prediction, count)`` (long form, one row per cell)."""
-    return df.groupBy(c(label).alias("label"), c(prediction).alias("prediction")) \
-        .agg(F.count(F.lit(1)).alias("count"))
+    y, p = _common(df, label, prediction)
+    return df.groupBy(y.alias("label"), p.alias("prediction")).agg(F.count(F.lit(1)).alias("count"))
 
 
 def confusion_wide(df: DataFrame, label: str, prediction: str) -> DataFrame:

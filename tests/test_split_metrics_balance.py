@@ -111,3 +111,11 @@ def test_auc_ignores_missing_labels(spark):
     df = spark.createDataFrame([(1, 0.9), (0, 0.1), (None, 0.5)], "y int, s double")
     r = ME.roc_auc_binary(df, "y", "s").first()
     assert (r["auc"], r["n_pos"], r["n_neg"]) == (1.0, 1, 1)
+
+
+def test_metrics_with_int_label_and_double_prediction(spark):
+    df = spark.createDataFrame([(1, 1.0), (0, 0.0), (1, 0.0), (0, 0.0)], "y int, p double")
+    m = ME.classification_metrics(df, "y", "p").first()
+    assert m["accuracy"] == 0.75
+    # class 1: precision 1, recall 0.5 -> f1 2/3; class 0: precision 2/3, recall 1 -> f1 0.8
+    assert m["weighted_f1"] == pytest.approx((2 * (2 / 3) + 2 * 0.8) / 4)
