@@ -14,6 +14,7 @@ the oracle, so both sides compute over exactly the same rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -1049,9 +1050,24 @@ def entry(spark: SparkSession) -> DataFrame:
     return _round(P.numeric_summary(load_table(spark, SF_SMOKE, "lineitem")))
 
 
+def _corpus() -> tuple[dict, dict]:
+    """Queries and SQL of the training-data subpackage; none where its folder is absent."""
+    found: tuple[dict, dict] = ({}, {})
+    for module in ("tabforge.llm.registry", "corpus_pipeline"):
+        try:
+            m = import_module(module)
+        except ModuleNotFoundError as e:
+            if e.name not in ("tabforge.llm", module):
+                raise
+            continue
+        found[0].update(m.QUERIES)
+        found[1].update(m.SQL)
+    return found
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_Q)
+    return _Q | _corpus()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: _fold_negative_zero(v) for k, v in _SQL.items()}
+    return {k: _fold_negative_zero(v) for k, v in _SQL.items()} | _corpus()[1]
