@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from tabforge.session import ensure_checkpoint_dir
 
-PIECE = 2 << 20  # bytes of text that a numpy step handles at once
+PIECE = 1 << 20  # bytes of text that a numpy step handles at once
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 U64 = np.uint64
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
@@ -34,11 +35,15 @@ def documents(spark: SparkSession, sf: str, name: str = "documents") -> DataFram
 
 
 def ready(df: DataFrame) -> DataFrame:
-    """Let Python workers find this package where it is on the driver too; clusters that ship or install it lose nothing."""
+    """Let Python workers find this package where it is on the driver too (clusters that ship or install it lose
+    nothing), and bound the bytes of an Arrow batch where the session doesn't."""
     paths = df.sparkSession.sparkContext.environment
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     if root not in paths.get("PYTHONPATH", "").split(os.pathsep):
         paths["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths.get("PYTHONPATH")]))
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES, None) is None:  # else 10,000 texts of any length come at once
+        conf.set(BATCH_BYTES, str(PIECE))
     return df
 
 
@@ -72,7 +77,8 @@ def slices(batches, limit: int = PIECE):
     """Yield record batches of about ``limit`` bytes of ``text`` (NULL as empty) with its bytes and offsets."""
     for batch in batches:
         i = batch.schema.get_field_index("text")
-        text = pc.fill_null(batch.column(i), "").cast(pa.large_string())
+        text = batch.column(i)
+        text = (pc.fill_null(text, "") if text.null_count else text).cast(pa.large_string())
         if not len(text):
             continue
         offs = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset:text.offset + len(text) + 1]
