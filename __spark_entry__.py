@@ -1007,9 +1007,12 @@ def q_head_sample(spark, sf):
 
 
 @_register("dataset_descriptor",
-           f"select 'v1' as id, count(*) as n_rows, 10 as n_cols from {_sql_from('lineitem_dirty')}")
+           f"select 'v1' as id, count(*) as n_rows, 10 as n_cols, '{','.join(DIRTY_COLS)}' as columns, "
+           f"'bigint,bigint,int,double,double,double,double,string,string,timestamp_ntz' as dtypes "
+           f"from {_sql_from('lineitem_dirty')}")
 def q_dataset_descriptor(spark, sf):
-    return ST.describe_version(_t(spark, sf, "lineitem_dirty"), "v1").select("id", "n_rows", "n_cols")
+    return ST.describe_version(_t(spark, sf, "lineitem_dirty"), "v1").withColumns(
+        {x: F.array_join(x, ",") for x in ("columns", "dtypes")})
 
 
 def _workflow_sql() -> str:
@@ -1042,6 +1045,106 @@ def q_workflow_log(spark, sf):
     return _workflow(spark, sf).log_df(spark)
 
 
+# ------------------------------------------------------------------ hard cases of earlier operators
+
+# text that a CSV file must quote; the same expression builds it in both engines
+CSV_EDGE = ("select l_orderkey, l_linenumber, case l_linenumber % 5 "
+            "when 0 then concat('say \"', l_returnflag, '\", ok') when 1 then concat(' pad ', l_linestatus, ' ') "
+            "when 2 then concat('C:', chr(92), l_returnflag, chr(92)) when 3 then concat('two', chr(10), l_linestatus) "
+            "else concat('a,b;', l_returnflag) end as note from lineitem")
+
+
+def _sql(spark, sf, text: str, *tables: str) -> DataFrame:
+    """The text over tables read as they are (no missing-value normalisation)."""
+    for t in tables:
+        text = text.replace(f"from {t}", f"from parquet.`{sf}/{t}.parquet`")
+    return spark.sql(text)
+
+
+@_register("csv_edge_cases", CSV_EDGE.replace("l_linenumber, case", "cast(l_linenumber as bigint) as l_linenumber, case"))
+def q_csv_edge_cases(spark, sf):
+    path = _scratch(spark, "csv") + "/notes.csv"
+    ST.export_data(_sql(spark, sf, CSV_EDGE, "lineitem"), path, "csv")
+    return CSV.read_csv(spark, path)
+
+
+@_register("split_summary", " union all ".join(
+    f"select '{t}' as source, '{p}' as split, {n} as n from {_sql_from(t)}" for t in ("lineitem", "lineitem_flags")
+    for p, n in (("test", "(count(*) * 2000 + 9999) // 10000"), ("train", "count(*) - (count(*) * 2000 + 9999) // 10000"))))
+def q_split_summary(spark, sf):
+    out = [SP.exact_split(_t(spark, sf, t), 0.2).groupBy("split").agg(F.count("*").alias("n")).select(
+        F.lit(t).alias("source"), "split", "n") for t in ("lineitem", "lineitem_flags")]
+    return out[0].union(out[1])
+
+
+@_register("fold_summary", " union all ".join(
+    f"select '{t}' as source, l_returnflag as label, count(*) as n, cast(5 as bigint) as folds, true as even "
+    f"from {_sql_from(t)} group by 2" for t in ("lineitem", "lineitem_flags")))
+def q_fold_summary(spark, sf):
+    out = []
+    for t in ("lineitem", "lineitem_flags"):
+        per = SP.exact_folds(_t(spark, sf, t), 5, stratify="l_returnflag").groupBy("l_returnflag", "fold").agg(F.count("*").alias("n"))
+        out.append(per.groupBy(F.col("l_returnflag").alias("label")).agg(
+            F.sum("n").alias("n"), F.count("*").alias("folds"), (F.max("n") - F.min("n") <= 1).alias("even")).select(
+            F.lit(t).alias("source"), "label", "n", "folds", "even"))
+    return out[0].union(out[1])
+
+
+# one class per class size: the counts after balancing, and that every row comes from the table
+def _balanced_sql(size: str) -> str:
+    return (f"with c as (select l_returnflag as label, count(*) as n from lineitem group by 1) "
+            f"select label, (select {size}(n) from c) as n, (select {size}(n) from c) as from_table from c")
+
+
+def _balanced(spark, sf, f) -> DataFrame:
+    table = _t(spark, sf, "lineitem")
+    own = table.dropDuplicates()
+    out = f(table, "l_returnflag", seed=42)
+    inside = out.join(own, [out[x].eqNullSafe(own[x]) for x in table.columns], "left_semi")
+    return out.groupBy(F.col("l_returnflag").alias("label")).agg(F.count("*").alias("n")).join(
+        inside.groupBy(F.col("l_returnflag").alias("label")).agg(F.count("*").alias("from_table")), "label")
+
+
+@_register("undersample_counts", _balanced_sql("min"))
+def q_undersample_counts(spark, sf):
+    return _balanced(spark, sf, BA.undersample)
+
+
+@_register("oversample_counts", _balanced_sql("max"))
+def q_oversample_counts(spark, sf):
+    return _balanced(spark, sf, BA.oversample)
+
+
+DOUBLES = ("select l_orderkey, l_linenumber, l_quantity, case l_linenumber when 1 then cast(0.0001 as double) when 2 then cast(0.5 as double) "
+           "when 3 then cast(10000000.0 as double) when 4 then cast(0.00001 as double) else l_tax end as x from lineitem")
+
+
+@_register("label_encode_double",
+           f"select l_orderkey, l_linenumber, l_quantity, dense_rank() over (order by cast(x as varchar)) - 1 as x from ({DOUBLES})")
+def q_label_encode_double(spark, sf):
+    return _round(EN.label_encode(_sql(spark, sf, DOUBLES, "lineitem"), ["x"]))
+
+
+NANS = ("select l_orderkey, l_linenumber, case when l_linenumber = 2 then cast('NaN' as double) else l_quantity end as x from lineitem")
+INFS = ("select case when l_linenumber = 7 then cast('Infinity' as double) else l_quantity end as x, "
+        "cast(l_quantity as decimal(30,2)) as y from lineitem")
+
+
+@_register("impute_nan_mean", f"select l_orderkey, l_linenumber, round(case when isnan(x) then "
+                              f"(select avg(x) from ({NANS}) where not isnan(x)) else x end, {ND}) as x from ({NANS})")
+def q_impute_nan_mean(spark, sf):
+    return _round(CL.impute(_sql(spark, sf, NANS, "lineitem"), "mean", ["x"]))
+
+
+@_register("numeric_summary_inf", f"select 'x' as \"column\", count(*) as \"count\", null::double as mean, null::double as std, min(x) as min, "
+                                  f"quantile_cont(x, 0.25) as p25, quantile_cont(x, 0.5) as p50, quantile_cont(x, 0.75) as p75, "
+                                  f"null::double as max from ({INFS}) union all "
+                                  f"select 'y', count(*), round(avg(y::double), {ND}), round(stddev_samp(y::double), {ND}), min(y::double), "
+                                  f"quantile_cont(y::double, 0.25), quantile_cont(y::double, 0.5), quantile_cont(y::double, 0.75), max(y::double) from ({INFS})")
+def q_numeric_summary_inf(spark, sf):
+    return _round(P.numeric_summary(_sql(spark, sf, INFS, "lineitem")))
+
+
 # ------------------------------------------------------------------ contract
 
 def entry(spark: SparkSession) -> DataFrame:

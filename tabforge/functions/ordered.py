@@ -99,8 +99,27 @@ def _in_cell(v: Column, lo: float, hi: float) -> Column:
     return v.isNotNull() & (v >= F.lit(lo)) & (v <= F.lit(hi))
 
 
+_LOG_SHIFT, _LOG_INF = 1100.0, 2200.0     # log2 of a finite double lies within +-1075
+
+
+def _signed_log(v: float) -> float:
+    if v == 0.0:
+        return 0.0
+    return math.copysign(_LOG_INF if math.isinf(v) else math.log2(abs(v)) + _LOG_SHIFT, v)
+
+
+def _share(x: Column, lo: float, hi: float) -> Column:
+    """Monotone place of x between lo and hi, about 0 to 1."""
+    a, b = _signed_log(lo), _signed_log(hi)
+    if a == b or (not math.isinf(lo) and not math.isinf(hi) and lo * hi > 0 and max(abs(lo), abs(hi)) <= 2 * min(abs(lo), abs(hi))):
+        return (x - F.lit(lo)) / F.lit(hi - lo)
+    size = F.when(F.abs(x) == F.lit(float("inf")), F.lit(_LOG_INF)).otherwise(F.log2(F.abs(x)) + F.lit(_LOG_SHIFT))
+    place = F.when(x == 0.0, F.lit(0.0)).otherwise(F.signum(x) * size)
+    return (place - F.lit(a)) / F.lit(b - a)
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                    buckets: int = 1024, max_rows: int = 50_000, max_rounds: int = 8,
+                    buckets: int = 1024, max_rows: int = 50_000,
                     stats: dict[str, tuple] | None = None) -> DataFrame:
     """Exact linearly-interpolated quantiles of several numeric columns.
 
@@ -113,11 +132,13 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     rank sits in a closed value interval ("cell") ``[lo, hi]`` of actual
     values, with ``base`` values below it; at first the cell is the whole
     column. While a cell holds more than ``max_rows`` values, one scan counts
-    its values in ``buckets`` equal-width sub-ranges (count, min, max per
-    bucket) and the rank moves to the bucket that holds it. The bucket index
-    ``floor((v - lo) / (hi - lo) * buckets)`` is monotone in ``v``, so each
-    bucket is a contiguous run of values and its exact min/max bound the next
-    cell. Finally the values of each small cell are counted per distinct value
+    its values in ``buckets`` sub-ranges (count, min, max per bucket) and the
+    rank moves to the bucket that holds it. Sub-ranges have equal widths in
+    ``log2`` of the magnitude, so that heavy tails and infinities take a round
+    or two, and in the value itself where a cell spans less than a factor of
+    two. Both are monotone in ``v``: each bucket is a contiguous run of values
+    and its exact min/max bound the next cell. The ends of a cell fall into
+    different buckets, so every round narrows it and the search ends. Finally the values of each small cell are counted per distinct value
     and ranked by a window partitioned by cell. A hot value collapses into one
     (value, count) row, and a cell with a single value is resolved without a
     window. Only cell statistics (cells x buckets rows) reach the driver.
@@ -151,16 +172,15 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
                 for r in {math.floor(h), math.ceil(h)}:
                     want[(n, r)] = [lo, hi, 0, total[n], lo if lo == hi else None]
 
-    for _ in range(max_rounds):
+    while True:
         cells = sorted({(n, st[0], st[1]) for (n, _r), st in want.items()
                         if st[4] is None and st[3] > max_rows})
         if not cells:
             break
-        before_round = {k: tuple(v) for k, v in want.items()}
         long = df.select(F.inline(F.array(*[
             F.struct(F.lit(i).alias("cell"),
                      F.when(_in_cell(val[n], lo, hi),
-                            F.least(F.floor((val[n] - F.lit(lo)) / F.lit(hi - lo) * F.lit(buckets)),
+                            F.least(F.floor(_share(val[n], lo, hi) * F.lit(buckets)),
                                     F.lit(buckets - 1))).alias("b"),
                      val[n].alias("v"))
             for i, (n, lo, hi) in enumerate(cells)])))
@@ -182,8 +202,6 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
                             st[4] = mn
                         break
                     before += k
-        if all(tuple(v) == before_round[k] for k, v in want.items()):
-            break  # no cell narrowed (e.g. infinite bounds): rank what is left exactly
 
     # final: rank inside each remaining cell
     cells = sorted({(n, st[0], st[1]) for (n, _r), st in want.items() if st[4] is None})

@@ -9,7 +9,7 @@ single task has to emit an unbounded number of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.functions import cols as C
@@ -17,8 +17,7 @@ from tabforge.functions.ordered import prefix_sums
 from tabforge.session import default_partitions
 
 DEFAULT_SEED = 42
-CHUNK = 100_000          # rows emitted per chunk when re-expanding copies
-BROADCAST_MAX_CLASSES = 100_000
+CHUNK = 1_000            # rows emitted per chunk when re-expanding copies
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -30,21 +29,21 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """``(label, count, weight)`` with ``weight = n / (k * n_c)``."""
     cc = class_counts(df, label)
-    # n = total rows and k = classes: window aggregates over the class table,
-    # one row per class (an aggregated set, never the data itself)
-    w = Window.partitionBy()
-    return cc.select(label, "count", (F.sum("count").over(w) / (F.count(F.lit(1)).over(w) * F.col("count")))
-                     .alias("weight"))
+    total = cc.agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("k")).first()
+    return cc.select(label, "count", (F.lit(total["n"]) / (F.lit(total["k"]) * F.col("count"))).alias("weight"))
 
 
 def with_class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """Attach the B3 weight to every row (usable as an MLlib ``weightCol``)."""
     w = class_weights(df, label).select(F.col(label).alias("__y"), F.col("weight").alias(name))
-    k = w.count()
-    w = F.broadcast(w) if k <= BROADCAST_MAX_CLASSES else w
     return df.join(w, C.c(label).eqNullSafe(F.col("__y")), "left").drop("__y")
 
 
+def _no_missing(df: DataFrame, label: str) -> None:
+    if not df.where(C.c(label).isNull()).isEmpty():
+        raise ValueError(f"{label} has missing values; drop or fill those rows before balancing")
+
+
 def _collapsed(df: DataFrame, label: str, seed: int) -> DataFrame:
     """Distinct rows with their multiplicity, the class and a seeded order key."""
     g = df.groupBy(*[C.c(n) for n in df.columns]).agg(F.count(F.lit(1)).alias("__c"))
@@ -53,20 +52,12 @@ def _collapsed(df: DataFrame, label: str, seed: int) -> DataFrame:
 
 
 def _expand(df: DataFrame, copies: Column, columns: list[str]) -> DataFrame:
-    """Emit each row ``copies`` times, at most ``CHUNK`` per generated row.
-
-    When no row needs more than ``CHUNK`` copies (one small aggregate over the
-    stored ranking tells) the rows are generated in place, without a shuffle.
-    """
+    """Emit each row ``copies`` times, in chunks of ``CHUNK`` that are spread over tasks first, so that
+    neither a hot row nor a small class that grows a lot is written by one task."""
     t = df.withColumn("__n", copies.cast("long")).where(F.col("__n") > 0)
-    most = t.agg(F.max("__n")).first()[0] or 0
-    if most <= CHUNK:
-        rows = t.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
-        return rows.select(*[C.c(n) for n in columns])
     chunks = t.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"),
                                                       F.floor((F.col("__n") - 1) / CHUNK).cast("long"))))
     chunks = chunks.withColumn("__m", F.least(F.lit(CHUNK).cast("long"), F.col("__n") - F.col("__k") * CHUNK))
-    # spread chunks of one hot row over tasks before generating their rows
     chunks = chunks.repartition(default_partitions(df.sparkSession), "__h", "__k")
     rows = chunks.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__m"))))
     return rows.select(*[C.c(n) for n in columns])
@@ -75,7 +66,8 @@ def _expand(df: DataFrame, copies: Column, columns: list[str]) -> DataFrame:
 def undersample(df: DataFrame, label: str, seed: int = DEFAULT_SEED) -> DataFrame:
     """B1: every class cut to the size of the smallest class; the kept rows
     are the first in seeded hash order."""
-    g = _collapsed(df, label, seed).where(F.col("__y").isNotNull())
+    _no_missing(df, label)
+    g = _collapsed(df, label, seed)
     ranked = prefix_sums(g.select("__y", "__h", "__c", *[C.c(n) for n in df.columns]),
                          "__y", ["__h"], ["__c"], prefix="__cum")
     # class sizes = the last running count of each class (reads the stored ranking)
@@ -89,7 +81,8 @@ def oversample(df: DataFrame, label: str, seed: int = DEFAULT_SEED) -> DataFrame
     """B2: every class grown to the size of the largest class: each row is
     repeated ``floor(M / n_c)`` times and the remainder is taken in seeded
     hash order."""
-    g = _collapsed(df, label, seed).where(F.col("__y").isNotNull())
+    _no_missing(df, label)
+    g = _collapsed(df, label, seed)
     ranked = prefix_sums(g.select("__y", "__h", "__c", *[C.c(n) for n in df.columns]),
                          "__y", ["__h"], ["__c"], prefix="__cum")
     # class sizes = the last running count of each class (reads the stored ranking)
@@ -97,8 +90,6 @@ def oversample(df: DataFrame, label: str, seed: int = DEFAULT_SEED) -> DataFrame
     big = F.lit(nc.agg(F.max("__nc")).first()[0] or 0)
     plan = nc.select("__y", (F.floor(big / F.col("__nc"))).alias("__q"),
                      (big - F.floor(big / F.col("__nc")) * F.col("__nc")).alias("__r"))
-    n_classes = plan.count()
-    plan = F.broadcast(plan) if n_classes <= BROADCAST_MAX_CLASSES else plan
     ranked = ranked.join(plan, "__y")
     before = F.col("__cum__c") - F.col("__c")
     extra = F.greatest(F.lit(0), F.least(F.col("__c"), F.col("__r") - before))

@@ -41,7 +41,7 @@ def drop_missing_columns(df: DataFrame, columns: Sequence[str] | None = None) ->
     missing values). ``columns=None`` drops the columns that have any."""
     if columns is not None:
         return df.drop(*C.existing(df, columns))
-    row = df.agg(*[F.count_if(C.c(n).isNull()).alias(f"m{i}") for i, n in enumerate(df.columns)]).first()
+    row = df.agg(*[F.count_if(C.is_missing(f.name, f.dataType)).alias(f"m{i}") for i, f in enumerate(df.schema.fields)]).first()
     return df.drop(*[n for i, n in enumerate(df.columns) if row[f"m{i}"] > 0])
 
 
@@ -71,7 +71,7 @@ class Imputer(Fitted):
         out = []
         for f in df.schema.fields:
             p = self.params.get(f.name)
-            x = C.c(f.name)
+            x = C.c(f.name) if p is None else C.value_or_null(f.name, f.dataType)  # NaN is missing, as NULL is
             if p is None or p["value"] is None or p.get("missing") == 0 and C.is_integral(f.dataType):
                 # nothing to fill, or an integral column with no gaps: pandas keeps it integral
                 out.append(x)
@@ -110,6 +110,7 @@ def fit_imputer(df: DataFrame, strategy: str | Mapping[str, str] = "mean",
     mode_cols = [k for k, s in plan.items() if s == "mode"]
     num_cols = mean_cols + med_cols
     if num_cols:
+        df = C.normalize_missing(df)
         row = df.agg(*[F.avg(C.c(k).cast("double")).alias(f"a{i}") for i, k in enumerate(mean_cols)],
                      *[F.count_if(C.c(k).isNull()).alias(f"m{i}") for i, k in enumerate(num_cols)]).first()
         missing = {k: row[f"m{i}"] for i, k in enumerate(num_cols)}

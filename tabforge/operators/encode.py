@@ -18,11 +18,6 @@ from tabforge.functions.ordered import dense_index
 ONEHOT_MAX_DISTINCT = 50
 # Text used for a missing value by label encoding (str() of a float NaN).
 MISSING_LABEL = "nan"
-# Label codes: up to LITERAL_MAX_CODES per column become a literal map in the
-# projection; larger code tables are broadcast up to BROADCAST_MAX_ROWS rows,
-# and joined with a shuffle beyond that.
-LITERAL_MAX_CODES = 10_000
-BROADCAST_MAX_ROWS = 1_000_000
 
 
 def validate_columns(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
@@ -35,10 +30,32 @@ def validate_columns(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
     return valid
 
 
+def double_text(x):
+    """A double as the reference writes it: shortest digits, positional from 1e-4 up to 1e16 (``10000000.0``,
+    ``0.0001``), else with an exponent of two digits at least (``1e-05``, ``1e+16``)."""
+    text = x.cast("string")
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), "^-", "")
+    exp = F.substring_index(text, "E", -1).try_cast("int")
+    digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "(?<=.)0+$", "")
+    n = F.length(digits)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
+    large = F.concat(F.rpad(digits, F.greatest(n, exp + 1), "0").substr(F.lit(1), exp + 1), F.lit("."),
+                     F.when(n > exp + 1, digits.substr(exp + 2, n)).otherwise("0"))
+    short = F.when(n > 1, F.concat(digits.substr(F.lit(1), F.lit(1)), F.lit("."), digits.substr(F.lit(2), n))).otherwise(digits)
+    power = F.concat(short, F.when(exp < 0, "e-").otherwise("e+"), F.lpad(F.abs(exp).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exp).cast("string"))), "0"))
+    plain = F.when(exp.between(-4, -1), small).when(exp.between(0, 15), large).otherwise(power)
+    return F.when(F.abs(x) == F.lit(float("inf")), F.concat(sign, F.lit("inf"))).when(
+        text.contains("E"), F.concat(sign, plain)).otherwise(text)
+
+
 def _as_label(df: DataFrame, name: str):
     """Text of the value; missing (NULL or NaN) becomes the class ``nan``."""
     dt = C.field(df, name).dataType
-    return F.coalesce(C.value_or_null(name, dt).cast("string"), F.lit(MISSING_LABEL))
+    if isinstance(dt, (T.ArrayType, T.MapType, T.StructType)):
+        raise ValueError(f"{name} holds {dt.simpleString()} values, which have no label codes")
+    x = C.value_or_null(name, dt)
+    return F.coalesce(double_text(x) if isinstance(dt, T.DoubleType) else x.cast("string"), F.lit(MISSING_LABEL))
 
 
 # ---------------------------------------------------------------- E1
@@ -58,49 +75,45 @@ def label_encode(df: DataFrame, columns: Sequence[str],
                  maps: DataFrame | None = None) -> DataFrame:
     """Replace each column by its code (bigint), in place.
 
-    Columns with at most ``LITERAL_MAX_CODES`` categories get their codes as a
-    literal map (the transform is a projection, like the other fitted steps);
-    larger ones get a distributed code table joined back (broadcast up to
-    ``BROADCAST_MAX_ROWS`` codes, shuffle join beyond).
+    The codes (``maps``, or :func:`label_maps` of this table) are a distributed
+    table that is joined per column; Spark broadcasts it where its bytes are few.
+    A value that ``maps`` does not know becomes NULL.
     """
     cols = validate_columns(df, columns)
     if maps is None:
-        long = df.select(F.inline(F.array(*[
-            F.struct(F.lit(n).alias("column"), _as_label(df, n).alias("value")) for n in cols])))
-        distinct = long.distinct()
-        sizes = {r["column"]: r["n"] for r in
-                 distinct.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-        small = [n for n in cols if sizes.get(n, 0) <= LITERAL_MAX_CODES]
-        literal: dict[str, list[str]] = {n: [] for n in small}
-        if small:
-            for r in distinct.where(F.col("column").isin(small)).collect():  # bounded per column
-                literal[r["column"]].append(r["value"])
-        big = [n for n in cols if n not in literal]
-        maps = label_maps(df, big) if big else None
-    else:
-        sizes = {r["column"]: r["n"] for r in maps.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-        literal, big = {}, list(cols)
-
+        maps = label_maps(df, cols)
     out = df
-    for i, n in enumerate(big):
+    for i, n in enumerate(cols):
         m = maps.where(F.col("column") == n).select(
             F.col("value").alias(f"__v{i}"), F.col("code").alias(f"__c{i}"))
-        if sizes.get(n, 0) <= BROADCAST_MAX_ROWS:
-            m = F.broadcast(m)
         out = out.join(m, _as_label(out, n) == F.col(f"__v{i}"), "left")
-    exprs = []
-    for f in df.schema.fields:
-        if f.name in literal:
-            # code = position in byte-wise (code point) order, as Spark sorts strings
-            values = sorted(literal[f.name])
-            pairs = [x for code, v in enumerate(values) for x in (F.lit(v), F.lit(code))]
-            lookup = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,int>")
-            exprs.append(F.element_at(lookup, _as_label(df, f.name)).cast("long").alias(f.name))
-        elif f.name in big:
-            exprs.append(F.col(f"__c{big.index(f.name)}").cast("long").alias(f.name))
-        else:
-            exprs.append(C.c(f.name))
-    return out.select(*exprs)
+    return out.select(*[F.col(f"__c{cols.index(f.name)}").cast("long").alias(f.name) if f.name in cols else C.c(f.name)
+                        for f in df.schema.fields])
+
+
+class LabelEncoder:
+    """Label codes as a fit/apply step: the code table is a DataFrame, so that it can be saved, loaded and
+    joined to new data and to streams; nothing is collected."""
+
+    def __init__(self, columns: Sequence[str], maps: DataFrame):
+        self.columns, self.maps = list(columns), maps
+
+    @classmethod
+    def fit(cls, df: DataFrame, columns: Sequence[str]) -> LabelEncoder:
+        cols = validate_columns(df, columns)
+        return cls(cols, label_maps(df, cols))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return label_encode(df, self.columns, self.maps)
+
+    def save(self, path: str) -> None:
+        self.maps.write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> LabelEncoder:
+        maps = spark.read.parquet(path)
+        names = [r[0] for r in maps.select("column").distinct().collect()]  # one row per column
+        return cls(sorted(names), maps)
 
 
 # ---------------------------------------------------------------- E2, E3
@@ -174,6 +187,3 @@ def fit_onehot(df: DataFrame, columns: Sequence[str], drop_first: bool = True,
 def onehot_encode(df: DataFrame, columns: Sequence[str], drop_first: bool = True) -> DataFrame:
     return fit_onehot(df, columns, drop_first).transform(df)
 
-
-def supported_for_encoding(dt: T.DataType) -> bool:
-    return not isinstance(dt, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))

@@ -16,6 +16,8 @@ hints; their size is bounded by the schema width, not by the data.
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -314,8 +316,10 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None,
     seed = {n: (row[f"count__{i}"], row[f"min__{i}"], row[f"max__{i}"]) for i, n in enumerate(names)}
     qs = {(r["column"], r["p"]): r["quantile"]
           for r in exact_quantiles(df, names, SUMMARY_PROBS, stats=seed).collect()}
-    out = [(n, row[f"count__{i}"], row[f"mean__{i}"], row[f"std__{i}"], row[f"min__{i}"],
-            *[qs.get((n, p)) for p in SUMMARY_PROBS], row[f"max__{i}"]) for i, n in enumerate(names)]
+    # what is not finite is shown as missing, as the reference's descriptor does
+    out = [(n, row[f"count__{i}"], *(v if v is not None and math.isfinite(v) else None for v in (
+        row[f"mean__{i}"], row[f"std__{i}"], row[f"min__{i}"], *[qs.get((n, p)) for p in SUMMARY_PROBS], row[f"max__{i}"])))
+           for i, n in enumerate(names)]
     return _spark(df).createDataFrame(out, "column string, count long, mean double, std double, min double, "
                                            "p25 double, p50 double, p75 double, max double")
 

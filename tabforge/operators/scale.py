@@ -39,7 +39,7 @@ class Scaler(Fitted):
             if p is None:
                 out.append(C.c(f.name))
                 continue
-            x = C.c(f.name).cast("double")
+            x = C.value_or_null(f.name, f.dataType).cast("double")
             center = F.lit(p["center"] if p["center"] is not None else 0.0)
             out.append(((x - center) / F.lit(p["scale"])).alias(f.name))
         return df.select(*out)
@@ -66,6 +66,7 @@ def fit_scaler(df: DataFrame, method: str = "standard",
     params = {}
     if not cols:
         return Scaler(m, params)
+    df = C.normalize_missing(df)  # NaN is missing, as NULL is
     if m == "standard":
         row = df.agg(*[F.avg(C.c(n).cast("double")).alias(f"a{i}") for i, n in enumerate(cols)],
                      *[F.stddev_pop(C.c(n).cast("double")).alias(f"s{i}") for i, n in enumerate(cols)]).first()

@@ -115,3 +115,45 @@ def assign_folds(df: DataFrame, k: int = DEFAULT_FOLDS, seed: int = DEFAULT_SEED
     joined = keyed.join(ranked, (F.col("__h") == F.col("__h2"))
                         & C.c(stratify).eqNullSafe(F.col("__y2")), "inner")
     return joined.select(*[C.c(n) for n in df.columns], F.col(name))
+
+
+# ---------------------------------------------------------------- exact sizes
+
+def _dealt(df: DataFrame, seed: int, groups: Sequence[str], shares: Sequence[tuple[object, object]], name: str) -> DataFrame:
+    """Each row once, with column ``name``: its part by rank. Identical rows are counted first, their ranks follow
+    from running counts in seeded hash order within ``groups``; ``shares`` gives each part's value and the number
+    of its ranks below a bound, so a repeated row is dealt over the parts like different ones."""
+    from tabforge.operators.balance import _expand
+    cols = df.columns
+    counted = df.groupBy(*[C.c(n) for n in cols]).agg(F.count(F.lit(1)).alias("__c")).withColumn("__h", row_hash(df, seed))
+    keys = [f"__g{i}" for i in range(len(groups))] or ["__g"]
+    counted = counted.withColumns({k: C.c(g) for k, g in zip(keys, groups)} if groups else {"__g": F.lit(0)})
+    ranked = prefix_sums(counted, keys, ["__h"], ["__c"], prefix="__cum")
+    until, since = F.col("__cum__c"), F.col("__cum__c") - F.col("__c")
+    parts = ranked.withColumn("__p", F.explode(F.array(*[
+        F.struct(F.lit(v).alias("v"), (below(until) - below(since)).alias("n")) for v, below in shares])))
+    parts = parts.withColumn(name, F.col("__p.v"))
+    return _expand(parts, F.col("__p.n"), [*cols, name])
+
+
+def exact_split(df: DataFrame, test_size: float = DEFAULT_TEST_SIZE, seed: int = DEFAULT_SEED, name: str = "split") -> DataFrame:
+    """``split`` = 'train' | 'test' per row: ceil(n * test_size) test rows (in steps of 0.0001), also where rows repeat.
+
+    Ranks are drawn evenly: rank r is a test row where the rounded-up share passes a whole number. Costs shuffles
+    of the rows; :func:`mark_split` is the approximate way without any.
+    """
+    if not 0.0 < test_size < 1.0:
+        raise ValueError("test_size must be in (0, 1)")
+    t = int(round(test_size * _BUCKETS))
+
+    def test(r: Column) -> Column:
+        return F.floor((r * t + (_BUCKETS - 1)) / _BUCKETS).cast("long")
+    return _dealt(df, seed, [], [("test", test), ("train", lambda r: r - test(r))], name)
+
+
+def exact_folds(df: DataFrame, k: int = DEFAULT_FOLDS, seed: int = DEFAULT_SEED,
+                stratify: str | Sequence[str] | None = None, name: str = "fold") -> DataFrame:
+    """``fold`` in [0, k) per row; within each stratum the folds' sizes differ by one at most, also where rows repeat."""
+    groups = [stratify] if isinstance(stratify, str) else list(stratify or [])
+    shares = [(j, lambda r, j=j: F.floor((r + (k - 1 - j)) / k).cast("long")) for j in range(k)]
+    return _dealt(df, seed, groups, shares, name)

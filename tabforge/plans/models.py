@@ -41,12 +41,12 @@ RANDOM_SEARCH_POINTS = 20
 CV_FOLDS = 5
 
 # Untuned defaults per model name: the named libraries' public defaults,
-# except where MLlib needs a bound. A forest's "no depth limit" would be
-# MLlib's ceiling of 30 (MAX_DEPTH_UNLIMITED); the untuned forest uses 10.
+# except where MLlib needs a bound: a forest's "no depth limit" is MLlib's
+# ceiling of 30 (MAX_DEPTH_UNLIMITED).
 # LightGBM grows 31 leaves per tree, about depth 5 for a depth-wise learner.
 MAX_DEPTH_UNLIMITED = 30
 DEFAULTS = {
-    "Random Forest": {"n_estimators": 100, "max_depth": 10, "min_samples_split": 2},
+    "Random Forest": {"n_estimators": 100, "max_depth": None, "min_samples_split": 2},
     "XGBoost": {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.3},
     "LightGBM": {"n_estimators": 100, "max_depth": 5, "learning_rate": 0.1},
 }
@@ -65,7 +65,9 @@ def family(model_name: str) -> str:
 
 
 def _depth(v) -> int:
-    return MAX_DEPTH_UNLIMITED if v is None else min(int(v), MAX_DEPTH_UNLIMITED)
+    if v is not None and int(v) > MAX_DEPTH_UNLIMITED:
+        raise ValueError(f"max_depth {v} is beyond the {MAX_DEPTH_UNLIMITED} levels that MLlib trees can have")
+    return MAX_DEPTH_UNLIMITED if v is None else int(v)
 
 
 def to_mllib(fam: str, params: dict[str, Any]) -> dict[str, Any]:

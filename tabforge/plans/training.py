@@ -167,13 +167,13 @@ def train(df: DataFrame, target: str, model: str = "Random Forest", test_size: f
           tuning: str = "None", use_cv: bool = True, params: dict[str, Any] | None = None,
           grid: dict[str, list] | None = None, n_iter: int = MD.RANDOM_SEARCH_POINTS,
           folds: int = MD.CV_FOLDS, seed: int = MD.SEED, parallelism: int = 4,
-          task: str | None = None, exact_stratified_folds: bool = False) -> TrainResult:
+          task: str | None = None, exact: bool = True) -> TrainResult:
     """Train one model the way the reference's train request does.
 
-    Folds are a seeded hash of the row: no shuffle, and every class spreads
-    evenly over the folds in expectation. ``exact_stratified_folds=True``
-    deals each class round-robin instead (counts per fold differ by at most
-    one), at the price of a distributed ranking (several shuffles).
+    The test part has exactly its share of the rows, and the folds of a
+    classifier are stratified (sizes differ by one at most per class), also
+    where rows repeat; the rows are shuffled for it. ``exact=False`` places
+    rows by seeded hash instead: no shuffle, sizes in expectation only.
     """
     if tuning not in TUNING:
         raise ValueError(f"unknown tuning method {tuning!r}")
@@ -182,7 +182,11 @@ def train(df: DataFrame, target: str, model: str = "Random Forest", test_size: f
     task = task or SP.detect_task(df, target)
     data = df.where(C.c(target).isNotNull())
 
-    marked = SP.mark_split(data, test_size, seed, name="__split")
+    if exact:
+        marked = SP.exact_split(data, test_size, seed, name="__split")
+        marked = SP.exact_folds(marked, folds, seed, ["__split", target] if task == "classification" else ["__split"])
+    else:
+        marked = SP.assign_folds(SP.mark_split(data, test_size, seed, name="__split"), folds, seed)
     prep = _prep_pipeline(target, features, task).fit(data)
     labels = list(prep.stages[0].labels) if task == "classification" else None
     n_classes = len(labels) if labels else 0
@@ -193,11 +197,10 @@ def train(df: DataFrame, target: str, model: str = "Random Forest", test_size: f
             out = out.withColumn("label", C.c(target).cast("double"))
         return out.select("features", "label", *extra)
 
-    strat = target if task == "classification" and exact_stratified_folds else None
     # one assembled table for both parts, spread over the cores (tree learners
     # re-scan it once per level; no-op when there are enough partitions) and
     # persisted once: search, CV and evaluation never re-run the upstream plan
-    base = assemble(SP.assign_folds(marked, folds, seed, stratify=strat), ["fold", "__split"])
+    base = assemble(marked, ["fold", "__split"])
     cores = df.sparkSession.sparkContext.defaultParallelism
     if base.rdd.getNumPartitions() < cores:
         base = base.repartition(cores)

@@ -17,7 +17,8 @@ from tabforge.plans import training as TR
 from tabforge.session import ensure_checkpoint_dir
 
 _MISSING = {"mean": "mean", "median": "median", "mode": "mode", "drop": "drop",
-            "Mean imputation": "mean", "Median imputation": "median", "Mode imputation": "mode"}
+            "Mean imputation": "mean", "Median imputation": "median", "Mode imputation": "mode",
+            "Drop rows": "drop_rows", "Drop columns": "drop_columns", "drop_rows": "drop_rows", "drop_columns": "drop_columns"}
 
 
 @dataclass
@@ -41,6 +42,7 @@ class Workflow:
                           CL.remove_columns(self.df, columns))
 
     def handle_missing(self, strategy: str, columns: Sequence[str] | None = None) -> "Workflow":
+        strategy = _MISSING.get(strategy, strategy)
         if strategy == "drop_rows":
             return self._step("Drop Rows", "Dropped rows with missing values", CL.drop_missing_rows(self.df))
         if strategy == "drop_columns":
@@ -59,8 +61,11 @@ class Workflow:
 
     def impute(self, plan: Mapping[str, str]) -> "Workflow":
         model = CL.fit_imputer(self.df, dict(plan))
-        return self._step("Missing Values", f"Applied strategy to {len(CL.changed_columns(model))} columns",
-                          model.transform(self.df))
+        dropped = [k for k, p in model.params.items() if p["strategy"] == "drop"]
+        out = model.transform(self.df)
+        if dropped:
+            out = CL.drop_missing_rows(out, dropped)
+        return self._step("Missing Values", f"Applied strategy to {len(CL.changed_columns(model))} columns", out)
 
     def encode(self, method: str, columns: Sequence[str]) -> "Workflow":
         cols = EN.validate_columns(self.df, columns)

@@ -6,7 +6,8 @@
 * S3  missing-value tokens become NULL, then each column gets the first type
       in bigint, double, boolean that parses every non-missing value, else
       string. One aggregate decides all columns.
-* S4  duplicate header names are renamed ``a, a.1, a.2`` (the reference's
+      A number that does not fit the type counts as not parsing.
+* S4  a blank header is named ``Unnamed: <position>`` and duplicate header names are renamed ``a, a.1, a.2`` (the reference's
       library convention) instead of Spark's ``a0, a1``.
 * S5  a table without rows or columns is rejected.
 """
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabforge.functions.cols import q
 
@@ -27,16 +29,31 @@ FALSE_TOKENS = ("False", "FALSE", "false")
 ENCODINGS = ("UTF-8", "ISO-8859-1")
 
 
+def scan_text(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """S2 encoding ('UTF-8' if every line is valid UTF-8, else 'ISO-8859-1'), and
+    whether a quoted cell may hold a line end (a line with an odd number of
+    quotes). Only then the reader has to parse each file as a whole, one task
+    per file; folders of part files stay parallel."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    row = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value")).alias("ok"),
+                                    F.count_if(F.pmod(quotes, F.lit(2)) == 1).alias("odd")).first()
+    return ("UTF-8" if row["ok"] in (True, None) else "ISO-8859-1"), row["odd"] > 0
+
+
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """S2: 'UTF-8' if every line is valid UTF-8, else 'ISO-8859-1'."""
-    ok = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value")).alias("ok")).first()["ok"]
-    return "UTF-8" if ok in (True, None) else "ISO-8859-1"
+    return scan_text(spark, path)[0]
+
 
+def _reader(spark: SparkSession, encoding: str, multi_line: bool):
+    """Quotes inside quoted cells are doubled, a backslash is an ordinary sign, blanks stay."""
+    return (spark.read.option("encoding", encoding).option("quote", '"').option("escape", '"').option("inferSchema", False)
+            .option("multiLine", multi_line).option("mode", "PERMISSIVE"))
 
-def _header(spark: SparkSession, path: str, encoding: str) -> list[str]:
+
+def _header(spark: SparkSession, path: str, encoding: str, multi_line: bool) -> list[str]:
     """Header cells as written (the CSV reader decodes with the right charset)."""
-    first = spark.read.option("header", False).option("encoding", encoding).csv(path).first()
-    return [] if first is None else ["" if v is None else v for v in first]
+    first = _reader(spark, encoding, multi_line).option("header", False).csv(path).first()
+    return [] if first is None else [f"Unnamed: {i}" if v is None or v == "" else v for i, v in enumerate(first)]
 
 
 def dedupe_names(names: list[str]) -> list[str]:
@@ -62,21 +79,28 @@ def dedupe_names(names: list[str]) -> list[str]:
     return out
 
 
-def infer_types(df: DataFrame) -> DataFrame:
-    """S3: cast string columns to bigint / double / boolean where every
-    non-missing value parses; one aggregate over the table decides."""
+# decimal numbers as the reference's library reads them; Java suffixes (12d, 7f) are text
+_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$|^\s*[+-]?(?i:inf|infinity)\s*$"
+
+
+def _type_checks(names: list[str]) -> list:
     checks = []
-    names = df.columns
     for i, n in enumerate(names):
         x = F.col(q(n))
         present = x.isNotNull()
+        long_ = F.expr(f"try_cast(trim({q(n)}) as bigint)")
+        whole = x.rlike(r"^\s*[+-]?[0-9]+\s*$")
         checks += [
-            F.count_if(present & ~x.rlike(r"^\s*[+-]?[0-9]+\s*$")).alias(f"i{i}"),
-            F.count_if(present & F.expr(f"try_cast(trim({q(n)}) as double)").isNull()).alias(f"d{i}"),
+            F.count_if(present & (~whole | long_.isNull())).alias(f"i{i}"),
+            # a whole number beyond 64 bits stays text, as the reference keeps its digits
+            F.count_if(present & (~x.rlike(_NUMBER) | (whole & long_.isNull()))).alias(f"d{i}"),
             F.count_if(present & ~x.isin(*TRUE_TOKENS, *FALSE_TOKENS)).alias(f"b{i}"),
             F.count(x).alias(f"n{i}"),
         ]
-    row = df.agg(*checks).first()
+    return checks
+
+
+def _typed(df: DataFrame, names: list[str], row) -> DataFrame:
     out = []
     for i, n in enumerate(names):
         x = F.col(q(n))
@@ -93,21 +117,39 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def infer_types(df: DataFrame) -> DataFrame:
+    """S3: cast string columns to bigint / double / boolean where every
+    non-missing value parses; one aggregate over the table decides."""
+    return _typed(df, df.columns, df.agg(*_type_checks(df.columns)).first())
+
+
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None,
              na_tokens: tuple[str, ...] = NA_TOKENS, infer: bool = True) -> DataFrame:
-    """Read one CSV file (or a folder of CSV parts) the way the reference does."""
+    """Read one CSV file (or a folder of CSV parts) the way the reference does.
+
+    Two passes before the data: the text (encoding, quoted line ends), then one
+    aggregate for emptiness, surplus fields and types. A row with more fields
+    than the header is an error; missing ones are NULL.
+    """
     if not path.lower().rstrip("/").endswith(".csv"):
         raise ValueError("Please upload a CSV file")
-    enc = encoding or detect_encoding(spark, path)
-    raw = (spark.read.option("header", True).option("encoding", enc).option("inferSchema", False)
-           .option("multiLine", False).option("mode", "PERMISSIVE").csv(path))
-    names = _header(spark, path, enc)
-    if len(names) == len(raw.columns) and names:
-        raw = raw.toDF(*dedupe_names(names))
-    if not raw.columns:
+    found, multi_line = scan_text(spark, path)
+    enc = encoding or found
+    names = dedupe_names(_header(spark, path, enc, multi_line))
+    if not names:
         raise ValueError("The file has no columns")
+    surplus = "surplus"
+    while surplus in names:
+        surplus += "_"
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, surplus]])
+    raw = _reader(spark, enc, multi_line).option("header", True).option("enforceSchema", True).schema(schema).csv(path)
     nulls = raw.select(*[F.when(F.col(q(n)).isin(*na_tokens), F.lit(None)).otherwise(F.col(q(n))).alias(n)
-                         for n in raw.columns])
-    if nulls.isEmpty():
+                         for n in names], q(surplus))
+    row = nulls.agg(F.count(F.lit(1)).alias("rows"), F.count(q(surplus)).alias("surplus"),
+                    *(_type_checks(names) if infer else [])).first()
+    if row["surplus"]:
+        raise ValueError(f"{row['surplus']} rows have more than the header's {len(names)} fields")
+    if not row["rows"]:
         raise ValueError("The file has no data rows")
-    return infer_types(nulls) if infer else nulls
+    nulls = nulls.drop(surplus)
+    return _typed(nulls, names, row) if infer else nulls

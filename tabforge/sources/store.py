@@ -54,7 +54,9 @@ def export_data(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     if fmt == "parquet":
         w.parquet(path)
     elif fmt == "csv":
-        w.option("header", True).csv(path)
+        # text as it is: blanks stay, quotes are doubled, a backslash is an ordinary sign
+        (w.option("header", True).option("quote", '"').option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
         raise ValueError(f"unknown format {fmt!r}")
 

@@ -85,9 +85,7 @@ def test_scaler_fit_on_train_only(spark):
     assert SC.scale(test, "minmax", fit_on=train).first()["x"] == 2.0
 
 
-def test_label_encode_shuffle_join_path(spark, monkeypatch):
-    monkeypatch.setattr(EN, "BROADCAST_MAX_ROWS", 0)  # force the non-broadcast join
-    monkeypatch.setattr(EN, "LITERAL_MAX_CODES", 0)   # and the distributed code table
+def test_label_encode_codes(spark):
     df = spark.createDataFrame([(f"k{i % 30}", i) for i in range(90)], "c string, i int")
     out = EN.label_encode(df, ["c"]).collect()
     codes = {r["i"]: r["c"] for r in out}
@@ -114,8 +112,7 @@ def test_mode_imputation_dates_and_timestamps(spark):
     assert out[3]["t"] == out[0]["t"]
 
 
-def test_label_encode_mixed_paths(spark, monkeypatch):
-    monkeypatch.setattr(EN, "LITERAL_MAX_CODES", 5)
+def test_label_encode_two_columns(spark):
     df = spark.createDataFrame([(f"a{i % 3}", f"b{i % 30:02d}", i) for i in range(60)], "x string, y string, i int")
     out = {r["i"]: (r["x"], r["y"]) for r in EN.label_encode(df, ["x", "y"]).collect()}
     assert all(out[i] == (i % 3, i % 30) for i in range(60))

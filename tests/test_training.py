@@ -49,5 +49,5 @@ def test_string_features_rejected(spark):
 
 def test_exact_stratified_cv_folds(spark):
     r = TR.train(_table(spark), "l_returnflag", "Random Forest", params={"n_estimators": 3, "max_depth": 2},
-                 exact_stratified_folds=True)
+                 exact=True)
     assert len(r.cv_scores) == 5 and all(0.0 <= s <= 1.0 for s in r.cv_scores)
