@@ -47,7 +47,7 @@ def ready(df: DataFrame) -> DataFrame:
     return df
 
 
-def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+def mapped(df: DataFrame, run, schema) -> DataFrame:
     return ready(df).mapInArrow(run, schema)
 
 

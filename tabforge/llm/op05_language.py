@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabforge.llm.common import U64, crc_mod, documents, mapped, mix, slices
 
@@ -111,9 +112,9 @@ def predict(docs: DataFrame, model, *carry: str, bits: int = BITS, orders: tuple
             yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in carry), pa.array(names, pa.string()), pa.array(score)],
                                              names=[*carry, "lang_pred", "score"])
 
-    kinds = dict(docs.dtypes)
-    return mapped(docs.select(F.col("text").cast("string").alias("text"), *carry), run,
-                  "".join(f"`{c}` {kinds[c]}, " for c in carry) + "lang_pred string, score double")
+    rows = docs.select(F.col("text").cast("string").alias("text"), *carry)
+    schema = T.StructType([rows.schema[c] for c in carry]).add("lang_pred", "string").add("score", "double")
+    return mapped(rows, run, schema)
 
 
 def op5_language_id(spark: SparkSession, sf: str) -> DataFrame:

@@ -24,6 +24,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabforge.llm.common import U64, cut, documents, keyed, mapped, mix, ready, slices, text_hash
 
@@ -240,8 +241,8 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, shard_keys: int = SH
             yield pa.RecordBatch.from_arrays([rows.column("row"), pa.array(kept, pa.string()), pa.array(before, pa.int64()),
                                               pa.array(gone, pa.int64())], names=["row", "kept", "n_lines", "n_dropped"])
 
-    return mapped(both.select("row", "text", "lost"), rebuild,
-                  f"row {base.schema['row'].dataType.simpleString()}, kept string, n_lines long, n_dropped long")
+    schema = T.StructType([base.schema["row"]]).add("kept", "string").add("n_lines", "long").add("n_dropped", "long")
+    return mapped(both.select("row", "text", "lost"), rebuild, schema)
 
 
 def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
