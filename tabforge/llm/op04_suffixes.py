@@ -39,7 +39,7 @@ from tabforge.llm.common import U64, cut, documents, keyed, mapped, mix, slices,
 
 LENGTH, ANCHOR, BITS = 100, 32, 25
 RUN = 8 << 20  # bytes of text whose suffixes are sorted as one run
-SAMPLE = 1 << 14  # strings that splitters are chosen from
+SAMPLE = 1 << 15  # strings that splitters are chosen from
 NO_ID = -(1 << 63)
 _BYTE = stream(256, 31)
 
@@ -168,12 +168,13 @@ def repeated(docs: DataFrame, size: int, length: int, anchor: int, bits: int) ->
     """Bitmap of the anchor hashes that occur again, and a bounded sample of such anchors' suffixes for splitters."""
     cut_bits = int(min(14, max(6, (size >> 24).bit_length())))  # a part has the hashes of some 16 MB of text
     parts = 1 << cut_bits
+    rate = min(1.0, 2 * SAMPLE / max(1, size / 32))  # an anchor every 35 bytes or so
 
     def hashes(batches):
         for _, data, offs in slices(batches):
             a, lo, hi, h = anchors(data, offs, length, anchor)
             text = data.tobytes()
-            some = np.flatnonzero(mix(h + U64(99)) < U64(1 << 64 - 11))
+            some = np.flatnonzero((mix(h + mix(a.astype(np.uint64))) >> U64(11)) * 2.0**-53 < rate)
             sample = [h[i].tobytes() + suffix(text, a[i], lo[i], hi[i], length) for i in some]
             h, n = np.unique(h >> U64(32 - cut_bits), return_counts=True)
             h = np.repeat(h, np.minimum(n, 2))  # twice here stays twice in the sum over slices
