@@ -223,10 +223,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs``, all columns, with the first document of each class only."""
-    keep = near_duplicates(docs, threshold).where(F.struct("doc_id", "th") == F.col("first")).select(
-        F.col("doc_id").alias("i"), F.col("th").alias("t")).distinct()
-    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("d"), text_hash().alias("h"))
-    return whole.join(keep, F.col("d").eqNullSafe(F.col("i")) & (F.col("h") == F.col("t"))).dropDuplicates(["d", "h"]).select("row.*")
+    keep = near_duplicates(docs, threshold).where(F.struct("doc_id", "th") == F.col("first"))
+    keys = [F.coalesce("doc_id", F.lit(0)).cast("long").alias("k0"), F.col("doc_id").isNull().alias("k1"), F.col("th").alias("k2")]
+    whole = docs.select(F.struct("*").alias("row"), "doc_id", text_hash().alias("th")).select("row", *keys)
+    # repeated rows are dropped where the join has put them: plain keys, so that one shuffle serves both
+    names = ["k0", "k1", "k2"]
+    return whole.join(keep.select(*keys).distinct(), names).dropDuplicates(names).select("row.*")
 
 
 def op3_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
