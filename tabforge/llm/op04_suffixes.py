@@ -13,9 +13,12 @@ sorts its suffixes, keeps the first of equal ones, and exchanges front-coded
 runs (common prefix length and rest), cut at sampled splitters. A range's runs
 meet in a loser tree that carries the common prefix with the last output, so a
 known prefix is never compared again. Equal suffixes come out in a row: all but
-the first repeat it whole. An anchor with several different suffixes is where a
-match ends; the single windows of those go through Sort 2, the same sort over
-100-byte strings, and all but the first of equal ones are repeats.
+the first repeat it whole. An anchor with several different suffixes, which come
+out in a row too, is where a match ends: its suffixes' single windows are
+compared, and all but the first of equal ones are repeats. That happens in the
+range where the anchor lies whole, so within the range's bounded size. An anchor
+that splitters cut (one that a large part of all documents holds) goes through
+Sort 2, the same sort over the 100-byte windows themselves.
 
 Order of strings: (doc_id, text hash, position). A doc_id alone decides unless
 rows share it; a NULL doc_id precedes all; rows that repeat doc_id and text are
@@ -32,13 +35,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabforge.llm.common import U64, cut, documents, keyed, mapped, mix, slices, stream, text_hash
 
 LENGTH, ANCHOR, BITS = 100, 32, 25
-RUN = 8 << 20  # bytes of text whose suffixes are sorted as one run
+RUN = 16 << 20  # bytes of text whose suffixes are sorted as one run
 SAMPLE = 1 << 15  # strings that splitters are chosen from
 NO_ID = -(1 << 63)
 _BYTE = stream(256, 31)
@@ -206,7 +210,7 @@ def marked(table: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
 
 # ------------------------------------------------------------------ the two sorts
 
-_RUNS = "range int, shared binary, sizes binary, rests binary, owner binary, spans binary"
+_RUNS = "range int, n int, keys binary, docs binary, owners binary, spans binary"
 _SPANS = "id long, th long, lo long, hi long"
 
 
@@ -225,27 +229,46 @@ def _runs(entries: list[tuple[bytes, tuple]], splitters: list[bytes]):
         at = bisect_left(keys, s, at)
         cuts.append(at)
     cuts.append(len(keys))
-    out = []
+    out, pack = [], zstandard.ZstdCompressor(level=3).compress
     for r, (i, j) in enumerate(zip(cuts, cuts[1:])):
         if j > i:
             owner = np.array([o for _, o in keep[i:j]], np.int64)
-            out.append((r, *front_code(keys[i:j]), owner.tobytes()))
+            docs, doc = np.unique(owner[:, :2], axis=0, return_inverse=True)
+            place = np.concatenate([doc.reshape(-1), owner[:, 2]]).astype("<u4")
+            out.append((r, j - i, pack(b"".join(front_code(keys[i:j]))), docs.tobytes(), pack(place.tobytes())))
     return out, again
 
 
 def _run_batch(runs: list[tuple], spans: list[tuple]) -> pa.RecordBatch:
     """Rows of runs; the first one also takes along the repeats that the block knows by itself."""
-    own = np.array(spans, np.int64).tobytes()
-    kinds = (pa.int32(), *[pa.binary()] * 5)
+    own = np.array(joined(spans), np.int64).tobytes()
+    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
     cols = list(zip(*[(*r, b"" if i else own) for i, r in enumerate(runs)])) or [[]] * 6
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[f.split()[0] for f in _RUNS.split(", ")])
 
 
 def _merged(rows: pd.DataFrame) -> Iterator[tuple[bytes, int, tuple]]:
     """(key, common prefix with the one before, owner) of a range's runs."""
-    owners = [iter(np.frombuffer(o, np.int64).reshape(-1, 3).tolist()) for o in rows.owner]
-    for key, pre, run in merge([decode(a, b, c) for a, b, c in zip(rows.shared, rows.sizes, rows.rests)]):
-        yield key, pre, tuple(next(owners[run]))
+    open_ = zstandard.ZstdDecompressor().decompress
+    runs, owners = [], []
+    for n, keys, docs, places in zip(rows.n, rows["keys"], rows.docs, rows.owners):
+        keys, places = open_(keys), np.frombuffer(open_(places), "<u4")
+        runs.append(decode(keys[:2 * n], keys[2 * n:4 * n], keys[4 * n:]))
+        docs = np.frombuffer(docs, np.int64).reshape(-1, 2)[places[:n]]
+        owners.append(zip(docs[:, 0].tolist(), docs[:, 1].tolist(), places[n:].tolist()))
+    for key, pre, run in merge(runs):
+        yield key, pre, next(owners[run])
+
+
+def joined(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Spans of the same document that touch as one."""
+    out: list[tuple[int, int, int, int]] = []
+    for i, th, lo, hi in sorted(spans):
+        if out and out[-1][:2] == (i, th) and lo <= out[-1][3]:
+            out[-1] = (i, th, out[-1][2], max(hi, out[-1][3]))
+        else:
+            out.append((i, th, lo, hi))
+    return out
 
 
 def _spans(again: list[tuple[int, int, int, int]], rows: pd.DataFrame) -> pd.DataFrame:
@@ -254,6 +277,21 @@ def _spans(again: list[tuple[int, int, int, int]], rows: pd.DataFrame) -> pd.Dat
     return pd.DataFrame(flat.reshape(-1, 4), columns=["id", "th", "lo", "hi"])
 
 
+def window_repeats(group: list, length: int) -> list[tuple[int, int, int, int]]:
+    """Spans of the windows of different suffixes of one anchor that an earlier one of them has too."""
+    first: dict[bytes, tuple] = {}
+    out = []
+    for key, (i, th, a) in group:
+        body, place = stretch(key)
+        for j in range(len(body) - length + 1):
+            w, own = body[j:j + length], (i, th, a - place + j)
+            old = first.setdefault(w, own)
+            if old != own:
+                first[w], new = sorted((old, own))
+                out.append((*new, new[2] + length))
+    return joined(out)
+
+
 def find_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, bits: int = BITS) -> DataFrame:
     """(id, th, lo, hi): byte ranges of documents that earlier strings of ``length`` bytes cover; they may overlap.
 
@@ -302,6 +340,13 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, bi
 
         def run(key, rows):
             repeats, ends, group, last = [], [], [], None
+
+            def close(group):
+                if group and group[0][0][:anchor] in edges:
+                    ends.extend(group)
+                elif len(group) > 1:
+                    repeats.extend(window_repeats(group, length))
+
             for k, pre, owner in _merged(rows):
                 if last is not None and pre == len(k) == len(last[0]):
                     old, new = sorted((last[1], owner))  # equal: the smaller owner stays
@@ -310,14 +355,12 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, bi
                     last[1] = old
                     continue
                 if last is None or pre < anchor:
-                    if len(group) > 1 or group and group[0][0][:anchor] in edges:
-                        ends += group
+                    close(group)
                     group = []
                 last = [k, owner]
                 group.append(last)
-            if len(group) > 1 or group and group[0][0][:anchor] in edges:
-                ends += group
-            out = _spans([(*o[:2], o[2] - stretch(k)[1], 0) for k, o in ends] + repeats, rows)
+            close(group)
+            out = _spans([(*o[:2], o[2] - stretch(k)[1], 0) for k, o in ends] + joined(repeats), rows)
             out["body"] = [stretch(k)[0] for k, _ in ends] + [b""] * (len(out) - len(ends))
             return out
         return run
@@ -352,7 +395,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, bi
                 repeats.append((*new, new[2] + length))
             else:
                 last, first = k, owner
-        return _spans(repeats, rows)
+        return _spans(joined(repeats), rows)
 
     windows = mapped(ends.select("id", "th", "lo", "body").repartition(max(16, ranges // 4), "id", "th", "lo"), window_runs, _RUNS)
     found = windows.groupBy("range").applyInPandas(window_merge, _SPANS)
