@@ -13,11 +13,15 @@ Jaccard similarity.
 Documents with equal multisets are one class from the start and go on as one
 representative. Representatives that share one of 32 bands of four registers
 (a pair at similarity 0.8 shares none with probability 5e-8) are compared: first
-all of a bucket with its first member, then, in buckets that still span
-several components, with sixteen members, at last all pairs of different
-components that are left. A pair is compared by signature (below 0.6: out, seven
-standard deviations below 0.8), then by its multisets read again from the texts.
-Classes are the connected components of the pairs at ``threshold`` or more.
+all of a bucket with its head, then, in buckets that still span several
+components, members of different components, in blocks of ``BLOCK`` by
+``BLOCK`` members whose signatures one task holds: the best pair of each two
+components first, and once that has merged what it can, all that are left. A
+pair is named by the first band that it shares, so once, and only where its
+signatures agree in ``ROUGH`` of the registers (five standard deviations below
+0.8); then its multisets are read again from the texts. No bucket is expanded
+into all its pairs. Classes are the connected components of the pairs at
+``threshold`` or more.
 
 Defined results: texts of one to four words have one shingle, all their words;
 texts without words (NULL, empty, blank) are equal to each other; repeated rows
@@ -38,7 +42,7 @@ from tabforge.llm.common import (
 )
 from tabforge.llm.components import components
 
-WORDS, THRESHOLD, REGISTERS, BANDS, ROUGH, LEADERS, BITS = 5, 0.8, 128, 32, 0.6, 16, 24
+WORDS, THRESHOLD, REGISTERS, BANDS, ROUGH, BLOCK, BITS = 5, 0.8, 128, 32, 0.62, 256, 24
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, k: int = WORDS):
@@ -130,14 +134,72 @@ def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            same = np.array([np.mean(np.frombuffer(x, "<u4") == np.frombuffer(y, "<u4"))
-                             for x, y in zip(b.column("ra").to_pylist(), b.column("rb").to_pylist())])
-            yield b.select(["a", "b"]).filter(pa.array(same >= ROUGH, pa.bool_()))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u4").reshape(b.num_rows, -1) for c in ("ra", "rb"))
+            yield b.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= ROUGH, pa.bool_()))
 
     one = reps.select(F.col("v").alias("a"), F.col("regs").alias("ra"))
     two = reps.select(F.col("v").alias("b"), F.col("regs").alias("rb"))
-    kind = reps.schema["v"].dataType.simpleString()
-    return mapped(pairs.join(one, "a").join(two, "b").select("a", "b", "ra", "rb"), run, f"a {kind}, b {kind}")
+    return mapped(pairs.join(one, "a").join(two, "b").select("a", "b", "ra", "rb"), run, "a long, b long")
+
+
+def across(known: DataFrame, reps: DataFrame, every: bool) -> DataFrame:
+    """Pairs (a < b) of different components that share a bucket and agree in ``ROUGH`` of the registers; of each
+    two components in a block only the best pair unless ``every``. ``known``: key, v, c, n (size of the bucket)."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    slot = F.pmod(F.xxhash64("v"), blocks).cast("int")
+    dealt = known.select("key", "v", "c", slot.alias("s"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
+    dealt = dealt.select("key", "v", "c", "s", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"))
+    dealt = dealt.join(reps.select("v", "bands", "regs"), "v").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def compare(key, i, j, v, c, s, bands, regs):
+        left, right = (np.flatnonzero(s == x) for x in (i, j))
+        shared = bands[left][:, None, :] == bands[right][None, :, :]
+        band = int(np.flatnonzero((bands == key).all(axis=0))[0])  # which of the bands this bucket is
+        ok = shared.argmax(axis=2) == band
+        ok &= c[left][:, None] != c[right][None, :]
+        if i == j:
+            ok &= v[left][:, None] < v[right][None, :]
+        x, y = np.nonzero(ok)
+        same = np.concatenate([(regs[left[x[k:k + 20_000]]] == regs[right[y[k:k + 20_000]]]).mean(axis=1)
+                               for k in range(0, len(x), 20_000)] or [np.zeros(0)])
+        keep = same >= ROUGH
+        x, y, same = left[x[keep]], right[y[keep]], same[keep]
+        if not every and len(x):
+            order = np.argsort(-same, kind="stable")
+            two = np.sort(np.stack([c[x[order]], c[y[order]]], axis=1), axis=1)
+            first = order[np.sort(np.unique(two, axis=0, return_index=True)[1])]
+            x, y = x[first], y[first]
+        return np.minimum(v[x], v[y]), np.maximum(v[x], v[y])
+
+    def run(batches):
+        """Groups come in a row; one that a batch cuts is carried over."""
+        rest = None
+        for b in batches:
+            if rest is not None:
+                b = pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
+            out, rest = finished(b, False)
+            yield from out
+        if rest is not None:
+            yield from finished(rest, True)[0]
+
+    def finished(b, last):
+        if not b.num_rows:
+            return [], None
+        ids = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")], axis=1)
+        cuts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]).any(axis=1)]))
+        ends, rest = np.append(cuts[1:], len(ids)), None
+        if not last:
+            rest, cuts, ends = b.slice(int(cuts[-1])), cuts[:-1], ends[:-1]
+        v, c, s = (b.column(x).to_numpy().astype(np.int64) for x in ("v", "c", "s"))
+        out = []
+        for lo, hi in zip(cuts.tolist(), ends.tolist()):
+            part = b.slice(lo, hi - lo)
+            bands = part.column("bands").flatten().to_numpy().reshape(hi - lo, -1)
+            regs = np.frombuffer(b"".join(part.column("regs").to_pylist()), "<u4").reshape(hi - lo, -1)
+            out.append(compare(*ids[lo].tolist(), v[lo:hi], c[lo:hi], s[lo:hi], bands, regs))
+        return [pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])] if out else [], rest
+
+    return mapped(dealt.select("key", "i", "j", "v", "c", "s", "bands", "regs"), run, "a long, b long").distinct()
 
 
 def overlap(texts: list[str], others: list[str]) -> np.ndarray:
@@ -157,12 +219,12 @@ def overlap(texts: list[str], others: list[str]) -> np.ndarray:
     return out
 
 
-def verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose texts reach ``threshold``. Only documents that the pairs name (by a bitmap of fixed size, then
     exactly) leave their files."""
     pairs = cut(pairs)
-    named = pairs.select(F.explode(F.array("a.th", "b.th")).alias("h"))
-    filter_ = docs.sparkSession.sparkContext.broadcast(bitmap(named, BITS))
+    named = cut(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(reps.select("v", "doc_id", "th"), "v"))
+    filter_ = docs.sparkSession.sparkContext.broadcast(bitmap(named.select(F.col("th").alias("h")), BITS))
 
     def some(batches):
         for b in batches:
@@ -170,53 +232,48 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            a_len = np.cumsum(pc.add(pc.binary_length(b.column("ta")), pc.binary_length(b.column("tb"))).to_numpy())
-            for part in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(a_len // (4 << 20))) + 1):
+            size = np.cumsum(pc.add(pc.binary_length(b.column("ta")), pc.binary_length(b.column("tb"))).to_numpy())
+            for part in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(size // (4 << 20))) + 1):
                 rows = b.slice(int(part[0]), len(part)) if len(part) else b.slice(0, 0)
                 near = overlap(rows.column("ta").to_pylist(), rows.column("tb").to_pylist())
                 yield rows.select(["a", "b"]).filter(pa.array(near >= threshold, pa.bool_()))
 
     base = keyed(docs)
     texts = mapped(base, some, ", ".join(f"{c} {t}" for c, t in base.dtypes)).where("text is not null")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-    texts = ids.join(texts.select(F.struct("doc_id", "th").alias("v"), "text").dropDuplicates(["v"]), "v")
-    kind = pairs.schema["a"].dataType.simpleString()
+    same = texts["doc_id"].eqNullSafe(named["doc_id"]) & (texts["th"] == named["th"])
+    texts = texts.join(named, same).select("v", "text").dropDuplicates(["v"])
     with_a = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("ta")), "a")
     with_b = with_a.join(texts.select(F.col("v").alias("b"), F.col("text").alias("tb")), "b")
-    return mapped(with_b.select("a", "b", "ta", "tb"), run, f"a {kind}, b {kind}")
+    return mapped(with_b.select("a", "b", "ta", "tb"), run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, th and ``first``: the smallest (doc_id, th) of the document's class."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = cut(sketch(docs))
-    v = F.struct("doc_id", "th")
-    reps = cut(sketches.groupBy("d1", "d2").agg(F.min(v).alias("v"), F.first("bands").alias("bands"), F.first("regs").alias("regs")))
+    reps = cut(sketches.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "th")).alias("own"), F.first("bands").alias("bands"),
+                                                F.first("regs").alias("regs")))
+    reps = reps.select("d1", "d2", "own.*", "bands", "regs", F.monotonically_increasing_id().alias("v"))  # stable: checkpointed
     members = reps.select("v", F.explode("bands").alias("key"))
-    pair = [F.least("v", "to").alias("a"), F.greatest("v", "to").alias("b")]
-
     heads = members.groupBy("key").agg(F.min("v").alias("to"), F.count("*").alias("n")).where("n > 1")
-    tested = cut(members.join(heads, "key").where("v <> to").select(*pair).distinct())
-    edges = cut(verify(alike(tested, reps), docs, threshold))
+    shared = cut(members.join(heads, "key"))  # from here on only buckets with several members
+
+    tested = cut(shared.where("v <> to").select(F.col("to").alias("a"), F.col("v").alias("b")).distinct())
+    edges = cut(verify(alike(tested, reps), reps, docs, threshold))
     labels = components(edges)
-    for exhaustive in (False, True):
-        known = members.join(labels, "v", "left").select("key", "v", F.coalesce("c", "v").alias("c"))
-        mixed = known.groupBy("key").agg(F.min("c").alias("l"), F.max("c").alias("h"), F.count("*").alias("n")).where("l <> h and n > 2")
-        known = cut(known.join(mixed.select("key"), "key"))
-        if known.isEmpty():
-            break
-        to = known.select("key", F.col("v").alias("to"), F.col("c").alias("tc"))
-        if not exhaustive:
-            to = to.groupBy("key", F.pmod(F.xxhash64("to"), F.lit(LEADERS)).alias("slot")).agg(
-                F.min(F.struct("to", "tc")).alias("x")).select("key", "x.to", "x.tc")
-        ask = known.join(to, "key").where("c <> tc").select(*pair).distinct().join(tested, ["a", "b"], "left_anti")
-        new = cut(ask)
+    for every in (False, True):
+        known = shared.join(labels, "v", "left").select("key", "v", F.coalesce("c", "v").alias("c"), "n")
+        mixed = known.groupBy("key").agg(F.min("c").alias("l"), F.max("c").alias("h")).where("l <> h")
+        # the two of a pair have been compared
+        new = cut(across(known.where("n > 2").join(mixed.select("key"), "key"), reps, every).join(tested, ["a", "b"], "left_anti"))
         if new.isEmpty():
             continue
         tested = tested.union(new)
-        edges = cut(edges.union(verify(alike(new, reps), docs, threshold)))
+        edges = cut(edges.union(verify(new, reps, docs, threshold)))
         labels = components(edges)
-    classes = reps.join(labels, "v", "left").select(F.col("d1").alias("k1"), F.col("d2").alias("k2"), F.coalesce("c", "v").alias("first"))
+    classes = reps.select("d1", "d2", "v", F.struct("doc_id", "th").alias("own")).join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    first = classes.groupBy("c").agg(F.min("own").alias("first"))
+    classes = classes.join(first, "c").select(F.col("d1").alias("k1"), F.col("d2").alias("k2"), "first")
     return sketches.select("doc_id", "th", "d1", "d2").join(
         classes, (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2"))).select("doc_id", "th", "first")
 

@@ -17,7 +17,7 @@ from tabforge.llm import registry
 from tabforge.llm.common import crc_mod, documents
 
 SF = "/root/testdata/sf0.001"
-LONG = " ".join(f"w{i % 977}" for i in range(30_000))
+LONG = " ".join(f"w{i % 977}" for i in range(6_000))
 SPAN = " ".join(f"shared{i}" for i in range(60))
 ITEM = " ".join(f"item{i}" for i in range(20))
 LICENSED = "Some words before. Licensed under the Apache License, Version 2.0. and after"
