@@ -74,7 +74,7 @@ class Imputer(Fitted):
             x = C.c(f.name) if p is None else C.value_or_null(f.name, f.dataType)  # NaN is missing, as NULL is
             if p is None or p["value"] is None or p.get("missing") == 0 and C.is_integral(f.dataType):
                 # nothing to fill, or an integral column with no gaps: pandas keeps it integral
-                out.append(x)
+                out.append(x.alias(f.name))
             elif p["strategy"] in ("mean", "median"):
                 # numeric fill widens to double, as pandas does for int + NaN
                 out.append(F.coalesce(x.cast("double"), F.lit(float(p["value"]))).alias(f.name))
