@@ -18,8 +18,8 @@ components, members of different components, in blocks of ``BLOCK`` by
 ``BLOCK`` members whose signatures one task holds: the best pair of each two
 components first, and once that has merged what it can, all that are left. A
 pair is named by the first band that it shares, so once, and only where its
-signatures agree in ``ROUGH`` of the registers (five standard deviations below
-0.8); then its multisets are read again from the texts. No bucket is expanded
+signatures agree in ``ROUGH`` of the 512 registers (five standard deviations
+below 0.8; the bands use 128 of them); then its multisets are read again from the texts. No bucket is expanded
 into all its pairs. Classes are the connected components of the pairs at
 ``threshold`` or more.
 
@@ -42,7 +42,7 @@ from tabforge.llm.common import (
 )
 from tabforge.llm.components import components
 
-WORDS, THRESHOLD, REGISTERS, BANDS, ROUGH, BLOCK, BITS = 5, 0.8, 128, 32, 0.62, 256, 24
+WORDS, THRESHOLD, REGISTERS, BANDS, ROWS, ROUGH, BLOCK, BITS = 5, 0.8, 512, 32, 4, 0.71, 256, 24
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, k: int = WORDS):
@@ -100,8 +100,8 @@ def signatures(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n_docs: int, m
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, th, a 128-bit digest of the shingle multiset, its bands and its registers (32 bits of each)."""
-    odd = stream(REGISTERS // BANDS, 15) | U64(1)
+    """doc_id, th, a 128-bit digest of the shingle multiset, its bands and its registers (8 bits of each)."""
+    odd = stream(ROWS, 15) | U64(1)
     kind = "doc_id long, th long, d1 long, d2 long, bands array<long>, regs binary"
 
     def run(batches):
@@ -111,8 +111,8 @@ def sketch(docs: DataFrame) -> DataFrame:
             regs = signatures(doc, h, count, n)
             blank = np.isinf(regs[:, 0])
             raw = mix(regs.view(np.uint64))
-            bands = mix((raw.reshape(n, BANDS, -1) * odd).sum(axis=2) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-            small = (raw >> U64(32)).astype("<u4")
+            bands = mix((raw[:, :BANDS * ROWS].reshape(n, BANDS, ROWS) * odd).sum(axis=2) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+            small = (raw >> U64(56)).astype(np.uint8)
             digests = []
             for salt in (21, 22):  # sums over the multiset do not depend on its order
                 total = np.zeros(n, np.uint64)
@@ -134,7 +134,7 @@ def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u4").reshape(b.num_rows, -1) for c in ("ra", "rb"))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, REGISTERS) for c in ("ra", "rb"))
             yield b.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= ROUGH, pa.bool_()))
 
     one = reps.select(F.col("v").alias("a"), F.col("regs").alias("ra"))
@@ -195,7 +195,7 @@ def across(known: DataFrame, reps: DataFrame, every: bool) -> DataFrame:
         for lo, hi in zip(cuts.tolist(), ends.tolist()):
             part = b.slice(lo, hi - lo)
             bands = part.column("bands").flatten().to_numpy().reshape(hi - lo, -1)
-            regs = np.frombuffer(b"".join(part.column("regs").to_pylist()), "<u4").reshape(hi - lo, -1)
+            regs = np.frombuffer(b"".join(part.column("regs").to_pylist()), np.uint8).reshape(hi - lo, REGISTERS)
             out.append(compare(*ids[lo].tolist(), v[lo:hi], c[lo:hi], s[lo:hi], bands, regs))
         return [pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])] if out else [], rest
 
