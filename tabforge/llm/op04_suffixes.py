@@ -5,7 +5,7 @@ sort takes those that can matter. Of all 32-byte hashes in a 100-byte window
 the smallest is its anchor; equal windows have equal anchors. Windows in a row
 share theirs, so a document is a list of anchors with a stretch of windows each.
 Stretches whose anchor hash occurs once in the corpus hold no repeat (a bitmap
-of fixed size keeps the hashes that occur again; a false positive costs time).
+of at most 128 MB keeps the hashes that occur again; a false positive costs time).
 
 Sort 1 orders the remaining anchors' suffixes: the text from the anchor to the
 end of its stretch, then the text before it backwards. Each block of documents
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tabforge.llm.common import U64, cut, documents, keyed, mapped, mix, slices, stream, text_hash
 
-LENGTH, ANCHOR, BITS = 100, 32, 25
+LENGTH, ANCHOR, MAX_BITS = 100, 32, 30  # a bitmap of 128 MB at most
 RUN = 16 << 20  # bytes of text whose suffixes are sorted as one run
 SAMPLE = 1 << 15  # strings that splitters are chosen from
 NO_ID = -(1 << 63)
@@ -292,7 +292,7 @@ def window_repeats(group: list, length: int) -> list[tuple[int, int, int, int]]:
     return joined(out)
 
 
-def find_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, bits: int = BITS) -> DataFrame:
+def find_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, max_bits: int = MAX_BITS) -> DataFrame:
     """(id, th, lo, hi): byte ranges of documents that earlier strings of ``length`` bytes cover; they may overlap.
 
     ``length`` is at most 255 and ``anchor`` a power of two.
@@ -300,6 +300,8 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, bi
     base = keyed(docs)
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = int(min(4096, max(64, size // (4 << 20))))
+    # eight bits an anchor, so that few pass by chance, up to the bound
+    bits = int(min(max_bits, max(20, (8 * size // 32).bit_length())))
     table, sample = repeated(base, size, length, anchor, bits)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
