@@ -87,7 +87,8 @@ def signatures(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n_docs: int, m
         n = max(1, min(64, 50_000 // len(d)))  # points drawn at once
         seeds = mix(seed[:, None] + (np.arange(t, t + n, dtype=np.uint64) + U64(1)) * U64(0xD1B54A32D192ED03))
         gap = -np.log(((seeds >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53) / size[:, None]
-        points = x[:, None] + np.cumsum(gap, axis=1)
+        gap[:, 0] += x  # one sum from the first point on: the same bits however many points are drawn at once
+        points = np.cumsum(gap, axis=1)
         bits = mix(seeds + U64(0x632BE59BD9B4E019))
         register = (bits & U64(m - 1)).astype(np.int64)
         place = ((bits >> U64(16)).astype(np.float64) * 2.0**-48) * size[:, None]

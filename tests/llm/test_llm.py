@@ -202,6 +202,32 @@ def test_large_group_of_near_copies(spark):
     assert Counter(r["first"]["doc_id"] for r in got.collect()) == Counter({0: 300}) + Counter(range(1000, 1020))
 
 
+def test_near_copies_in_slices_of_different_sizes(spark):
+    """What else lies in a slice decides how many points are drawn at once, never a signature."""
+    from tabforge.llm.op03_bagminhash import near_duplicates, shingles, signatures
+    words = {n: [f"s{n}_{j}" for j in range(n + 4)] for n in (15, 30, 60, 120)}
+    long = " ".join(f"x{j}" for j in range(60_000))
+    few = [(n, " ".join(w)) for n, w in words.items()]
+    crowd = [(9000, long)] + [(1000 + n, " ".join([*w[:-1], "edit"])) for n, w in words.items()]
+    crowd += [(2000 + i, " ".join(f"y{i}_{j}" for j in range(100))) for i in range(50)]
+
+    def signed(texts_):
+        flat = [t.encode() for t in texts_]
+        offs = np.concatenate([[0], np.cumsum([len(t) for t in flat])])
+        return signatures(*shingles(np.frombuffer(b"".join(flat), np.uint8), offs), len(flat))
+
+    for i, t in few:
+        alone, beside = signed([t])[0], signed([t, *(x for _, x in crowd)])[0]
+        assert (alone == beside).all(), i
+    kind = "doc_id long, text string"
+    docs = spark.createDataFrame(few, kind).coalesce(1).union(spark.createDataFrame(crowd, kind).coalesce(1))
+    got = {r["doc_id"]: r["first"]["doc_id"] for r in near_duplicates(docs).collect()}
+    everything = [*few, *crowd]
+    sets = {i: multiset(t) for i, t in everything}
+    want = {i: min(j for j, _ in everything if i == j or 9000 not in (i, j) and similarity(sets[i], sets[j]) >= 0.8) for i, _ in everything}
+    assert got == want and sum(a != b for a, b in got.items()) == 4
+
+
 # ------------------------------------------------------------------ suffix sort (4)
 
 def removed(texts_, length=100):
