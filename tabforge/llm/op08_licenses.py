@@ -45,6 +45,7 @@ NOTICES = {
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "ARR": "Copyright. All rights reserved.",
+    "ARR-plain": "All rights reserved.",
 }
 WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
 

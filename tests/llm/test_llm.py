@@ -347,6 +347,19 @@ def test_license_in_odd_rows(spark, odd_dir):
     assert {i: x for i, x in got.items() if x} == {11: "Apache-2.0"}
 
 
+def test_license_lines_by_plain_search(spark):
+    from tabforge.llm.op08_licenses import scan
+    forms = {"This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": "ARR-plain",
+             "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT",
+             "Licensed under the Apache License, Version 2.0.": "Apache-2.0"}
+    docs = documents(spark, "/root/testdata/sf0.01").select("doc_id", "text").union(
+        spark.createDataFrame([(-1, "Copyright 2020 X. All rights reserved.")], "doc_id long, text string")).cache()
+    got = {r["doc_id"]: set(r["licenses"].split(",")) for r in scan(docs).collect()}
+    found = Counter(name for r in docs.collect() for line, name in forms.items() if line in (r["text"] or "") and name in got[r["doc_id"]])
+    assert found == Counter(name for r in docs.collect() for line, name in forms.items() if line in (r["text"] or ""))
+    assert set(found) == set(forms.values()) and "ARR-plain" in got[-1]
+
+
 def luhn_ok(s):
     d = [int(c) for c in s if c.isdigit()][::-1]
     return sum(d[0::2] + [x * 2 - 9 if x > 4 else x * 2 for x in d[1::2]]) % 10 == 0
