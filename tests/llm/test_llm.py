@@ -360,6 +360,22 @@ def test_license_lines_by_plain_search(spark):
     assert set(found) == set(forms.values()) and "ARR-plain" in got[-1]
 
 
+def test_license_templates_of_any_length(spark):
+    from tabforge.llm.op08_licenses import NOTICES, scan, words_of
+    filler = " ".join(f"w{i}" for i in range(37))
+    full = " ".join([filler, NOTICES["MIT-permission"], NOTICES["MIT-condition"], NOTICES["MIT-warranty"], filler])
+    altered = full.replace("Permission is hereby granted, free of charge, to any person", "We allow everybody and all others")
+    docs = [(1, altered), (2, NOTICES["BSD-warranty"]), (3, "x " + NOTICES["GPL-2.0-notice"]), (4, filler)]
+    assert max(len(words_of(t)) for t in NOTICES.values()) > 64
+    got = dict(rows(scan(spark.createDataFrame(docs, "doc_id long, text string")), "doc_id", "licenses"))
+    assert got == {1: "MIT-condition,MIT-permission,MIT-warranty", 2: "BSD-warranty", 3: "GPL-2.0,GPL-2.0-notice", 4: ""}
+    long = " ".join(f"t{i}" for i in range(300))
+    own = spark.createDataFrame([(1, f"{filler} {long} {filler}"), (2, f"{filler} one two three")], "doc_id long, text string")
+    assert dict(rows(scan(own, {"long": long, "short": "one two three"}), "doc_id", "licenses")) == {1: "long", 2: "short"}
+    with pytest.raises(ValueError, match="fewer than 3 words"):
+        scan(own, {"two": "two words"})
+
+
 def luhn_ok(s):
     d = [int(c) for c in s if c.isdigit()][::-1]
     return sum(d[0::2] + [x * 2 - 9 if x > 4 else x * 2 for x in d[1::2]]) % 10 == 0
