@@ -5,8 +5,8 @@ counted in training texts and smoothed with the class frequencies
 (Witten-Bell); a word's emission is (count + 1) / (class tokens + class words
 + 1), the last 1 for all unseen words of the class together.
 
-What takes part in the exchange: each word with at least 1/2**15 of all tokens
-(at most 2**15 words, whatever the corpus) by itself, the rarer ones together
+What takes part in the exchange: each word with at least 1/2**15 of all
+training tokens (at most 2**15 words, whatever the corpus) by itself, the rarer ones together
 with those of the same ending (512 groups by hash of the last three bytes), the
 end token in a class of its own. Every round, Spark sums for every item how
 often it stands before and after each class; these sums (items x classes, so of
@@ -15,7 +15,7 @@ bigrams most, and half of the items move at a time, since two that move
 together do not see each other.
 
 Counts of all words stay distributed, in parts by word hash. Words with at least
-1/2**18 of all tokens (2**18 at most) are broadcast; documents send the hashes
+1/2**18 of all tokens (2**18 at most) and those items are broadcast; documents send the hashes
 of their rarer words to the parts and get sums of log-counts back.
 
 Defined results: NULL and empty texts are the end token alone; rows that repeat
@@ -113,13 +113,18 @@ def count_words(docs: DataFrame, parts: int) -> DataFrame:
         add, kind + ", n_train long, n_every long, n_known long"))
 
 
+def takes_part(train: np.ndarray, n_train: int) -> np.ndarray:
+    """Which words are items of their own: by training texts alone."""
+    return (train > 0) & (train * CLUSTER >= n_train)
+
+
 class Vocabulary:
     """The words of bounded number that every task knows: sorted hashes, training counts, item numbers."""
 
-    def __init__(self, h, train, every, n_every: int):
+    def __init__(self, h, train, n_train: int):
         order = np.argsort(h)
         self.h, self.train = h[order], train[order]
-        own = every[order] * CLUSTER >= n_every
+        own = takes_part(self.train, n_train)
         self.items = int(own.sum())
         self.item = np.where(own, np.cumsum(own) - 1, -1)
         self.end = self.items + ENDINGS
@@ -277,8 +282,8 @@ def score(docs: DataFrame) -> DataFrame:
         for b in batches:
             for h, train, every in zip(*(b.column(c).to_pylist() for c in ("h", "train", "every"))):
                 h, train, every = np.frombuffer(h, np.int64), np.frombuffer(train, np.int64), np.frombuffer(every, np.int64)
-                ok = every * LOOKUP >= n_every
-                yield pa.RecordBatch.from_arrays([pa.array(a[ok]) for a in (h, train, every)], names=["h", "train", "every"])
+                ok = (every * LOOKUP >= n_every) | takes_part(train, n_train)
+                yield pa.RecordBatch.from_arrays([pa.array(a[ok]) for a in (h, train)], names=["h", "train"])
 
     def endings(batches):
         for b in batches:
@@ -288,8 +293,8 @@ def score(docs: DataFrame) -> DataFrame:
                 n = np.bincount(np.frombuffer(ending, np.int64)[known & ~own], minlength=ENDINGS)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(ENDINGS, dtype=np.int32)), pa.array(n)], names=["ending", "n"])
 
-    many = mapped(counts, often, "h long, train long, every long").toArrow()  # LOOKUP rows at most
-    words = Vocabulary(*(many.column(c).to_numpy() if c != "h" else many.column(c).to_numpy().view(np.uint64) for c in ("h", "train", "every")), n_every)
+    many = mapped(counts, often, "h long, train long").toArrow()  # LOOKUP + CLUSTER rows at most
+    words = Vocabulary(*(many.column(c).to_numpy() if c != "h" else many.column(c).to_numpy().view(np.uint64) for c in ("h", "train")), n_train)
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(words)
     classes, g = exchange(count_bigrams(base, words), words)

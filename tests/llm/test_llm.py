@@ -126,6 +126,21 @@ def test_language_model_base(spark, texts):
     assert sum(r["score"] for r in unseen) > sum(r["base_score"] for r in unseen)
 
 
+def test_held_out_texts_shape_no_class(spark):
+    from tabforge.llm.op02_class_lm import score
+    rows_ = [(i, " ".join(f"t{(i * 7 + j * j) % 23}" for j in range(40)), True) for i in range(20)] + [(100, "t1 t2 t3 unseen", False)]
+    more = [(200 + i, " ".join(f"held{j}" for j in range(30)), False) for i in range(5)]
+    kind = "doc_id long, text string, train boolean"
+    one, two = ({r["doc_id"]: r["score"] for r in score(spark.createDataFrame(x, kind)).collect()} for x in (rows_, rows_ + more))
+    assert {i: two[i] for i in one} == pytest.approx(one, rel=1e-12)
+
+
+def test_words_of_held_out_texts_are_no_items():
+    from tabforge.llm.op02_class_lm import Vocabulary
+    words = Vocabulary(np.array([3, 1, 2], np.uint64), np.array([0, 5, 1]), 6)  # hash 3 occurs in held-out texts only
+    assert words.items == 2 and words.item.tolist() == [0, 1, -1]
+
+
 def test_exchange_raises_the_likelihood():
     from tabforge.llm import op02_class_lm as lm
     rng = np.random.default_rng(3)
