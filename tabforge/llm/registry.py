@@ -5,7 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = ["op01_winnowing", "op02_class_lm", "op03_bagminhash", "op04_suffixes", "op05_language", "op06_lines",
-           "op07_divergence", "op08_licenses", "op09_pseudonyms", "op10_packing"]
+           "op07_divergence", "op08_licenses", "op09_pseudonyms", "op10_packing",
+           "op11_whitening", "op12_repair", "op13_mincut"]
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
