@@ -1,19 +1,21 @@
-"""Class balancing (B1-B3): undersampling, oversampling and class weights.
+"""Class balancing (B1-B4): undersampling, oversampling, class weights; synthesis is in :mod:`smote`.
 
 Which rows are kept or copied is decided by a seeded row hash, never by row
-position. Identical rows are first collapsed into ``(row, count)`` with a
-map-side partial count, so a row repeated a billion times is one record, and
-copies are re-expanded in two steps (chunks, then rows inside a chunk) so no
-single task has to emit an unbounded number of rows.
+position. Rows are compared with a threshold of their class
+(:mod:`tabforge.functions.selection`) and stay in their partition; only a row
+that is repeated across a threshold is grouped and counted. A row with more than
+``CHUNK`` copies is re-expanded in two steps (chunks, then rows inside a chunk)
+so no single task has to emit an unbounded number of rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabforge.functions import cols as C
-from tabforge.functions.ordered import prefix_sums
+from tabforge.functions import selection as SE
 from tabforge.session import default_partitions
 
 DEFAULT_SEED = 42
@@ -39,21 +41,21 @@ def with_class_weights(df: DataFrame, label: str, name: str = "weight") -> DataF
     return df.join(w, C.c(label).eqNullSafe(F.col("__y")), "left").drop("__y")
 
 
-def _no_missing(df: DataFrame, label: str) -> None:
-    if not df.where(C.c(label).isNull()).isEmpty():
+def class_groups(df: DataFrame, label: str) -> SE.Groups:
+    """The classes and their sizes; a missing label is an error."""
+    found = SE.group_sizes(df, [label])
+    if any(r[0] is None or r[0] != r[0] for r in found.rows):
         raise ValueError(f"{label} has missing values; drop or fill those rows before balancing")
+    return found
 
 
-def _collapsed(df: DataFrame, label: str, seed: int) -> DataFrame:
-    """Distinct rows with their multiplicity, the class and a seeded order key."""
-    g = df.groupBy(*[C.c(n) for n in df.columns]).agg(F.count(F.lit(1)).alias("__c"))
-    return g.withColumn("__y", C.c(label)) \
-        .withColumn("__h", F.xxhash64(F.lit(seed), *[C.c(n) for n in df.columns]))
+def row_order(df: DataFrame, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), *[C.c(n) for n in df.columns])
 
 
-def _expand(df: DataFrame, copies: Column, columns: list[str]) -> DataFrame:
+def expand(df: DataFrame, copies: Column, columns: list[str]) -> DataFrame:
     """Emit each row ``copies`` times, in chunks of ``CHUNK`` that are spread over tasks first, so that
-    neither a hot row nor a small class that grows a lot is written by one task."""
+    neither a hot row nor a small class that grows a lot is written by one task. ``df`` has a hash in ``__h``."""
     t = df.withColumn("__n", copies.cast("long")).where(F.col("__n") > 0)
     chunks = t.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"),
                                                       F.floor((F.col("__n") - 1) / CHUNK).cast("long"))))
@@ -66,31 +68,25 @@ def _expand(df: DataFrame, copies: Column, columns: list[str]) -> DataFrame:
 def undersample(df: DataFrame, label: str, seed: int = DEFAULT_SEED) -> DataFrame:
     """B1: every class cut to the size of the smallest class; the kept rows
     are the first in seeded hash order."""
-    _no_missing(df, label)
-    g = _collapsed(df, label, seed)
-    ranked = prefix_sums(g.select("__y", "__h", "__c", *[C.c(n) for n in df.columns]),
-                         "__y", ["__h"], ["__c"], prefix="__cum")
-    # class sizes = the last running count of each class (reads the stored ranking)
-    m = ranked.groupBy("__y").agg(F.max("__cum__c").alias("__nc")).agg(F.min("__nc")).first()[0] or 0
-    before = F.col("__cum__c") - F.col("__c")
-    keep = F.greatest(F.lit(0), F.least(F.col("__c"), F.lit(m) - before))
-    return _expand(ranked, keep, df.columns)
+    classes = class_groups(df, label)
+    least = min(classes.sizes, default=0)
+    out = SE.deal(df, row_order(df, seed), classes, [[least]] * len(classes.sizes), "__part")
+    return out.where(F.col("__part") == 0).drop("__part")
 
 
 def oversample(df: DataFrame, label: str, seed: int = DEFAULT_SEED) -> DataFrame:
     """B2: every class grown to the size of the largest class: each row is
     repeated ``floor(M / n_c)`` times and the remainder is taken in seeded
     hash order."""
-    _no_missing(df, label)
-    g = _collapsed(df, label, seed)
-    ranked = prefix_sums(g.select("__y", "__h", "__c", *[C.c(n) for n in df.columns]),
-                         "__y", ["__h"], ["__c"], prefix="__cum")
-    # class sizes = the last running count of each class (reads the stored ranking)
-    nc = ranked.groupBy("__y").agg(F.max("__cum__c").alias("__nc"))
-    big = F.lit(nc.agg(F.max("__nc")).first()[0] or 0)
-    plan = nc.select("__y", (F.floor(big / F.col("__nc"))).alias("__q"),
-                     (big - F.floor(big / F.col("__nc")) * F.col("__nc")).alias("__r"))
-    ranked = ranked.join(plan, "__y")
-    before = F.col("__cum__c") - F.col("__c")
-    extra = F.greatest(F.lit(0), F.least(F.col("__c"), F.col("__r") - before))
-    return _expand(ranked, F.col("__c") * F.col("__q") + extra, df.columns)
+    classes = class_groups(df, label)
+    most = max(classes.sizes, default=0)
+    out = SE.deal(df, row_order(df, seed), classes, [[most % n] for n in classes.sizes], "__part",
+                  [("__q", T.LongType(), [most // n for n in classes.sizes])])
+    copies = F.col("__q") + (F.col("__part") == 0).cast("long")
+    cols = df.columns
+    few = out.where(F.col("__q") < CHUNK).withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    few = few.select(*[C.c(n) for n in cols])
+    if all(most // n < CHUNK for n in classes.sizes):
+        return few
+    many = out.where(F.col("__q") >= CHUNK).withColumn("__h", row_order(df, seed))
+    return few.unionByName(expand(many, copies, cols))

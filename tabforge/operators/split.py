@@ -2,18 +2,23 @@
 
 Row placement is a function of the row's values (a seeded ``xxhash64``), not
 of its position, so it does not change when the table is repartitioned or a
-task is retried, and identical rows always land on the same side.
+task is retried. The hashed forms put identical rows on the same side; the
+exact forms (:func:`exact_split`, :func:`exact_folds`) compare each row with the
+hash at a rank and deal only the copies of a row that a rank divides.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabforge.functions import cols as C
+from tabforge.functions import selection as SE
 from tabforge.functions.ordered import prefix_sums
 
 # Fixed values from the reference.
@@ -123,7 +128,7 @@ def _dealt(df: DataFrame, seed: int, groups: Sequence[str], shares: Sequence[tup
     """Each row once, with column ``name``: its part by rank. Identical rows are counted first, their ranks follow
     from running counts in seeded hash order within ``groups``; ``shares`` gives each part's value and the number
     of its ranks below a bound, so a repeated row is dealt over the parts like different ones."""
-    from tabforge.operators.balance import _expand
+    from tabforge.operators.balance import expand
     cols = df.columns
     counted = df.groupBy(*[C.c(n) for n in cols]).agg(F.count(F.lit(1)).alias("__c")).withColumn("__h", row_hash(df, seed))
     keys = [f"__g{i}" for i in range(len(groups))] or ["__g"]
@@ -133,27 +138,35 @@ def _dealt(df: DataFrame, seed: int, groups: Sequence[str], shares: Sequence[tup
     parts = ranked.withColumn("__p", F.explode(F.array(*[
         F.struct(F.lit(v).alias("v"), (below(until) - below(since)).alias("n")) for v, below in shares])))
     parts = parts.withColumn(name, F.col("__p.v"))
-    return _expand(parts, F.col("__p.n"), [*cols, name])
+    return expand(parts, F.col("__p.n"), [*cols, name])
 
 
 def exact_split(df: DataFrame, test_size: float = DEFAULT_TEST_SIZE, seed: int = DEFAULT_SEED, name: str = "split") -> DataFrame:
-    """``split`` = 'train' | 'test' per row: ceil(n * test_size) test rows (in steps of 0.0001), also where rows repeat.
+    """``split`` = 'train' | 'test' per row: ceil(n * test_size) test rows, also where rows repeat.
 
-    Ranks are drawn evenly: rank r is a test row where the rounded-up share passes a whole number. Costs shuffles
-    of the rows; :func:`mark_split` is the approximate way without any.
+    The test rows are the first by seeded hash, told by one threshold that a histogram of the hashes finds: no row
+    is shuffled but copies of the row at the threshold. :func:`mark_split` saves the histogram's two scans.
     """
     if not 0.0 < test_size < 1.0:
         raise ValueError("test_size must be in (0, 1)")
-    t = int(round(test_size * _BUCKETS))
-
-    def test(r: Column) -> Column:
-        return F.floor((r * t + (_BUCKETS - 1)) / _BUCKETS).cast("long")
-    return _dealt(df, seed, [], [("test", test), ("train", lambda r: r - test(r))], name)
+    whole = SE.group_sizes(df, [])
+    n_test = math.ceil(Fraction(str(test_size)) * whole.sizes[0])
+    out = SE.deal(df, row_hash(df, seed), whole, [[n_test]], "__part")
+    return out.withColumn(name, F.when(F.col("__part") == 0, "test").otherwise("train")).drop("__part")
 
 
 def exact_folds(df: DataFrame, k: int = DEFAULT_FOLDS, seed: int = DEFAULT_SEED,
                 stratify: str | Sequence[str] | None = None, name: str = "fold") -> DataFrame:
-    """``fold`` in [0, k) per row; within each stratum the folds' sizes differ by one at most, also where rows repeat."""
+    """``fold`` in [0, k) per row; within each stratum the folds' sizes differ by one at most, also where rows repeat.
+
+    Folds are runs of ranks by seeded hash, told by k - 1 thresholds per stratum; no row is shuffled but copies of
+    rows at a threshold. With more than ``selection.MAX_GROUPS`` strata all rows are ranked instead (shuffles of the
+    table).
+    """
     groups = [stratify] if isinstance(stratify, str) else list(stratify or [])
-    shares = [(j, lambda r, j=j: F.floor((r + (k - 1 - j)) / k).cast("long")) for j in range(k)]
-    return _dealt(df, seed, groups, shares, name)
+    try:
+        strata = SE.group_sizes(df, groups)
+    except SE.TooManyGroups:
+        shares = [(j, lambda r, j=j: F.floor((r + (k - 1 - j)) / k).cast("long")) for j in range(k)]
+        return _dealt(df, seed, groups, shares, name)
+    return SE.deal(df, row_hash(df, seed), strata, [[(j * n + k - 1) // k for j in range(1, k)] for n in strata.sizes], name)
