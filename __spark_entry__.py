@@ -25,8 +25,10 @@ from tabforge.functions import metrics as ME
 from tabforge.operators import balance as BA
 from tabforge.operators import clean as CL
 from tabforge.operators import encode as EN
+from tabforge.operators import neighbours as NB
 from tabforge.operators import profile as P
 from tabforge.operators import scale as SC
+from tabforge.operators import smote as SM
 from tabforge.operators import split as SP
 from tabforge.plans import training as TR
 from tabforge.plans import workflow as WF
@@ -880,6 +882,54 @@ def q_oversample(spark, sf):
     return BA.oversample(_t(spark, sf, "lineitem"), "l_returnflag", seed=42)
 
 
+SMOTE_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+@_register("smote")
+def q_smote(spark, sf):
+    # scaled first, so that no feature decides alone who is near
+    table = SC.scale(_t(spark, sf, "lineitem").select("l_returnflag", *SMOTE_FEATURES), "minmax", SMOTE_FEATURES)
+    return SM.smote(table, "l_returnflag", SMOTE_FEATURES)
+
+
+# classes of one size; all old rows are there; new rows lie within the class's ranges
+@_register("smote_counts",
+           "with c as (select l_returnflag as label, count(*) as n from lineitem group by 1) "
+           "select label, n as n_old, (select max(n) from c) - n as n_new, true as old_kept, true as within from c")
+def q_smote_counts(spark, sf):
+    table = _t(spark, sf, "lineitem").select("l_returnflag", *SMOTE_FEATURES)
+    out = SM.smote(table, "l_returnflag", SMOTE_FEATURES, mark="new")
+
+    def ranges(df, p):
+        return [f(x).alias(f"{p}{n}{x}") for x in SMOTE_FEATURES for n, f in (("lo", F.min), ("hi", F.max), ("sum", F.sum))]
+    old = table.groupBy(F.col("l_returnflag").alias("label")).agg(F.count("*").alias("n"), *ranges(table, "a"))
+    kept = out.where("not new").groupBy(F.col("l_returnflag").alias("k")).agg(F.count("*").alias("n_old"), *ranges(out, "b"))
+    made = out.where("new").groupBy(F.col("l_returnflag").alias("m")).agg(F.count("*").alias("n_new"), *ranges(out, "c"))
+    same, within = F.col("n") == F.col("n_old"), F.lit(True)
+    for x in SMOTE_FEATURES:
+        same = same & (F.abs(F.col(f"asum{x}") - F.col(f"bsum{x}")) < 1e-3)
+        within = within & (F.col(f"clo{x}") >= F.col(f"alo{x}")) & (F.col(f"chi{x}") <= F.col(f"ahi{x}"))
+    return old.join(kept, F.col("label") == F.col("k")).join(made, F.col("label") == F.col("m"), "left").select(
+        "label", "n_old", F.coalesce("n_new", F.lit(0)).alias("n_new"), same.alias("old_kept"), F.coalesce(within, F.lit(True)).alias("within"))
+
+
+@_register("nearest_neighbours",
+           f"with p as (select distinct c_mktsegment as g, c_acctbal as a, c_nationkey * cast(100.0 as double) as b from customer), "
+           f"d as (select p.g, p.a, p.b, q.a as near_a, q.b as near_b, (p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b) as d2 "
+           f"from p join p q on p.g = q.g and (p.a <> q.a or p.b <> q.b)), "
+           f"r as (select *, row_number() over (partition by g, a, b order by d2, near_a, near_b) as rank from d) "
+           f"select g, a, b, cast(rank as int) as rank, near_a, near_b, round(d2, {ND}) as d2 from r where rank <= 5")
+def q_nearest_neighbours(spark, sf):
+    rows = _t(spark, sf, "customer").selectExpr("c_mktsegment", "c_acctbal as a", "c_nationkey * 100.0D as b").distinct()
+    coded = EN.label_encode(rows.withColumn("g", F.col("c_mktsegment")), ["g"])
+    names = coded.select("g", "c_mktsegment").distinct()
+    near = NB.nearest(NB.points_of(coded, ["a", "b"], "g"), 5, 64)
+    each = near.select("g", "x", F.posexplode(F.slice("near", 1, 5)).alias("rank", "e"))
+    out = each.join(names, "g").select(F.col("c_mktsegment").alias("g"), F.col("x")[0].alias("a"), F.col("x")[1].alias("b"), (F.col("rank") + 1).alias("rank"),
+                                       F.col("e.x")[0].alias("near_a"), F.col("e.x")[1].alias("near_b"), "e.d2")
+    return _round(out)
+
+
 # ------------------------------------------------------------------ models
 # Not expressible in SQL: rows-only checks. Small forests / few boosting
 # rounds keep the driver's run short; the full reference grids are the

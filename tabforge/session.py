@@ -68,3 +68,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
 
 def default_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def python_workers(spark: SparkSession) -> None:
+    """Let Python workers find this package where it lies on the driver too (clusters that ship or install it lose
+    nothing), and bound the bytes of an Arrow batch where the session doesn't: wide rows come by the thousand else."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, None) is None:
+        spark.conf.set(limit, str(4 << 20))
