@@ -12,12 +12,15 @@ share of the template's shingles in the window.
 
 Only texts with a word that no match can do without are cut into windows: of
 each template the fewest words are kept so that the shingles without them are
-less than ``CONTAINMENT`` of all (a lossless test). Windows are rows, hashed and
-joined as such; a text's windows spread over tasks.
-
-Defined results: NULL, empty and short texts match nothing; repeated rows are
-scanned alike and counted as one document; an empty table gives no rows; other
-columns are ignored; a notice that occurs twice in a document counts once.
+less than ``CONTAINMENT`` of all (a lossless test). Their words and shingle
+hashes are stored once for all window sizes; a window is a row of its own slices.
+
+Defined results: NULL, empty and texts of fewer than three words match nothing;
+rows that repeat doc_id and text are one document with one row in the result,
+rows that share the doc_id alone have a row each; a NULL doc_id is an id like
+others; an empty table gives no rows; other columns are ignored; a notice that
+occurs twice in a document counts once, one that begins a longer notice counts
+beside it; of equal shares the first window is told.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import documents
+from tabforge.llm.common import cut, documents, text_hash
 
 SHINGLE, CONTAINMENT, MISS = 3, 0.8, 1e-4
 #: fixed values: name and wording of public notices
@@ -127,35 +130,41 @@ def bands_of(window: int, shingles: int) -> int:
 
 
 def scan(docs: DataFrame, notices: dict[str, str] = NOTICES) -> DataFrame:
-    """doc_id of every document, its notices in order, the share of each and the word where its window begins."""
+    """doc_id of every document (doc_id and text), its notices in order, the share of each and the word where its window begins."""
     spark, sizes = docs.sparkSession, sizes_of(notices)
     if not sizes:
         raise ValueError("No notices")
-    base = docs.select("doc_id", F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("t"))
+    base = docs.select("doc_id", text_hash().alias("th"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("t"))
     some = base.where(F.col("t").rlike(r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, needed(notices))) + r")(?![a-z0-9])"))
-    texts = some.select("doc_id", F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w"))
+    texts = some.dropDuplicates(["doc_id", "th"]).select("doc_id", "th", F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w") >= SHINGLE)
+    # every text is read and searched once; a shingle is hashed once, its bands are mixed from that hash
+    texts = cut(texts.withColumn("h", F.expr(f"transform(sequence(0, size(w) - {SHINGLE}), i -> xxhash64({', '.join(f'w[i + {j}]' for j in range(SHINGLE))}))")))
     found = []
     for longest, (window, step) in sizes.items():
         own = {n: words_of(t) for n, t in notices.items() if longest_of(len(words_of(t))) == longest}
         bands = max(bands_of(window, len(shingles_of(w))) for w in own.values())
-        templates = spark.createDataFrame([(n, shingles_of(w)) for n, w in own.items()], "notice string, its array<string>")
         values = F.expr(f"transform(sequence(0, {bands - 1}), b -> array_min(transform(g, s -> xxhash64(s, b))))")
-        keys = templates.withColumn("g", F.col("its")).select("notice", "its", F.posexplode(values).alias("band", "value"))
-        windows = texts.select("doc_id", F.explode(F.expr(f"sequence(0, greatest(size(w) - {window - step} - 1, 0), {step})")).alias("at"), "w").select(
-            "doc_id", "at", F.expr(f"slice(w, at + 1, {window})").alias("v"))
-        windows = windows.withColumn("g", F.expr(
-            f"array_distinct(transform(sequence(1, greatest(size(v) - {SHINGLE - 1}, 1)), i -> array_join(slice(v, i, {SHINGLE}), ' ')))")).drop("v")
-        hits = windows.select("doc_id", "at", "g", F.posexplode(values).alias("band", "value")).join(F.broadcast(keys), ["band", "value"])
+        templates = spark.createDataFrame([(n, shingles_of(w)) for n, w in own.items()], "notice string, its array<string>")
+        hashed = F.transform("its", lambda s: F.xxhash64(*(F.get(F.split(s, " "), F.lit(j)) for j in range(SHINGLE))))
+        keys = templates.withColumn("g", hashed).select("notice", "its", F.posexplode(values).alias("band", "value"))
+        # windows with their own words only, so that a long text isn't copied into each of them
+        windows = texts.select("doc_id", "th", F.inline(F.expr(
+            f"transform(sequence(0, greatest(size(w) - {window - step} - 1, 0), {step}), a -> named_struct('at', a, "
+            f"'v', slice(w, a + 1, {window}), 'g', array_distinct(slice(h, a + 1, {window - SHINGLE + 1}))))"))).where(F.size("g") > 0)
+        hits = windows.select("doc_id", "th", "at", "v", F.posexplode(values).alias("band", "value")).join(F.broadcast(keys), ["band", "value"])
         # notices x bands rows of fixed texts: broadcast by a size that no input changes
-        share = (F.size(F.array_intersect("g", "its")) / F.size("its")).alias("share")
-        hits = hits.select("doc_id", "at", "notice", share).where(F.col("share") >= CONTAINMENT)
+        hits = hits.select("doc_id", "th", "at", "v", "notice", "its").dropDuplicates(["doc_id", "th", "at", "notice"])
+        words = F.expr(f"array_distinct(transform(sequence(1, greatest(size(v) - {SHINGLE - 1}, 1)), i -> array_join(slice(v, i, {SHINGLE}), ' ')))")
+        share = (F.size(F.array_intersect(words, "its")) / F.size("its")).alias("share")
+        hits = hits.select("doc_id", "th", "at", "notice", share).where(F.col("share") >= CONTAINMENT)
         found.append(hits)
     hits = found[0]
     for h in found[1:]:
         hits = hits.union(h)
-    best = hits.groupBy("doc_id", "notice").agg(F.max("share").alias("share"), F.min("at").alias("at"))
-    per = best.groupBy(F.col("doc_id").alias("i")).agg(F.sort_array(F.collect_list(F.struct("notice", "share", "at"))).alias("found"))
-    return base.select("doc_id").distinct().join(per, F.col("doc_id").eqNullSafe(F.col("i")), "left").select(
+    best = hits.groupBy("doc_id", "th", "notice").agg(F.max("share").alias("share"), F.min("at").alias("at"))
+    per = best.groupBy(F.col("doc_id").alias("i"), F.col("th").alias("k")).agg(F.sort_array(F.collect_list(F.struct("notice", "share", "at"))).alias("found"))
+    same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("k"))
+    return base.select("doc_id", "th").distinct().join(per, same, "left").select(
         "doc_id", F.coalesce(F.array_join(F.transform("found", lambda x: x.notice), ","), F.lit("")).alias("licenses"),
         F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_licenses"), "found")
 
