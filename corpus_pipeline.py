@@ -24,9 +24,14 @@ from tabforge.session import ensure_checkpoint_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from all labelled documents; those without a letter (``und``) go. ``lang`` stays as it was."""
+    """Learns from all labelled documents; those without a letter (``und``) go. A NULL ``lang`` becomes the predicted
+    one, others stay. Without any label there is nothing to predict: documents without a letter go, no more."""
+    model = train(docs)
+    if model is None:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
     rows = docs.select(F.struct("*").alias("row"), "text", "lang")
-    return predict(rows, train(docs), "row").where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    known = predict(rows, model, "row").where(F.col("lang_pred") != UNKNOWN)
+    return known.select(*((F.coalesce(F.col("row.lang"), F.col("lang_pred")) if c == "lang" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
