@@ -108,14 +108,30 @@ def _signed_log(v: float) -> float:
     return math.copysign(_LOG_INF if math.isinf(v) else math.log2(abs(v)) + _LOG_SHIFT, v)
 
 
+_DOUBLINGS = 40  # below the largest magnitude of a cell that its log places tell apart
+
+
 def _share(x: Column, lo: float, hi: float) -> Column:
-    """Monotone place of x between lo and hi, about 0 to 1."""
-    a, b = _signed_log(lo), _signed_log(hi)
-    if a == b or (not math.isinf(lo) and not math.isinf(hi) and lo * hi > 0 and max(abs(lo), abs(hi)) <= 2 * min(abs(lo), abs(hi))):
-        return (x - F.lit(lo)) / F.lit(hi - lo)
-    size = F.when(F.abs(x) == F.lit(float("inf")), F.lit(_LOG_INF)).otherwise(F.log2(F.abs(x)) + F.lit(_LOG_SHIFT))
-    place = F.when(x == 0.0, F.lit(0.0)).otherwise(F.signum(x) * size)
-    return (place - F.lit(a)) / F.lit(b - a)
+    """Monotone place of x between lo and hi, about 0 to 1: half by value, so that even columns take one round, half
+    by the log of the magnitude, so that heavy tails do."""
+    if math.isinf(lo) or math.isinf(hi):
+        a, b = _signed_log(lo), _signed_log(hi)
+        size = F.when(F.abs(x) == F.lit(float("inf")), F.lit(_LOG_INF)).otherwise(F.log2(F.abs(x)) + F.lit(_LOG_SHIFT))
+        place = F.when(x == 0.0, F.lit(0.0)).otherwise(F.signum(x) * size)
+        return (place - F.lit(a)) / F.lit(b - a)
+    if math.isinf(hi - lo):
+        value = (x / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2)
+    else:
+        value = (x - F.lit(lo)) / F.lit(hi - lo)
+    low, high = sorted((abs(lo), abs(hi)))
+    unit = high * 2.0 ** -_DOUBLINGS
+    if unit < 1e-290 or lo * hi > 0 and high <= 2 * low:
+        return value
+
+    def log(v: float) -> float:
+        return math.copysign(math.log2(abs(v) / unit + 1.0), v)
+    place = F.signum(x) * F.log2(F.abs(x) / F.lit(unit) + F.lit(1.0))
+    return (value + (place - F.lit(log(lo))) / F.lit(log(hi) - log(lo))) / 2
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
@@ -133,13 +149,14 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     values, with ``base`` values below it; at first the cell is the whole
     column. While a cell holds more than ``max_rows`` values, one scan counts
     its values in ``buckets`` sub-ranges (count, min, max per bucket) and the
-    rank moves to the bucket that holds it. Sub-ranges have equal widths in
-    ``log2`` of the magnitude, so that heavy tails and infinities take a round
-    or two, and in the value itself where a cell spans less than a factor of
-    two. Both are monotone in ``v``: each bucket is a contiguous run of values
-    and its exact min/max bound the next cell. The ends of a cell fall into
-    different buckets, so every round narrows it and the search ends. Finally the values of each small cell are counted per distinct value
-    and ranked by a window partitioned by cell. A hot value collapses into one
+    rank moves to the bucket that holds it. A value's place in its cell is the
+    mean of its place by value and by ``log2`` of the magnitude (:func:`_share`),
+    so even columns and heavy tails take a round each, infinities one more. It
+    is monotone in ``v``: each bucket is a contiguous run of values and its
+    exact min/max bound the next cell. The ends of a cell fall into different
+    buckets, so every round narrows it and the search ends. Finally the values
+    of each small cell are counted per distinct value and ranked by a window
+    partitioned by cell. A hot value collapses into one
     (value, count) row, and a cell with a single value is resolved without a
     window. Only cell statistics (cells x buckets rows) reach the driver.
 

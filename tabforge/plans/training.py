@@ -180,7 +180,10 @@ def train(df: DataFrame, target: str, model: str = "Random Forest", test_size: f
     features, _ = SP.features_and_label(df, target)
     check_features(df, features)
     task = task or SP.detect_task(df, target)
-    data = df.where(C.c(target).isNotNull())
+    data = df
+    missing = df.where(C.is_missing(target, C.field(df, target).dataType)).count()
+    if missing:  # a learner can't use them, and dropping them silently would change the table
+        raise ValueError(f"{missing} rows have no {target}; drop or fill them before training")
 
     if exact:
         marked = SP.exact_split(data, test_size, seed, name="__split")

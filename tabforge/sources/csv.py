@@ -83,34 +83,35 @@ def dedupe_names(names: list[str]) -> list[str]:
 _NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$|^\s*[+-]?(?i:inf|infinity)\s*$"
 
 
-def _type_checks(names: list[str]) -> list:
-    checks = []
-    for i, n in enumerate(names):
-        x = F.col(q(n))
-        present = x.isNotNull()
-        long_ = F.expr(f"try_cast(trim({q(n)}) as bigint)")
-        whole = x.rlike(r"^\s*[+-]?[0-9]+\s*$")
-        checks += [
-            F.count_if(present & (~whole | long_.isNull())).alias(f"i{i}"),
-            # a whole number beyond 64 bits stays text, as the reference keeps its digits
-            F.count_if(present & (~x.rlike(_NUMBER) | (whole & long_.isNull()))).alias(f"d{i}"),
-            F.count_if(present & ~x.isin(*TRUE_TOKENS, *FALSE_TOKENS)).alias(f"b{i}"),
-            F.count(x).alias(f"n{i}"),
-        ]
-    return checks
-
-
-def _typed(df: DataFrame, names: list[str], row) -> DataFrame:
+def _cell_counts(df: DataFrame, names: list[str], more: list = ()) -> dict[int, dict]:
+    """Per column number, how many of its cells are present (n) and fail as bigint (i), double (d), boolean (b).
+
+    One pass over the cells as rows: the checks are compiled once, not once per column, whatever the table's width.
+    A cell that is a bigint needs no further look. ``more`` are structs (-1 - k, text) whose texts are only counted.
+    """
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(q(n)).alias("x")) for i, n in enumerate(names)], *more)))
+    long_ = F.expr("try_cast(trim(x) as bigint)")
+    # a whole number beyond 64 bits stays text, as the reference keeps its digits
+    huge = (F.length("x") >= 19) & F.col("x").rlike(r"^\s*[+-]?[0-9]+\s*$")
+    no_long = F.col("x").isNotNull() & long_.isNull()
+    rows = cells.groupBy("i").agg(F.count("x").alias("n"), F.count(F.lit(1)).alias("rows"), F.count_if(no_long).alias("i_"),
+                                  F.count_if(no_long & (~F.col("x").rlike(_NUMBER) | huge)).alias("d"),
+                                  F.count_if(no_long & ~F.col("x").isin(*TRUE_TOKENS, *FALSE_TOKENS)).alias("b"),
+                                  F.count_if(F.col("x").isNotNull() & long_.isNotNull()).alias("whole"))
+    return {r["i"]: {"n": r["n"], "rows": r["rows"], "i": r["i_"], "d": r["d"], "b": r["b"] + r["whole"]} for r in rows.collect()}
+
+
+def _typed(df: DataFrame, names: list[str], counts: dict[int, dict]) -> DataFrame:
     out = []
     for i, n in enumerate(names):
-        x = F.col(q(n))
-        if row[f"n{i}"] == 0:
+        x, row = F.col(q(n)), counts.get(i, {"n": 0})
+        if row["n"] == 0:
             out.append(x.cast("double").alias(n))  # all missing: a float column of NaN upstream
-        elif row[f"i{i}"] == 0:
+        elif row["i"] == 0:
             out.append(F.trim(x).cast("long").alias(n))
-        elif row[f"d{i}"] == 0:
+        elif row["d"] == 0:
             out.append(F.expr(f"try_cast(trim({q(n)}) as double)").alias(n))
-        elif row[f"b{i}"] == 0:
+        elif row["b"] == 0:
             out.append(x.isin(*TRUE_TOKENS).alias(n))
         else:
             out.append(x.alias(n))
@@ -120,7 +121,7 @@ def _typed(df: DataFrame, names: list[str], row) -> DataFrame:
 def infer_types(df: DataFrame) -> DataFrame:
     """S3: cast string columns to bigint / double / boolean where every
     non-missing value parses; one aggregate over the table decides."""
-    return _typed(df, df.columns, df.agg(*_type_checks(df.columns)).first())
+    return _typed(df, df.columns, _cell_counts(df, df.columns))
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None,
@@ -138,18 +139,20 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None,
     names = dedupe_names(_header(spark, path, enc, multi_line))
     if not names:
         raise ValueError("The file has no columns")
-    surplus = "surplus"
-    while surplus in names:
-        surplus += "_"
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, surplus]])
-    raw = _reader(spark, enc, multi_line).option("header", True).option("enforceSchema", True).schema(schema).csv(path)
+    record = "record"
+    while record in names:
+        record += "_"
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, record]])
+    raw = _reader(spark, enc, multi_line).option("header", True).option("enforceSchema", True).option(
+        "columnNameOfCorruptRecord", record).schema(schema).csv(path)
+    # the text of a row with more or fewer fields than the header; separators are counted outside of quotes
+    fields = F.regexp_count(F.regexp_replace(q(record), '"[^"]*"', ""), F.lit(",")) + 1
     nulls = raw.select(*[F.when(F.col(q(n)).isin(*na_tokens), F.lit(None)).otherwise(F.col(q(n))).alias(n)
-                         for n in names], q(surplus))
-    row = nulls.agg(F.count(F.lit(1)).alias("rows"), F.count(q(surplus)).alias("surplus"),
-                    *(_type_checks(names) if infer else [])).first()
-    if row["surplus"]:
-        raise ValueError(f"{row['surplus']} rows have more than the header's {len(names)} fields")
-    if not row["rows"]:
+                         for n in names], F.when(fields > len(names), F.col(q(record))).alias(record))
+    counts = _cell_counts(nulls, names if infer else [], [F.struct(F.lit(-1).alias("i"), F.col(q(record)).alias("x"))])
+    if not counts:
         raise ValueError("The file has no data rows")
-    nulls = nulls.drop(surplus)
-    return _typed(nulls, names, row) if infer else nulls
+    if counts[-1]["n"]:
+        raise ValueError(f"{counts[-1]['n']} rows have more than the header's {len(names)} fields")
+    nulls = nulls.drop(record)
+    return _typed(nulls, names, counts) if infer else nulls

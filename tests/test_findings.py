@@ -36,6 +36,33 @@ def test_csv_surplus_and_missing_fields(spark, tmp_path):
         [tuple(r) for r in CSV.read_csv(spark, _csv(tmp_path, "x,y\n1,2\n3\n", "s.csv")).collect()] == [(1, 2), (3, None)]
 
 
+@pytest.mark.parametrize("row", ["3,4,,5", "3,4,", "3,4,,", '3,"4,5",6', '"a ""q"", b",4,"x\ny"'])
+def test_csv_surplus_of_any_kind(spark, tmp_path, row):
+    with pytest.raises(ValueError, match="1 rows have more than the header"):
+        CSV.read_csv(spark, _csv(tmp_path, f"x,y\n1,2\n{row}\n"))
+    kept = CSV.read_csv(spark, _csv(tmp_path, 'x,y\n1,"a,b,""c"", d"\n"e,f,g"\n', "k.csv"))
+    assert sorted(tuple(r) for r in kept.collect()) == [("1", 'a,b,"c", d'), ("e,f,g", None)]
+
+
+def test_csv_number_types(spark, tmp_path):
+    text = "a,b,c,d,e,f,g,h\n1,1.5,True,x,1,9223372036854775807,NA,0x1p3\n 2 ,-.5e3,false,1,True,9223372036854775808,,NAN\n+3,inf,TRUE,2.5,NA,1,nan,1f\n"
+    df = CSV.read_csv(spark, _csv(tmp_path, text))
+    assert [t for _, t in df.dtypes] == ["bigint", "double", "boolean", "string", "string", "string", "double", "string"]
+
+
+def test_csv_type_checks_are_one_pass_over_wide_tables(spark, tmp_path):
+    names = [f"c{i}" for i in range(300)]
+    df = CSV.read_csv(spark, _csv(tmp_path, ",".join(names) + "\n" + "\n".join(",".join(str(i * j / 2) for j in range(300)) for i in range(20)) + "\n"))
+    assert {t for _, t in df.dtypes} == {"double"} and df.count() == 20
+
+
+def test_rows_without_target_are_an_error(spark):
+    from tabforge.plans import training as TR
+    df = spark.createDataFrame([(float(i), None if i % 4 == 0 else "a" if i % 2 else "b") for i in range(40)], "x double, y string")
+    with pytest.raises(ValueError, match="10 rows have no y"):
+        TR.train(df, "y")
+
+
 def test_csv_types_and_blank_header(spark, tmp_path):
     df = CSV.read_csv(spark, _csv(tmp_path, "a,,c,d\n123456789012345678901,12d,1e3,.5\n2,7f,-2,3.\n"))
     assert df.columns == ["a", "Unnamed: 1", "c", "d"]
