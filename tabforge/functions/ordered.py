@@ -111,27 +111,36 @@ def _signed_log(v: float) -> float:
 _DOUBLINGS = 40  # below the largest magnitude of a cell that its log places tell apart
 
 
-def _share(x: Column, lo: float, hi: float) -> Column:
-    """Monotone place of x between lo and hi, about 0 to 1: half by value, so that even columns take one round, half
-    by the log of the magnitude, so that heavy tails do."""
+def _place(lo: float, hi: float) -> tuple[int, float, float, float, float, float]:
+    """How :func:`_share` places the values of a cell: (kind, start, width, unit, first log, width of the logs)."""
     if math.isinf(lo) or math.isinf(hi):
-        a, b = _signed_log(lo), _signed_log(hi)
-        size = F.when(F.abs(x) == F.lit(float("inf")), F.lit(_LOG_INF)).otherwise(F.log2(F.abs(x)) + F.lit(_LOG_SHIFT))
-        place = F.when(x == 0.0, F.lit(0.0)).otherwise(F.signum(x) * size)
-        return (place - F.lit(a)) / F.lit(b - a)
-    if math.isinf(hi - lo):
-        value = (x / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2)
-    else:
-        value = (x - F.lit(lo)) / F.lit(hi - lo)
+        a = _signed_log(lo)
+        return _BY_INF, 0.0, 1.0, 1.0, a, _signed_log(hi) - a
+    kind, start, width = (_BY_HALF, lo / 2, hi / 2 - lo / 2) if math.isinf(hi - lo) else (_BY_VALUE, lo, hi - lo)
     low, high = sorted((abs(lo), abs(hi)))
     unit = high * 2.0 ** -_DOUBLINGS
     if unit < 1e-290 or lo * hi > 0 and high <= 2 * low:
-        return value
+        return kind, start, width, 1.0, 0.0, 0.0
 
     def log(v: float) -> float:
         return math.copysign(math.log2(abs(v) / unit + 1.0), v)
-    place = F.signum(x) * F.log2(F.abs(x) / F.lit(unit) + F.lit(1.0))
-    return (value + (place - F.lit(log(lo))) / F.lit(log(hi) - log(lo))) / 2
+    return kind, start, width, unit, log(lo), log(hi) - log(lo)
+
+
+_BY_VALUE, _BY_HALF, _BY_INF = 0, 1, 2
+_PLACE = ("kind", "start", "width", "unit", "log_start", "log_width")
+
+
+def _share() -> Column:
+    """Monotone place of v in its cell, about 0 to 1: half by value, so that even columns take one round, half by the
+    log of the magnitude, so that heavy tails do. One expression for all cells, whose numbers are columns: as many
+    expressions as cells would be too long a method to be compiled."""
+    v, kind = F.col("v"), F.col("kind")
+    size = F.when(F.abs(v) == F.lit(float("inf")), F.lit(_LOG_INF)).otherwise(F.log2(F.abs(v)) + F.lit(_LOG_SHIFT))
+    far = (F.when(v == 0.0, F.lit(0.0)).otherwise(F.signum(v) * size) - F.col("log_start")) / F.col("log_width")
+    value = (F.when(kind == _BY_HALF, v / 2).otherwise(v) - F.col("start")) / F.col("width")
+    log = (F.signum(v) * F.log2(F.abs(v) / F.col("unit") + F.lit(1.0)) - F.col("log_start")) / F.col("log_width")
+    return F.when(kind == _BY_INF, far).when(F.col("log_width") == 0.0, value).otherwise((value + log) / 2)
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
@@ -195,13 +204,11 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         if not cells:
             break
         long = df.select(F.inline(F.array(*[
-            F.struct(F.lit(i).alias("cell"),
-                     F.when(_in_cell(val[n], lo, hi),
-                            F.least(F.floor(_share(val[n], lo, hi) * F.lit(buckets)),
-                                    F.lit(buckets - 1))).alias("b"),
-                     val[n].alias("v"))
-            for i, (n, lo, hi) in enumerate(cells)])))
-        stats = long.where(F.col("b").isNotNull()).groupBy("cell", "b").agg(
+            F.struct(F.lit(i).alias("cell"), F.when(_in_cell(val[n], lo, hi), val[n]).alias("v"),
+                     *[F.lit(x).alias(k) for k, x in zip(_PLACE, _place(lo, hi))])
+            for i, (n, lo, hi) in enumerate(cells)]))).where(F.col("v").isNotNull())
+        long = long.select("cell", "v", F.least(F.floor(_share() * F.lit(buckets)), F.lit(buckets - 1)).alias("b"))
+        stats = long.groupBy("cell", "b").agg(
             F.count(F.lit(1)).alias("k"), F.min("v").alias("mn"), F.max("v").alias("mx")).collect()
         per_cell: dict[int, list] = {}
         for r in stats:

@@ -90,15 +90,16 @@ def _cell_counts(df: DataFrame, names: list[str], more: list = ()) -> dict[int,
     A cell that is a bigint needs no further look. ``more`` are structs (-1 - k, text) whose texts are only counted.
     """
     cells = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(q(n)).alias("x")) for i, n in enumerate(names)], *more)))
-    long_ = F.expr("try_cast(trim(x) as bigint)")
+    present, digits = F.col("x").isNotNull(), F.length(F.trim("x"))
+    whole = F.coalesce(F.col("x").rlike(r"^\s*[+-]?[0-9]+\s*$"), F.lit(False))
+    # casts that fail are costly, so only numbers that may not fit are tried
+    cells = cells.select("i", "x", whole.alias("whole"), (whole & ((digits <= 18) | F.expr("try_cast(trim(x) as bigint)").isNotNull())).alias("fits"))
+    other = present & ~F.col("fits")
     # a whole number beyond 64 bits stays text, as the reference keeps its digits
-    huge = (F.length("x") >= 19) & F.col("x").rlike(r"^\s*[+-]?[0-9]+\s*$")
-    no_long = F.col("x").isNotNull() & long_.isNull()
-    rows = cells.groupBy("i").agg(F.count("x").alias("n"), F.count(F.lit(1)).alias("rows"), F.count_if(no_long).alias("i_"),
-                                  F.count_if(no_long & (~F.col("x").rlike(_NUMBER) | huge)).alias("d"),
-                                  F.count_if(no_long & ~F.col("x").isin(*TRUE_TOKENS, *FALSE_TOKENS)).alias("b"),
-                                  F.count_if(F.col("x").isNotNull() & long_.isNotNull()).alias("whole"))
-    return {r["i"]: {"n": r["n"], "rows": r["rows"], "i": r["i_"], "d": r["d"], "b": r["b"] + r["whole"]} for r in rows.collect()}
+    rows = cells.groupBy("i").agg(F.count("x").alias("n"), F.count(F.lit(1)).alias("rows"), F.count_if(other).alias("i_"),
+                                  F.count_if(other & (F.col("whole") | ~F.col("x").rlike(_NUMBER))).alias("d"),
+                                  F.count_if(present & (F.col("fits") | ~F.col("x").isin(*TRUE_TOKENS, *FALSE_TOKENS))).alias("b"))
+    return {r["i"]: {"n": r["n"], "rows": r["rows"], "i": r["i_"], "d": r["d"], "b": r["b"]} for r in rows.collect()}
 
 
 def _typed(df: DataFrame, names: list[str], counts: dict[int, dict]) -> DataFrame:
