@@ -14,14 +14,16 @@ Documents with equal multisets are one class from the start and go on as one
 representative. Representatives that share one of 32 bands of four registers
 (a pair at similarity 0.8 shares none with probability 5e-8) are compared: first
 all of a bucket with its head, then, in buckets that still span several
-components, members of different components, in blocks of ``BLOCK`` by
-``BLOCK`` members whose signatures one task holds: the best pair of each two
-components first, and once that has merged what it can, all that are left. A
+components, the members outside of the largest component with all of other
+components, in blocks of ``BLOCK`` by ``BLOCK`` members whose signatures one task
+holds: the best pair of each two components first, and once that has merged what
+it can, all that are left. A
 pair is named by the first band that it shares, so once, and only where its
 signatures agree in ``ROUGH`` of the 512 registers (five standard deviations
-below 0.8; the bands use 128 of them); then its multisets are read again from the texts. No bucket is expanded
-into all its pairs. Classes are the connected components of the pairs at
-``threshold`` or more.
+below 0.8; the bands use 128 of them); then its multisets are read again from the
+texts. In a bucket of n members with t outside of its largest component, n * t
+signatures are compared in numpy; no pair of them becomes a row before it agrees.
+Classes are the connected components of the pairs at ``threshold`` or more.
 
 Defined results: texts of one to four words have one shingle, all their words;
 texts without words (NULL, empty, blank) are equal to each other; repeated rows
@@ -42,7 +44,7 @@ from tabforge.llm.common import (
 )
 from tabforge.llm.components import components
 
-WORDS, THRESHOLD, REGISTERS, BANDS, ROWS, ROUGH, BLOCK, BITS = 5, 0.8, 512, 32, 4, 0.71, 256, 24
+WORDS, THRESHOLD, REGISTERS, BANDS, ROWS, ROUGH, BLOCK, BITS = 5, 0.8, 512, 32, 4, 0.71, 1024, 24
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, k: int = WORDS):
@@ -145,26 +147,41 @@ def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def across(known: DataFrame, reps: DataFrame, every: bool) -> DataFrame:
     """Pairs (a < b) of different components that share a bucket and agree in ``ROUGH`` of the registers; of each
-    two components in a block only the best pair unless ``every``. ``known``: key, v, c, n (size of the bucket)."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    slot = F.pmod(F.xxhash64("v"), blocks).cast("int")
-    dealt = known.select("key", "v", "c", slot.alias("s"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
-    dealt = dealt.select("key", "v", "c", "s", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"))
+    two components in a group only the best pair unless ``every``. ``known``: key, v, c, n (size of the bucket), major
+    (its largest component) and t (members outside of that).
+
+    One of a pair is outside of the largest component: groups hold a block of those members (slot i) and a block of
+    all members (slot j), so the work is n * t, not n * n.
+    """
+    lefts, rights = (F.ceil(F.col(x) / BLOCK).cast("int") for x in ("t", "n"))
+    minor = F.col("c") != F.col("major")
+    s, r = F.pmod(F.xxhash64("v"), lefts).cast("int"), F.pmod(F.xxhash64("v", F.lit(1)), rights).cast("int")
+    known = known.select("key", "v", "c", minor.alias("minor"), s.alias("s"), r.alias("r"), lefts.alias("lefts"), rights.alias("rights"))
+    as_right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda o: F.struct(o.alias("i"), F.col("r").alias("j")))
+    as_left = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda o: F.struct(F.col("s").alias("i"), o.alias("j")))
+    groups = F.when(F.col("minor"), F.array_union(as_right, as_left)).otherwise(as_right)
+    dealt = known.select("key", "v", "c", "minor", "s", "r", F.inline(groups))
     dealt = dealt.join(reps.select("v", "bands", "regs"), "v").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def compare(key, i, j, v, c, s, bands, regs):
-        left, right = (np.flatnonzero(s == x) for x in (i, j))
-        shared = bands[left][:, None, :] == bands[right][None, :, :]
+    def compare(key, i, j, v, c, minor, s, r, bands, regs):
+        left, right = np.flatnonzero(minor & (s == i)), np.flatnonzero(r == j)
         band = int(np.flatnonzero((bands == key).all(axis=0))[0])  # which of the bands this bucket is
-        ok = shared.argmax(axis=2) == band
-        ok &= c[left][:, None] != c[right][None, :]
-        if i == j:
-            ok &= v[left][:, None] < v[right][None, :]
-        x, y = np.nonzero(ok)
-        same = np.concatenate([(regs[left[x[k:k + 20_000]]] == regs[right[y[k:k + 20_000]]]).mean(axis=1)
-                               for k in range(0, len(x), 20_000)] or [np.zeros(0)])
-        keep = same >= ROUGH
-        x, y, same = left[x[keep]], right[y[keep]], same[keep]
+        xs, ys, sames = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for k in range(0, len(left), 64):
+            some = left[k:k + 64]
+            ok = c[some][:, None] != c[right][None, :]
+            # two members outside of the largest component meet twice
+            ok &= ~minor[right][None, :] | (v[some][:, None] < v[right][None, :])
+            for other in range(band):  # a pair is named by the first band that it shares
+                ok &= bands[some, other][:, None] != bands[right, other][None, :]
+            x, y = np.nonzero(ok)
+            x, y = some[x], right[y]
+            same = np.concatenate([(regs[x[m:m + 20_000]] == regs[y[m:m + 20_000]]).mean(axis=1) for m in range(0, len(x), 20_000)] or [np.zeros(0)])
+            keep = same >= ROUGH
+            xs.append(x[keep])
+            ys.append(y[keep])
+            sames.append(same[keep])
+        x, y, same = np.concatenate(xs), np.concatenate(ys), np.concatenate(sames)
         if not every and len(x):
             order = np.argsort(-same, kind="stable")
             two = np.sort(np.stack([c[x[order]], c[y[order]]], axis=1), axis=1)
@@ -191,16 +208,17 @@ def across(known: DataFrame, reps: DataFrame, every: bool) -> DataFrame:
         ends, rest = np.append(cuts[1:], len(ids)), None
         if not last:
             rest, cuts, ends = b.slice(int(cuts[-1])), cuts[:-1], ends[:-1]
-        v, c, s = (b.column(x).to_numpy().astype(np.int64) for x in ("v", "c", "s"))
+        v, c, s, r = (b.column(x).to_numpy().astype(np.int64) for x in ("v", "c", "s", "r"))
+        minor = b.column("minor").to_numpy(zero_copy_only=False)
         out = []
         for lo, hi in zip(cuts.tolist(), ends.tolist()):
             part = b.slice(lo, hi - lo)
             bands = part.column("bands").flatten().to_numpy().reshape(hi - lo, -1)
             regs = np.frombuffer(b"".join(part.column("regs").to_pylist()), np.uint8).reshape(hi - lo, REGISTERS)
-            out.append(compare(*ids[lo].tolist(), v[lo:hi], c[lo:hi], s[lo:hi], bands, regs))
+            out.append(compare(*ids[lo].tolist(), v[lo:hi], c[lo:hi], minor[lo:hi], s[lo:hi], r[lo:hi], bands, regs))
         return [pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])] if out else [], rest
 
-    return mapped(dealt.select("key", "i", "j", "v", "c", "s", "bands", "regs"), run, "a long, b long").distinct()
+    return mapped(dealt.select("key", "i", "j", "v", "c", "minor", "s", "r", "bands", "regs"), run, "a long, b long").distinct()
 
 
 def overlap(texts: list[str], others: list[str]) -> np.ndarray:
@@ -264,9 +282,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     labels = components(edges)
     for every in (False, True):
         known = shared.join(labels, "v", "left").select("key", "v", F.coalesce("c", "v").alias("c"), "n")
-        mixed = known.groupBy("key").agg(F.min("c").alias("l"), F.max("c").alias("h")).where("l <> h")
+        sizes = known.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(
+            F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("all"))
+        mixed = sizes.where("top.k < all").select("key", F.col("top.c").alias("major"), (F.col("all") - F.col("top.k")).alias("t"))
         # the two of a pair have been compared
-        new = cut(across(known.where("n > 2").join(mixed.select("key"), "key"), reps, every).join(tested, ["a", "b"], "left_anti"))
+        new = cut(across(known.where("n > 2").join(mixed, "key"), reps, every).join(tested, ["a", "b"], "left_anti"))
         if new.isEmpty():
             continue
         tested = tested.union(new)
