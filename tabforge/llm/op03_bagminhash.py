@@ -19,11 +19,14 @@ components, in blocks of ``BLOCK`` by ``BLOCK`` members whose signatures one tas
 holds: the best pair of each two components first, and once that has merged what
 it can, all that are left. A
 pair is named by the first band that it shares, so once, and only where its
-signatures agree in ``ROUGH`` of the 512 registers (five standard deviations
-below 0.8; the bands use 128 of them); then its multisets are read again from the
-texts. In a bucket of n members with t outside of its largest component, n * t
-signatures are compared in numpy; no pair of them becomes a row before it agrees.
-Classes are the connected components of the pairs at ``threshold`` or more.
+signatures agree to within five standard deviations of 0.8: with a head, in
+``ROUGH`` of the 512 registers (the bands use 128 of them); across components, by
+``FINE`` more registers of one bit each, which only members of such buckets get
+and which leave few pairs that are not near copies. Then its multisets are read
+again from the texts. In a bucket of n members with t outside of its largest
+component, n * t signatures are compared in numpy; no pair of them becomes a row
+before it agrees. Classes are the connected components of the pairs at
+``threshold`` or more.
 
 Defined results: texts of one to four words have one shingle, all their words;
 texts without words (NULL, empty, blank) are equal to each other; repeated rows
@@ -44,7 +47,7 @@ from tabforge.llm.common import (
 )
 from tabforge.llm.components import components
 
-WORDS, THRESHOLD, REGISTERS, BANDS, ROWS, ROUGH, BLOCK, BITS = 5, 0.8, 512, 32, 4, 0.71, 1024, 24
+WORDS, THRESHOLD, REGISTERS, BANDS, ROWS, ROUGH, BLOCK, BITS, FINE = 5, 0.8, 512, 32, 4, 0.71, 1024, 24, 8192
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, k: int = WORDS):
@@ -145,10 +148,28 @@ def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return mapped(pairs.join(one, "a").join(two, "b").select("a", "b", "ra", "rb"), run, "a long, b long")
 
 
-def across(known: DataFrame, reps: DataFrame, every: bool) -> DataFrame:
-    """Pairs (a < b) of different components that share a bucket and agree in ``ROUGH`` of the registers; of each
-    two components in a group only the best pair unless ``every``. ``known``: key, v, c, n (size of the bucket), major
-    (its largest component) and t (members outside of that).
+def fine_signatures(wanted: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """v, bands and one bit of each of ``FINE`` registers for the vertices ``wanted``, from their texts."""
+
+    def run(batches):
+        for rows, data, offs in slices(batches):
+            for i in range(0, len(offs) - 1, 64):  # registers of 64 documents at once
+                some = offs[i:i + 65]
+                regs = signatures(*shingles(data[some[0]:some[-1]], some - some[0]), len(some) - 1, FINE)
+                bits = np.packbits(mix(regs.view(np.uint64)).astype(np.uint8) & 1, axis=1)
+                yield pa.RecordBatch.from_arrays([rows.column("v").slice(i, len(bits)), pa.array([x.tobytes() for x in bits], pa.binary())],
+                                                 names=["v", "fine"])
+
+    named = cut(wanted.join(reps.select("v", "doc_id", "th"), "v"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
+    texts = texts_of(named, docs).repartition(parts, "v")
+    return cut(mapped(texts, run, "v long, fine binary").join(reps.select("v", "bands"), "v"))
+
+
+def across(known: DataFrame, fine: DataFrame, every: bool, threshold: float) -> DataFrame:
+    """Pairs (a < b) of different components that share a bucket and whose fine signatures let ``threshold`` be true;
+    of each two components in a group only the best pair unless ``every``. ``known``: key, v, c, n (size of the bucket),
+    major (its largest component) and t (members outside of that); ``fine``: v, bands, fine.
 
     One of a pair is outside of the largest component: groups hold a block of those members (slot i) and a block of
     all members (slot j), so the work is n * t, not n * n.
@@ -161,12 +182,16 @@ def across(known: DataFrame, reps: DataFrame, every: bool) -> DataFrame:
     as_left = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda o: F.struct(F.col("s").alias("i"), o.alias("j")))
     groups = F.when(F.col("minor"), F.array_union(as_right, as_left)).otherwise(as_right)
     dealt = known.select("key", "v", "c", "minor", "s", "r", F.inline(groups))
-    dealt = dealt.join(reps.select("v", "bands", "regs"), "v").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = dealt.join(fine, "v").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    # one bit agrees with probability (1 + similarity) / 2
+    least = threshold - 5 * np.sqrt((1 - threshold ** 2) / FINE)
+    most = FINE * (1 - least) / 2  # bits that may differ
 
     def compare(key, i, j, v, c, minor, s, r, bands, regs):
         left, right = np.flatnonzero(minor & (s == i)), np.flatnonzero(r == j)
         band = int(np.flatnonzero((bands == key).all(axis=0))[0])  # which of the bands this bucket is
-        xs, ys, sames = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        xs, ys, others = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for k in range(0, len(left), 64):
             some = left[k:k + 64]
             ok = c[some][:, None] != c[right][None, :]
@@ -176,14 +201,15 @@ def across(known: DataFrame, reps: DataFrame, every: bool) -> DataFrame:
                 ok &= bands[some, other][:, None] != bands[right, other][None, :]
             x, y = np.nonzero(ok)
             x, y = some[x], right[y]
-            same = np.concatenate([(regs[x[m:m + 20_000]] == regs[y[m:m + 20_000]]).mean(axis=1) for m in range(0, len(x), 20_000)] or [np.zeros(0)])
-            keep = same >= ROUGH
+            differ = np.concatenate([np.bitwise_count(regs[x[m:m + 10_000]] ^ regs[y[m:m + 10_000]]).sum(axis=1, dtype=np.int64)
+                                     for m in range(0, len(x), 10_000)] or [np.zeros(0)])
+            keep = differ <= most
             xs.append(x[keep])
             ys.append(y[keep])
-            sames.append(same[keep])
-        x, y, same = np.concatenate(xs), np.concatenate(ys), np.concatenate(sames)
+            others.append(differ[keep])
+        x, y, differ = np.concatenate(xs), np.concatenate(ys), np.concatenate(others)
         if not every and len(x):
-            order = np.argsort(-same, kind="stable")
+            order = np.argsort(differ, kind="stable")
             two = np.sort(np.stack([c[x[order]], c[y[order]]], axis=1), axis=1)
             first = order[np.sort(np.unique(two, axis=0, return_index=True)[1])]
             x, y = x[first], y[first]
@@ -214,11 +240,11 @@ def across(known: DataFrame, reps: DataFrame, every: bool) -> DataFrame:
         for lo, hi in zip(cuts.tolist(), ends.tolist()):
             part = b.slice(lo, hi - lo)
             bands = part.column("bands").flatten().to_numpy().reshape(hi - lo, -1)
-            regs = np.frombuffer(b"".join(part.column("regs").to_pylist()), np.uint8).reshape(hi - lo, REGISTERS)
+            regs = np.frombuffer(b"".join(part.column("fine").to_pylist()), np.uint64).reshape(hi - lo, FINE // 64)
             out.append(compare(*ids[lo].tolist(), v[lo:hi], c[lo:hi], minor[lo:hi], s[lo:hi], r[lo:hi], bands, regs))
         return [pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])] if out else [], rest
 
-    return mapped(dealt.select("key", "i", "j", "v", "c", "minor", "s", "r", "bands", "regs"), run, "a long, b long").distinct()
+    return mapped(dealt.select("key", "i", "j", "v", "c", "minor", "s", "r", "bands", "fine"), run, "a long, b long").distinct()
 
 
 def overlap(texts: list[str], others: list[str]) -> np.ndarray:
@@ -238,17 +264,24 @@ def overlap(texts: list[str], others: list[str]) -> np.ndarray:
     return out
 
 
-def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose texts reach ``threshold``. Only documents that the pairs name (by a bitmap of fixed size, then
-    exactly) leave their files."""
-    pairs = cut(pairs)
-    named = cut(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(reps.select("v", "doc_id", "th"), "v"))
+def texts_of(named: DataFrame, docs: DataFrame) -> DataFrame:
+    """v and text of ``named`` (v, doc_id, th; checkpointed). Only documents that it names (by a bitmap of fixed size,
+    then exactly) leave their files."""
     filter_ = docs.sparkSession.sparkContext.broadcast(bitmap(named.select(F.col("th").alias("h")), BITS))
 
     def some(batches):
         for b in batches:
             yield b.filter(pa.array(in_bitmap(filter_.value, b.column("th").to_numpy().view(np.uint64), BITS)))
 
+    base = keyed(docs)
+    texts = mapped(base, some, ", ".join(f"{c} {t}" for c, t in base.dtypes)).where("text is not null")
+    same = texts["doc_id"].eqNullSafe(named["doc_id"]) & (texts["th"] == named["th"])
+    return texts.join(named, same).select("v", "text").dropDuplicates(["v"])
+
+
+def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs whose texts reach ``threshold``."""
+
     def run(batches):
         for b in batches:
             size = np.cumsum(pc.add(pc.binary_length(b.column("ta")), pc.binary_length(b.column("tb"))).to_numpy())
@@ -257,10 +290,8 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float)
                 near = overlap(rows.column("ta").to_pylist(), rows.column("tb").to_pylist())
                 yield rows.select(["a", "b"]).filter(pa.array(near >= threshold, pa.bool_()))
 
-    base = keyed(docs)
-    texts = mapped(base, some, ", ".join(f"{c} {t}" for c, t in base.dtypes)).where("text is not null")
-    same = texts["doc_id"].eqNullSafe(named["doc_id"]) & (texts["th"] == named["th"])
-    texts = texts.join(named, same).select("v", "text").dropDuplicates(["v"])
+    pairs = cut(pairs)
+    texts = texts_of(cut(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(reps.select("v", "doc_id", "th"), "v")), docs)
     with_a = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("ta")), "a")
     with_b = with_a.join(texts.select(F.col("v").alias("b"), F.col("text").alias("tb")), "b")
     return mapped(with_b.select("a", "b", "ta", "tb"), run, "a long, b long")
@@ -279,14 +310,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     tested = cut(shared.where("v <> to").select(F.col("to").alias("a"), F.col("v").alias("b")).distinct())
     edges = cut(verify(alike(tested, reps), reps, docs, threshold))
-    labels = components(edges)
+    labels, fine = components(edges), None
     for every in (False, True):
         known = shared.join(labels, "v", "left").select("key", "v", F.coalesce("c", "v").alias("c"), "n")
         sizes = known.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(
             F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("all"))
         mixed = sizes.where("top.k < all").select("key", F.col("top.c").alias("major"), (F.col("all") - F.col("top.k")).alias("t"))
-        # the two of a pair have been compared
-        new = cut(across(known.where("n > 2").join(mixed, "key"), reps, every).join(tested, ["a", "b"], "left_anti"))
+        known = cut(known.where("n > 2").join(mixed, "key"))  # the two of a pair have been compared
+        if fine is None:  # later rounds mix fewer buckets
+            fine = fine_signatures(known.select("v").distinct(), reps, docs)
+        new = cut(across(known, fine, every, threshold).join(tested, ["a", "b"], "left_anti"))
         if new.isEmpty():
             continue
         tested = tested.union(new)
