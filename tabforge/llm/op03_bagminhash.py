@@ -46,8 +46,9 @@ from tabforge.llm.common import (
     text_hash, within, word_hashes,
 )
 from tabforge.llm.components import components
+from tabforge.session import default_partitions
 
-WORDS, THRESHOLD, REGISTERS, BANDS, ROWS, ROUGH, BLOCK, BITS, FINE = 5, 0.8, 512, 32, 4, 0.71, 1024, 24, 8192
+WORDS, THRESHOLD, REGISTERS, BANDS, ROWS, ROUGH, BLOCK, BITS, FINE = 5, 0.8, 512, 32, 4, 0.71, 1024, 24, 4096
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, k: int = WORDS):
@@ -161,7 +162,8 @@ def fine_signatures(wanted: DataFrame, reps: DataFrame, docs: DataFrame) -> Data
                                                  names=["v", "fine"])
 
     named = cut(wanted.join(reps.select("v", "doc_id", "th"), "v"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
+    # few bytes, much work: not to be coalesced
+    parts = max(default_partitions(docs.sparkSession), named.count() // 512)
     texts = texts_of(named, docs).repartition(parts, "v")
     return cut(mapped(texts, run, "v long, fine binary").join(reps.select("v", "bands"), "v"))
 
@@ -182,22 +184,22 @@ def across(known: DataFrame, fine: DataFrame, every: bool, threshold: float) ->
     as_left = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda o: F.struct(F.col("s").alias("i"), o.alias("j")))
     groups = F.when(F.col("minor"), F.array_union(as_right, as_left)).otherwise(as_right)
     dealt = known.select("key", "v", "c", "minor", "s", "r", F.inline(groups))
-    dealt = dealt.join(fine, "v").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    before = F.slice("bands", F.lit(1), F.array_position("bands", F.col("key")).cast("int") - 1)  # the bands before this bucket's
+    dealt = dealt.join(fine, "v").withColumn("bands", before).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     # one bit agrees with probability (1 + similarity) / 2
     least = threshold - 5 * np.sqrt((1 - threshold ** 2) / FINE)
     most = FINE * (1 - least) / 2  # bits that may differ
 
-    def compare(key, i, j, v, c, minor, s, r, bands, regs):
+    def compare(i, j, v, c, minor, s, r, bands, regs):
         left, right = np.flatnonzero(minor & (s == i)), np.flatnonzero(r == j)
-        band = int(np.flatnonzero((bands == key).all(axis=0))[0])  # which of the bands this bucket is
         xs, ys, others = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for k in range(0, len(left), 64):
             some = left[k:k + 64]
             ok = c[some][:, None] != c[right][None, :]
             # two members outside of the largest component meet twice
             ok &= ~minor[right][None, :] | (v[some][:, None] < v[right][None, :])
-            for other in range(band):  # a pair is named by the first band that it shares
+            for other in range(bands.shape[1]):  # a pair is named by the first band that it shares
                 ok &= bands[some, other][:, None] != bands[right, other][None, :]
             x, y = np.nonzero(ok)
             x, y = some[x], right[y]
@@ -241,7 +243,7 @@ def across(known: DataFrame, fine: DataFrame, every: bool, threshold: float) ->
             part = b.slice(lo, hi - lo)
             bands = part.column("bands").flatten().to_numpy().reshape(hi - lo, -1)
             regs = np.frombuffer(b"".join(part.column("fine").to_pylist()), np.uint64).reshape(hi - lo, FINE // 64)
-            out.append(compare(*ids[lo].tolist(), v[lo:hi], c[lo:hi], minor[lo:hi], s[lo:hi], r[lo:hi], bands, regs))
+            out.append(compare(*ids[lo, 1:].tolist(), v[lo:hi], c[lo:hi], minor[lo:hi], s[lo:hi], r[lo:hi], bands, regs))
         return [pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])] if out else [], rest
 
     return mapped(dealt.select("key", "i", "j", "v", "c", "minor", "s", "r", "bands", "fine"), run, "a long, b long").distinct()
