@@ -219,6 +219,21 @@ def test_signature_estimates_weighted_similarity():
     assert np.mean(regs[0] == regs[1]) == pytest.approx(similarity(multiset(a), multiset(b)), abs=0.03)
 
 
+def test_fine_signatures_estimate_weighted_similarity(spark):
+    from tabforge.llm import op03_bagminhash as m
+    base = [f"f{i}" for i in range(150)]
+    texts_ = [" ".join(base), " ".join(base[:40] + ["x"] + base[41:]), " ".join(base[:60]), " ".join(f"g{i}" for i in range(150))]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    reps = m.keyed(docs).select(F.col("doc_id").alias("v"), "doc_id", "th", F.array().cast("array<long>").alias("bands"))
+    got = {r["v"]: np.frombuffer(r["fine"], np.uint64) for r in m.fine_signatures(reps.select("v"), reps, docs).collect()}
+    assert sorted(got) == [0, 1, 2, 3]
+    for a in got:
+        for b in got:
+            agree = 1 - int(np.bitwise_count(got[a] ^ got[b]).sum()) / m.FINE
+            want = similarity(multiset(texts_[a]), multiset(texts_[b]))
+            assert 2 * agree - 1 == pytest.approx(want, abs=5 * ((1 - want ** 2) / m.FINE) ** 0.5 + 1e-9)
+
+
 def test_large_group_of_near_copies(spark):
     words = [f"v{i}" for i in range(200)]
     rows_ = [(i, " ".join(words[:i % 190] + [f"edit{i}"] + words[i % 190 + 1:])) for i in range(300)]
