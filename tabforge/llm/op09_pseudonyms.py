@@ -8,7 +8,7 @@ Feistel network within its own format, anything else stays as it is:
 * phone: last ten digits; ssn: group and serial; ip: the 32 bits
 * date: a day in the 72,900 days from 1900-01-01 (270 x 270), same notation
 * email: letters and digits of the local part, run by run; the domain stays
-* secret: AWS-like key ids, long hex strings and values after password/token/secret, in runs
+* secret: AWS-like key ids, long hex strings and values after password/token/secret, in any case, in runs
 
 A permutation of each format keeps distinct values distinct and depends on the
 value and the key only, so equal values stay linked across documents; no join
@@ -30,8 +30,8 @@ ROUNDS = 8
 #: fixed values: candidate patterns by kind, tried in this order at each place
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])"
-              r"|(?<=(?:password|token|secret)[ ]{0,1}[=:][ ]{0,1}\"{0,1})[A-Za-z0-9]{8,}",
+    "secret": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])[0-9A-Fa-f]{32,64}(?![A-Za-z0-9])"
+              r"|(?<=(?i:password|token|secret)[ ]{0,1}[=:][ ]{0,1}\"{0,1})[A-Za-z0-9]{8,}",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
     "date": r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d/.])\d{2}([/.])\d{2}\1\d{4}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -170,7 +170,7 @@ _SWAP = {"email": _email, "secret": _secret, "ip": _ip, "date": _date, "ssn": _s
 
 def kind_of(m: Column) -> Column:
     """Which kind of candidate a match is."""
-    out = F.when(m.contains("@"), "email").when(m.rlike("^AKIA|^[0-9a-f]{32,}$|^[A-Za-z0-9]*[A-Za-z][A-Za-z0-9]*$"), "secret")
+    out = F.when(m.contains("@"), "email").when(m.rlike("^AKIA|^[0-9A-Fa-f]{32,}$|^[A-Za-z0-9]*[A-Za-z][A-Za-z0-9]*$"), "secret")
     out = out.when(m.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "ip").when(m.rlike(r"^\d{4}-\d\d-\d\d$|^\d\d([/.])\d\d\1\d{4}$"), "date")
     out = out.when(m.rlike(r"^\d{3}-\d\d-\d{4}$"), "ssn")
     return out.when(m.rlike(r"^\d(?:[ -]?\d){12,18}$"), "card").when(m.rlike(r"[ ().+-]"), "phone").otherwise("secret")
@@ -186,7 +186,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     pattern = "|".join(f"(?:{p})" for p in PATTERNS.values())
     text = F.col("text").cast("string")
     out = docs.select("doc_id", text.alias("old")).withColumn(
-        "m", F.when(F.col("old").rlike("[0-9@]|AKIA|password|token|secret"), F.regexp_extract_all("old", F.lit(pattern), F.lit(0))))
+        "m", F.when(F.col("old").rlike("[0-9@]|AKIA|(?i:password|token|secret)"), F.regexp_extract_all("old", F.lit(pattern), F.lit(0))))
 
     def swap(m: Column) -> Column:
         def by_kind(k: Column) -> Column:

@@ -553,3 +553,13 @@ def test_pipeline_keeps_unlabelled_documents(spark, tmp_path):
     more = docs.union(spark.createDataFrame([(4, "some words and texts", "en", "s"), (5, "und das ist der die", "de", "s")], docs.schema))
     got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language(spark, more, "").collect()}
     assert got == {1: "en", 4: "en", 5: "de"}
+
+
+def test_secrets_in_any_case(spark):
+    from tabforge.llm.op09_pseudonyms import pseudonymise
+    texts_ = ['TOKEN = "9233A8ECAB0012349233A8ECAB00129B" end', "Password: HunterHunter x", "x 9233A8ECAB0012349233A8ECAB00129B y"]
+    got = pseudonymise(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert [r["n_secret"] for r in got] == [1, 1, 1]
+    assert not any(s in r["text"] for r in got for s in ("9233A8EC", "HunterHunter"))
+    assert all(len(r["text"]) == len(t) for r, t in zip(got, texts_))
+    assert got[0]["text"].split('"')[1] == got[2]["text"].split(" ")[1]  # equal values stay linked
