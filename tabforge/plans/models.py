@@ -14,7 +14,8 @@ import math
 import random
 from typing import Any
 
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark import SparkContext
+from pyspark.ml.classification import GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
 # Fixed values from the reference.
@@ -115,6 +116,51 @@ def make_estimator(model_name: str, task: str, n_classes: int = 2,
     raise ValueError(f"Unsupported model: {model_name} for task: {task}")
 
 
+def prefix(model, n: int):
+    """The fitted forest or boosted model with its first ``n`` trees only.
+
+    A boosted prefix is what ``n`` rounds would have fitted. A forest's prefix is a
+    forest of ``n`` trees from the same distribution; fitted alone it would draw
+    other samples.
+    """
+    if isinstance(model, OneVsRestModel):
+        return model._copyValues(OneVsRestModel(models=[prefix(m, n) for m in model.models]))
+    old, context = model._java_obj, SparkContext._active_spark_context
+    trees = old.trees()
+    if n > len(trees):
+        raise ValueError(f"the model has {len(trees)} trees, not {n}")
+    name, ml, gateway = type(model).__name__, context._jvm.org.apache.spark.ml, context._gateway
+
+    def first(values, kind):
+        out = gateway.new_array(kind, n)
+        for i in range(n):
+            out[i] = values[i]
+        return out
+
+    classes = hasattr(model, "numClasses")
+    by_class = classes and name.startswith("RandomForest")  # boosting always adds regression trees
+    tree = ml.classification.DecisionTreeClassificationModel if by_class else ml.regression.DecisionTreeRegressionModel
+    args = [first(trees, tree)]
+    if name.startswith("GBT"):
+        args.append(first(old.treeWeights(), context._jvm.double))
+    args += [old.numFeatures(), *([old.numClasses()] if classes else [])]
+    make = getattr(ml.classification if classes else ml.regression, name)
+    new = make(f"{model.uid}_{n}", *args)
+    if name.startswith("RandomForest"):
+        new.set(new.getParam("numTrees").w(n))
+    return model._copyValues(type(model)(new))
+
+
+def staged(points: list[dict[str, Any]]) -> list[tuple[dict[str, Any], list[int]]]:
+    """Fits that serve all ``points``: the parameters, and the places of the points that
+    are prefixes of the fit. Points that differ in ``n_estimators`` only share the largest."""
+    groups: dict[tuple, list[int]] = {}
+    for i, p in enumerate(points):
+        alone = () if "n_estimators" in p else (i,)
+        groups.setdefault((*sorted((k, repr(v)) for k, v in p.items() if k != "n_estimators"), *alone), []).append(i)
+    return [(max((points[i] for i in own), key=lambda p: p.get("n_estimators", 0)), own) for own in groups.values()]
+
+
 def grid_points(grid: dict[str, list]) -> list[dict[str, Any]]:
     """All points of a grid, in the reference's (sorted-key) order."""
     keys = sorted(grid)

@@ -125,18 +125,24 @@ def _score(pred: DataFrame, task: str, metric: str | None = None) -> float:
 
 def _fold_fits(est_factory, data: DataFrame, task: str, points: list[dict], folds: int,
                metric: str | None, parallelism: int) -> list[list[float]]:
-    """Score every (point, fold): fit on the other folds, score on the fold."""
-    jobs = [(pi, k) for pi in range(len(points)) for k in range(folds)]
+    """Score every (point, fold): fit on the other folds, score on the fold. Points that
+    differ in the number of trees only are prefixes of one fit (``models.prefix``)."""
+    jobs = [(fit, own, k) for fit, own in MD.staged(points) for k in range(folds)]
 
     def run(job):
-        pi, k = job
-        model = est_factory(points[pi]).fit(data.where(F.col("fold") != k))
-        return pi, k, _score(model.transform(data.where(F.col("fold") == k)), task, metric)
+        fit, own, k = job
+        model = est_factory(fit).fit(data.where(F.col("fold") != k))
+        held, out = data.where(F.col("fold") == k), []
+        for i in own:
+            fewer = points[i].get("n_estimators") != fit.get("n_estimators")
+            part = MD.prefix(model, points[i]["n_estimators"]) if fewer else model
+            out.append((i, k, _score(part.transform(held), task, metric)))
+        return out
 
     scores = [[0.0] * folds for _ in points]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        for pi, k, s in ex.map(run, jobs):
-            scores[pi][k] = s
+        for i, k, s in (one for out in ex.map(run, jobs) for one in out):
+            scores[i][k] = s
     return scores
 
 
