@@ -1009,6 +1009,18 @@ def q_model_export_roundtrip(spark, sf):
     return ST.load_model(path).transform(df).select("target", "prediction")
 
 
+# every row has the prediction of the model before it was saved
+@_register("model_export_same", "select count(*) as \"rows\", count(*) as same from lineitem")
+def q_model_export_same(spark, sf):
+    df = _clf_table(spark, sf)
+    r = TR.train(df, "target", "Random Forest", params={"n_estimators": 5, "max_depth": 3}, use_cv=False)
+    path = _scratch(spark, "model")
+    ST.export_model(r.model, path)
+    before = r.model.transform(df).select(*df.columns, F.col("prediction").alias("before"))
+    after = ST.load_model(path).transform(before)
+    return after.agg(F.count("*").alias("rows"), F.count(F.when(F.col("before") == F.col("prediction"), 1)).alias("same"))
+
+
 @_register("feature_importance")
 def q_feature_importance(spark, sf):
     r = TR.train(_clf_table(spark, sf), "target", "Random Forest",
@@ -1016,6 +1028,27 @@ def q_feature_importance(spark, sf):
     return r.importance(spark)
 
 
+# V5, V9: what a result says of itself: names, labels, folds, and importances that are shares ranked from the top
+@_register("training_record",
+           f"select 'Random Forest' as model_name, 'classification' as task_type, '{','.join(FEATURES)}' as features, "
+           f"string_agg(distinct l_returnflag, ',' order by l_returnflag) as labels, cast(5 as int) as folds, true as mean_of_folds, "
+           f"'accuracy,f1_score,roc_auc' as metrics, cast({len(FEATURES)} as bigint) as ranked, true as falling, "
+           f"cast(1.0 as double) as total from lineitem")
+def q_training_record(spark, sf):
+    r = TR.train(_clf_table(spark, sf), "target", "Random Forest", params={"n_estimators": 5, "max_depth": 3})
+    ranked = r.importance(spark).agg(
+        F.count("*").alias("ranked"), F.round(F.sum("importance"), ND).alias("total"),
+        F.array_sort(F.collect_list(F.struct("rank", "importance"))).alias("rows")).first()
+    shares = [x["importance"] for x in ranked["rows"]]
+    mean = F.aggregate("cv_scores", F.lit(0.0), lambda x, y: x + y) / F.size("cv_scores")
+    return r.record(spark).select(
+        "model_name", "task_type", F.array_join("feature_names", ",").alias("features"), F.lit(",".join(r.labels)).alias("labels"),
+        F.size("cv_scores").alias("folds"), (F.abs(mean - F.col("cv_mean")) < 2e-4).alias("mean_of_folds"),
+        F.array_join(F.array_sort(F.map_keys("metrics")), ",").alias("metrics"),
+        F.lit(ranked["ranked"]).cast("long").alias("ranked"), F.lit(shares == sorted(shares, reverse=True)).alias("falling"),
+        F.lit(ranked["total"]).alias("total"))
+
+
 # ------------------------------------------------------------------ sources (S1-S10), workflow
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -1090,7 +1123,11 @@ def q_workflow_result(spark, sf):
     return _round(_workflow(spark, sf).df)
 
 
-@_register("workflow_log")
+@_register("workflow_log",
+           f"select cast(1 as int) as step_no, 'Remove Columns' as step, 'Removed 1 columns: l_partkey' as details union all "
+           f"select cast(2 as int), 'Missing Values', 'Applied median to ' || case when count(*) > count(qty) then '1' else '0' end || ' columns' "
+           f"from {_sql_from('lineitem_dirty')} union all "
+           f"select cast(3 as int), 'Feature Scaling', 'Scaled 2 columns using MinMaxScaler'")
 def q_workflow_log(spark, sf):
     return _workflow(spark, sf).log_df(spark)
 
