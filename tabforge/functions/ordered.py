@@ -35,6 +35,7 @@ from tabforge.session import ensure_checkpoint_dir
 
 _PID = "__pid"
 BROADCAST_MAX_ROWS = 1_000_000
+BROADCAST_MAX_BYTES = 64 << 20  # both bound the broadcast: offset tables of running sums beyond this are joined by a shuffle
 
 
 def _cols(xs) -> list[str]:
@@ -81,8 +82,12 @@ def prefix_sums(df: DataFrame, group: Sequence[str] | str | None,
     cond = F.col(_PID) == F.col("__opid")
     for i, g in enumerate(group):
         cond = cond & F.col(g).eqNullSafe(F.col(f"__og{i}"))
-    n_offs = offs.count()
-    out = local.join(F.broadcast(offs) if n_offs <= BROADCAST_MAX_ROWS else offs, cond)
+    width = F.lit(8 * (1 + len(values)))
+    for i in range(len(group)):
+        width = width + 8 + F.coalesce(F.octet_length(F.col(f"__og{i}").cast("string")), F.lit(0))
+    n_offs, size = offs.agg(F.count(F.lit(1)), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
+    small = n_offs <= BROADCAST_MAX_ROWS and size <= BROADCAST_MAX_BYTES
+    out = local.join(F.broadcast(offs) if small else offs, cond)
     return out.select(*[F.col(x) for x in df.columns], *[
         (F.col(f"__lc_{v}") + F.col(f"__off_{v}")).alias(f"{prefix}{v}") for v in values])
 

@@ -1,7 +1,9 @@
 import numpy as np
 import pandas as pd
+import pytest
 from hypothesis import given, settings, strategies as st
 
+from tabforge.functions import ordered
 from tabforge.functions.ordered import exact_quantiles, prefix_sums, top_k_per_group, dense_index
 from pyspark.sql import functions as F
 
@@ -86,3 +88,12 @@ def test_prefix_sums_default_partitioning(spark):
     out = prefix_sums(spark.createDataFrame(pdf).repartition(13), "g", ["k"], ["v"]).toPandas()
     exp = pdf.sort_values(["g", "k"]).groupby("g")["v"].cumsum()
     assert list(out.sort_values(["g", "k"])["cum_v"]) == list(exp)
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_running_sums_with_and_without_broadcast_offsets(spark, monkeypatch, most):
+    monkeypatch.setattr(ordered, "BROADCAST_MAX_BYTES", most)
+    rows = [(g, i, i % 7) for g in ("a" * 50, None, "é") for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, k int, n long")
+    got = {(r["g"], r["k"]): r["cum_n"] for r in prefix_sums(df, "g", ["k"], ["n"], 5).collect()}
+    assert got == {(g, k): sum(i % 7 for i in range(k + 1)) for g, k, _ in rows}
