@@ -30,10 +30,11 @@ def _common(df: DataFrame, label: str, prediction: str) -> tuple[Column, Column]
     return c(label), c(prediction)
 
 
-def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """``(label, prediction, count)`` (long form, one row per cell)."""
+def confusion(df: DataFrame, label: str, prediction: str, weight: str | None = None) -> DataFrame:
+    """``(label, prediction, count)`` (long form, one row per cell). A row of ``df`` counts as ``weight`` rows."""
     y, p = _common(df, label, prediction)
-    return df.groupBy(y.alias("label"), p.alias("prediction")).agg(F.count(F.lit(1)).alias("count"))
+    number = F.sum(c(weight)).cast("long") if weight else F.count(F.lit(1))
+    return df.groupBy(y.alias("label"), p.alias("prediction")).agg(number.alias("count"))
 
 
 def confusion_wide(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -44,10 +45,10 @@ def confusion_wide(df: DataFrame, label: str, prediction: str) -> DataFrame:
     return wide.na.fill(0, [x for x in wide.columns if x != "label"])
 
 
-def per_class(df: DataFrame, label: str, prediction: str) -> DataFrame:
+def per_class(df: DataFrame, label: str, prediction: str, weight: str | None = None) -> DataFrame:
     """``(cls, tp, support, predicted, precision, recall, f1)`` per class seen
     in labels or predictions (zero where undefined, as the reference's library)."""
-    cm = confusion(df, label, prediction)
+    cm = confusion(df, label, prediction, weight)
     t = cm.select(F.col("label").cast("string").alias("cls"), F.col("count").alias("support"),
                   F.lit(0).cast("long").alias("predicted"),
                   F.when(F.col("label") == F.col("prediction"), F.col("count")).otherwise(0).alias("tp"))
@@ -63,9 +64,9 @@ def per_class(df: DataFrame, label: str, prediction: str) -> DataFrame:
     return s.withColumn("f1", f1)
 
 
-def classification_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
+def classification_metrics(df: DataFrame, label: str, prediction: str, weight: str | None = None) -> DataFrame:
     """V1: ``(n, accuracy, weighted_f1, macro_f1)`` in one row."""
-    pc = per_class(df, label, prediction)
+    pc = per_class(df, label, prediction, weight)
     return pc.agg(
         F.sum("support").cast("long").alias("n"),
         F.try_divide(F.sum("tp"), F.sum("support")).alias("accuracy"),
@@ -80,12 +81,14 @@ def accuracy(df: DataFrame, label: str, prediction: str) -> Column:
 
 # ---------------------------------------------------------------- ROC
 
-def _score_counts(df: DataFrame, positive: Column, score: Column, group: Column | None = None) -> DataFrame:
+def _score_counts(df: DataFrame, positive: Column, score: Column, group: Column | None = None,
+                  weight: str | None = None) -> DataFrame:
     keys = ([group.alias("grp")] if group is not None else [F.lit(0).alias("grp")]) + [score.alias("score")]
+    one = c(weight) if weight else F.lit(1)
     # rows without a score or without a label take no part (neither class)
     return df.where(score.isNotNull() & positive.isNotNull()).groupBy(*keys).agg(
-        F.sum(F.when(positive, 1).otherwise(0)).cast("long").alias("pos"),
-        F.sum(F.when(positive, 0).otherwise(1)).cast("long").alias("neg"))
+        F.sum(F.when(positive, one).otherwise(0)).cast("long").alias("pos"),
+        F.sum(F.when(positive, 0).otherwise(one)).cast("long").alias("neg"))
 
 
 def _auc_from_counts(counts: DataFrame) -> DataFrame:
@@ -99,19 +102,20 @@ def _auc_from_counts(counts: DataFrame) -> DataFrame:
                       "n_pos", "n_neg")
 
 
-def roc_auc_binary(df: DataFrame, label: str, score: str, pos_label=1) -> DataFrame:
+def roc_auc_binary(df: DataFrame, label: str, score: str, pos_label=1, weight: str | None = None) -> DataFrame:
     """V2: exact binary ROC AUC of ``score`` for ``label == pos_label``: ``(auc, n_pos, n_neg)``."""
-    counts = _score_counts(df, c(label) == F.lit(pos_label), c(score).cast("double"))
+    counts = _score_counts(df, c(label) == F.lit(pos_label), c(score).cast("double"), weight=weight)
     return _auc_from_counts(counts).drop("grp")
 
 
-def roc_auc_ovr(df: DataFrame, label: str, scores: Mapping[object, str]) -> DataFrame:
+def roc_auc_ovr(df: DataFrame, label: str, scores: Mapping[object, str], weight: str | None = None) -> DataFrame:
     """V3: one-vs-rest AUC per class (class value -> its score column) and
     their macro average: ``(cls, auc)`` rows plus the ``macro`` row."""
-    long = df.select(c(label).alias("__y"), F.inline(F.array(*[
+    rows = [c(weight).alias("__w")] if weight else []
+    long = df.select(c(label).alias("__y"), *rows, F.inline(F.array(*[
         F.struct(F.lit(str(k)).alias("cls"), F.lit(k).alias("__k"), c(col).cast("double").alias("score"))
         for k, col in scores.items()])))
-    counts = _score_counts(long, F.col("__y") == F.col("__k"), F.col("score"), F.col("cls"))
+    counts = _score_counts(long, F.col("__y") == F.col("__k"), F.col("score"), F.col("cls"), "__w" if weight else None)
     per = _auc_from_counts(counts).select(F.col("grp").alias("cls"), "auc")
     # classes absent from the labels have no AUC and are left out of the average
     macro = per.agg(F.avg("auc").alias("auc")).select(F.lit("macro").alias("cls"), "auc")
@@ -131,12 +135,21 @@ def roc_curve(df: DataFrame, label: str, score: str, pos_label=1) -> DataFrame:
 
 # ---------------------------------------------------------------- regression
 
-def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """V4: ``(n, mse, rmse, r2)`` in one pass (r2 = 1 - SSE / SST)."""
+def regression_metrics(df: DataFrame, label: str, prediction: str, weight: str | None = None,
+                       within: str | None = None) -> DataFrame:
+    """V4: ``(n, mse, rmse, r2)`` in one pass (r2 = 1 - SSE / SST). With ``weight`` and ``within`` a row stands for
+    ``weight`` rows of one prediction whose labels have this mean and these squared deviations from it (a pass more)."""
     y, p = c(label).cast("double"), c(prediction).cast("double")
-    a = df.where(y.isNotNull() & p.isNotNull()).agg(
-        F.count(F.lit(1)).alias("n"), F.sum((y - p) * (y - p)).alias("sse"), F.var_pop(y).alias("vp"))
-    sst = F.col("vp") * F.col("n")
+    known = df.where(y.isNotNull() & p.isNotNull())
+    if weight:
+        w = c(weight)
+        mean = known.agg(F.try_divide(F.sum(w * y), F.sum(w))).first()[0]
+        a = known.agg(F.sum(w).cast("long").alias("n"), F.sum(c(within) + w * (y - p) * (y - p)).alias("sse"),
+                      F.sum(c(within) + w * (y - F.lit(mean)) * (y - F.lit(mean))).alias("sst"))
+        sst = F.col("sst")
+    else:
+        a = known.agg(F.count(F.lit(1)).alias("n"), F.sum((y - p) * (y - p)).alias("sse"), F.var_pop(y).alias("vp"))
+        sst = F.col("vp") * F.col("n")
     r2 = F.when(sst == 0, F.when(F.col("sse") == 0, 1.0).otherwise(0.0)).otherwise(1 - F.col("sse") / sst)
     mse = F.try_divide(F.col("sse"), F.col("n"))
     return a.select("n", mse.alias("mse"), F.sqrt(mse).alias("rmse"), r2.alias("r2"))

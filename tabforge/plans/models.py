@@ -108,7 +108,7 @@ def make_estimator(model_name: str, task: str, n_classes: int = 2,
         inner = GBTClassifier(**common, **kw)
         # one binary booster per class, fitted concurrently (each is a cluster job)
         return OneVsRest(classifier=inner, featuresCol=features, labelCol=label,
-                         parallelism=min(n_classes, OVR_PARALLELISM))
+                         parallelism=min(n_classes, OVR_PARALLELISM), **({"weightCol": weight} if weight else {}))
     if task == "regression":
         if fam == "rf":
             return RandomForestRegressor(featureSubsetStrategy="all", **common, **kw)
@@ -125,10 +125,21 @@ def prefix(model, n: int):
     """
     if isinstance(model, OneVsRestModel):
         return model._copyValues(OneVsRestModel(models=[prefix(m, n) for m in model.models]))
-    old, context = model._java_obj, SparkContext._active_spark_context
+    old = model._java_obj
     trees = old.trees()
     if n > len(trees):
         raise ValueError(f"the model has {len(trees)} trees, not {n}")
+    return _of_trees(model, [trees[i] for i in range(n)])
+
+
+def joined(forests: list):
+    """One forest of the trees of several, in their order."""
+    return _of_trees(forests[0], [tree for f in forests for tree in f._java_obj.trees()])
+
+
+def _of_trees(model, trees: list):
+    """A model like ``model`` of these trees; a boosted one keeps the weights of its first trees."""
+    old, context, n = model._java_obj, SparkContext._active_spark_context, len(trees)
     name, ml, gateway = type(model).__name__, context._jvm.org.apache.spark.ml, context._gateway
 
     def first(values, kind):
@@ -146,9 +157,11 @@ def prefix(model, n: int):
     args += [old.numFeatures(), *([old.numClasses()] if classes else [])]
     make = getattr(ml.classification if classes else ml.regression, name)
     new = make(f"{model.uid}_{n}", *args)
-    if name.startswith("RandomForest"):
+    out = model._copyValues(type(model)(new))
+    if name.startswith("RandomForest"):  # a regression forest divides the sum of its trees by this
         new.set(new.getParam("numTrees").w(n))
-    return model._copyValues(type(model)(new))
+        out._set(numTrees=n)
+    return out
 
 
 def staged(points: list[dict[str, Any]]) -> list[tuple[dict[str, Any], list[int]]]:

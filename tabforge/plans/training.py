@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from tabforge.functions import cols as C
 from tabforge.functions import metrics as ME
 from tabforge.operators import split as SP
+from tabforge.plans import cells as CE
 from tabforge.plans import models as MD
 
 TUNING = ("None", "Grid Search", "Random Search")
@@ -101,29 +102,35 @@ def check_features(df: DataFrame, features: Sequence[str]) -> None:
         raise ValueError(f"encode these columns before training (non-numeric features): {bad}")
 
 
-def _prep_pipeline(target: str, features: list[str], task: str) -> Pipeline:
+def _prep_pipeline(target: str, features: list[str], task: str, bins: CE.Binning | None = None) -> Pipeline:
     """Label index (classification, alphabetical like the reference's encoder)
-    and the feature vector; booleans and numbers are cast to double."""
+    and the feature vector; booleans and numbers are cast to double, or to their bins."""
     stages = []
     if task == "classification":
         stages.append(StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc",
                                     handleInvalid="error"))
-    stages.append(VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error"))
+    stages += bins.stages if bins else [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")]
     return Pipeline(stages=stages)
 
 
+def _weights(pred: DataFrame) -> dict[str, str]:
+    return {n: n for n in ("weight", "within") if n in pred.columns}
+
+
 def _score(pred: DataFrame, task: str, metric: str | None = None) -> float:
     if task == "classification":
-        r = pred.agg(F.avg(F.when(F.col("label") == F.col("prediction"), 1.0).otherwise(0.0))).first()[0]
+        hit = F.when(F.col("label") == F.col("prediction"), 1.0).otherwise(0.0)
+        share = F.try_divide(F.sum(hit * F.col("weight")), F.sum("weight")) if "weight" in pred.columns else F.avg(hit)
+        r = pred.agg(share).first()[0]
     else:
-        m = ME.regression_metrics(pred, "label", "prediction").first()
+        m = ME.regression_metrics(pred, "label", "prediction", **_weights(pred)).first()
         r = m["mse"] if metric == "mse" else m["r2"]
     if r is None:
         raise ValueError("no rows to score: the split or fold is empty (too few rows for this test_size / folds)")
     return float(r)
 
 
-def _fold_fits(est_factory, data: DataFrame, task: str, points: list[dict], folds: int,
+def _fold_fits(table: CE.Rows | CE.Cells, model_name: str, n_classes: int, points: list[dict], folds: int,
                metric: str | None, parallelism: int) -> list[list[float]]:
     """Score every (point, fold): fit on the other folds, score on the fold. Points that
     differ in the number of trees only are prefixes of one fit (``models.prefix``)."""
@@ -131,12 +138,12 @@ def _fold_fits(est_factory, data: DataFrame, task: str, points: list[dict], fold
 
     def run(job):
         fit, own, k = job
-        model = est_factory(fit).fit(data.where(F.col("fold") != k))
-        held, out = data.where(F.col("fold") == k), []
+        model = table.fit(model_name, n_classes, fit, k)
+        held, out = table.rows_of(k), []
         for i in own:
             fewer = points[i].get("n_estimators") != fit.get("n_estimators")
             part = MD.prefix(model, points[i]["n_estimators"]) if fewer else model
-            out.append((i, k, _score(part.transform(held), task, metric)))
+            out.append((i, k, _score(part.transform(held), table.task, metric)))
         return out
 
     scores = [[0.0] * folds for _ in points]
@@ -147,22 +154,23 @@ def _fold_fits(est_factory, data: DataFrame, task: str, points: list[dict], fold
 
 
 def evaluate_predictions(pred: DataFrame, task: str, n_classes: int) -> dict[str, float | None]:
-    """Test-set metrics (V1-V4) on ``label``/``prediction`` (+ probability)."""
+    """Test-set metrics (V1-V4) on ``label``/``prediction`` (+ probability, + weight)."""
+    own = _weights(pred)
     if task == "regression":
-        m = ME.regression_metrics(pred, "label", "prediction").first()
+        m = ME.regression_metrics(pred, "label", "prediction", **own).first()
         return {"mse": m["mse"], "rmse": m["rmse"], "r2": m["r2"]}
-    cm = ME.classification_metrics(pred, "label", "prediction").first()
+    cm = ME.classification_metrics(pred, "label", "prediction", **own).first()
     out = {"accuracy": cm["accuracy"], "f1_score": cm["weighted_f1"], "roc_auc": None}
     score_col = "probability" if "probability" in pred.columns else "rawPrediction"
     if score_col in pred.columns:
-        arr = pred.select("label", vector_to_array(F.col(score_col)).alias("__s"))
+        arr = pred.select("label", *own, vector_to_array(F.col(score_col)).alias("__s"))
         present = [r[0] for r in arr.select("label").distinct().collect()]  # at most n_classes rows
         if n_classes == 2 and len(present) == 2:
-            s = arr.select("label", F.col("__s")[1].alias("score"))
-            out["roc_auc"] = ME.roc_auc_binary(s, "label", "score", 1.0).first()["auc"]
+            s = arr.select("label", *own, F.col("__s")[1].alias("score"))
+            out["roc_auc"] = ME.roc_auc_binary(s, "label", "score", 1.0, **own).first()["auc"]
         elif n_classes > 2:
-            s = arr.select("label", *[F.col("__s")[i].alias(f"s{i}") for i in range(n_classes)])
-            per = ME.roc_auc_ovr(s, "label", {float(i): f"s{i}" for i in range(n_classes)})
+            s = arr.select("label", *own, *[F.col("__s")[i].alias(f"s{i}") for i in range(n_classes)])
+            per = ME.roc_auc_ovr(s, "label", {float(i): f"s{i}" for i in range(n_classes)}, **own)
             out["roc_auc"] = per.where(F.col("cls") == "macro").first()["auc"]
     return out
 
@@ -180,6 +188,9 @@ def train(df: DataFrame, target: str, model: str = "Random Forest", test_size: f
     classifier are stratified (sizes differ by one at most per class), also
     where rows repeat; the rows are shuffled for it. ``exact=False`` places
     rows by seeded hash instead: no shuffle, sizes in expectation only.
+
+    A table far larger than the number of its cells is trained as weighted cells
+    (``plans/cells.py``), each row in its cell.
     """
     if tuning not in TUNING:
         raise ValueError(f"unknown tuning method {tuning!r}")
@@ -196,56 +207,55 @@ def train(df: DataFrame, target: str, model: str = "Random Forest", test_size: f
         marked = SP.exact_folds(marked, folds, seed, ["__split", target] if task == "classification" else ["__split"])
     else:
         marked = SP.assign_folds(SP.mark_split(data, test_size, seed, name="__split"), folds, seed)
-    prep = _prep_pipeline(target, features, task).fit(data)
+    if tuning == "None":
+        points = [dict(params or {})]
+    else:
+        g = grid or MD.HYPERPARAMETER_GRIDS[model if model in MD.HYPERPARAMETER_GRIDS else "XGBoost"]
+        points = MD.grid_points(g) if tuning == "Grid Search" else MD.random_points(g, n_iter, seed)
+    known = all(set(p) <= CE.KNOWN for p in points)
+    bins = CE.binning(data, features, target, task) if known else None
+    prep = _prep_pipeline(target, features, task, bins).fit(data)
     labels = list(prep.stages[0].labels) if task == "classification" else None
     n_classes = len(labels) if labels else 0
 
-    def assemble(part: DataFrame, extra: list[str]) -> DataFrame:
-        out = prep.transform(part)
+    if bins:
+        table = CE.Cells(prep.transform(marked), bins, task, folds, "label" if labels else target)
+    else:
+        # one assembled table for both parts, spread over the cores (tree learners
+        # re-scan it once per level; no-op when there are enough partitions) and
+        # persisted once: search, CV and evaluation never re-run the upstream plan
+        base = prep.transform(marked)
         if task == "regression":
-            out = out.withColumn("label", C.c(target).cast("double"))
-        return out.select("features", "label", *extra)
-
-    # one assembled table for both parts, spread over the cores (tree learners
-    # re-scan it once per level; no-op when there are enough partitions) and
-    # persisted once: search, CV and evaluation never re-run the upstream plan
-    base = assemble(marked, ["fold", "__split"])
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if base.rdd.getNumPartitions() < cores:
-        base = base.repartition(cores)
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
-    base.count()  # materialise once before concurrent fits read it
-    train_part = base.where(F.col("__split") == "train").select("features", "label", "fold")
-    test_part = base.where(F.col("__split") == "test").select("features", "label")
+            base = base.withColumn("label", C.c(target).cast("double"))
+        base = base.select("features", "label", "fold", "__split")
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if base.rdd.getNumPartitions() < cores:
+            base = base.repartition(cores)
+        base = base.persist(StorageLevel.MEMORY_AND_DISK)
+        base.count()  # materialise once before concurrent fits read it
+        table = CE.Rows(base, task)
     test_pred = None
     try:
-        def factory(p):
-            return MD.make_estimator(model, task, n_classes, p)
-
-        search: list[dict] = []
-        if tuning == "None":
-            best = dict(params or {})
-        else:
-            g = grid or MD.HYPERPARAMETER_GRIDS[model if model in MD.HYPERPARAMETER_GRIDS else "XGBoost"]
-            points = MD.grid_points(g) if tuning == "Grid Search" else MD.random_points(g, n_iter, seed)
+        best, search = points[0], []
+        if tuning != "None":
             metric = None if task == "classification" else "mse"
-            fold_scores = _fold_fits(factory, train_part, task, points, folds, metric, parallelism)
+            fold_scores = _fold_fits(table, model, n_classes, points, folds, metric, parallelism)
             means = [sum(s) / len(s) for s in fold_scores]
             pick = (max if task == "classification" else min)(range(len(points)), key=lambda i: means[i])
             best = points[pick]
             search = [{"params": p, "score": m} for p, m in zip(points, means)]
-        fitted = factory(best).fit(train_part)
-        train_score = _score(fitted.transform(train_part), task)
-        test_pred = fitted.transform(test_part).persist(StorageLevel.MEMORY_AND_DISK)
+        fitted = table.fit(model, n_classes, best)
+        train_score = _score(fitted.transform(table.train()), task)
+        test_pred = fitted.transform(table.test()).persist(StorageLevel.MEMORY_AND_DISK)
         test_score = _score(test_pred, task)
         cv = []
         if use_cv:
-            cv = _fold_fits(factory, train_part, task, [best], folds, None, parallelism)[0]
+            cv = _fold_fits(table, model, n_classes, [best], folds, None, parallelism)[0]
         metrics = evaluate_predictions(test_pred, task, n_classes)
     finally:
         if test_pred is not None:
             test_pred.unpersist()
-        base.unpersist()
+        table.unpersist()
     full = PipelineModel(stages=[*prep.stages, fitted])
     return TrainResult(model, task, train_score, test_score, cv, best, features, metrics, full,
                        labels, search)
