@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabforge.functions import cols as C
-from tabforge.functions.ordered import dense_index
+from tabforge.functions.ordered import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, dense_index
 
 # Fixed values from the reference.
 # One-hot refuses a column with more distinct values than this.
@@ -76,17 +76,20 @@ def label_encode(df: DataFrame, columns: Sequence[str],
     """Replace each column by its code (bigint), in place.
 
     The codes (``maps``, or :func:`label_maps` of this table) are a distributed
-    table that is joined per column; Spark broadcasts it where its bytes are few.
+    table that is joined per column, broadcast where its rows and bytes are few: Spark
+    can't tell its size from the plan and would shuffle the rows by value.
     A value that ``maps`` does not know becomes NULL.
     """
     cols = validate_columns(df, columns)
     if maps is None:
         maps = label_maps(df, cols)
+    rows, size = maps.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("value") + 16), F.lit(0))).first()
+    small = rows <= BROADCAST_MAX_ROWS and size <= BROADCAST_MAX_BYTES
     out = df
     for i, n in enumerate(cols):
         m = maps.where(F.col("column") == n).select(
             F.col("value").alias(f"__v{i}"), F.col("code").alias(f"__c{i}"))
-        out = out.join(m, _as_label(out, n) == F.col(f"__v{i}"), "left")
+        out = out.join(F.broadcast(m) if small else m, _as_label(out, n) == F.col(f"__v{i}"), "left")
     return out.select(*[F.col(f"__c{cols.index(f.name)}").cast("long").alias(f.name) if f.name in cols else C.c(f.name)
                         for f in df.schema.fields])
 

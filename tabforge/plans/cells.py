@@ -42,6 +42,7 @@ from tabforge.session import python_workers
 
 MAX_BINS = 32            # fixed value: MLlib's default, also for small tables
 FROM_ROWS = 1 << 20      # smaller tables are trained as rows
+RANKS = 1000             # a quantile's rank is off by 1/1000 of the rows at most; a bin holds 1/32
 PAYS = 4                 # rows per cell from which cells are worth their aggregation
 CELLS_PER_TASK, MOST_CELLS_PER_TASK = 50_000, 2_000_000
 TREES_AT_ONCE = 3        # trees of one forest fitted at the same time
@@ -58,7 +59,7 @@ def _edges(df: DataFrame, features: Sequence[str]) -> dict[str, list[float]]:
     number = df.agg(*[F.approx_count_distinct(x, 0.02).alias(f"d{i}") for i, x in enumerate(of.values())]).first()
     shares = [i / MAX_BINS for i in range(1, MAX_BINS)]
     # the estimate decides who is asked for what, with a margin; the values themselves are exact
-    found = df.agg(*[F.percentile_approx(x, shares, 10_000).alias(f"q{i}") for i, x in enumerate(of.values()) if number[i] > MAX_BINS / 1.5],
+    found = df.agg(*[F.percentile_approx(x, shares, RANKS).alias(f"q{i}") for i, x in enumerate(of.values()) if number[i] > MAX_BINS / 1.5],
                    *[F.collect_set(x).alias(f"v{i}") for i, x in enumerate(of.values()) if number[i] <= 1.5 * MAX_BINS]).first().asDict()
     out = {}
     for i, n in enumerate(of):

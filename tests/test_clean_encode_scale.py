@@ -118,3 +118,13 @@ def test_label_encode_two_columns(spark):
     assert all(out[i] == (i % 3, i % 30) for i in range(60))
     empty = spark.createDataFrame([], "x string")
     assert EN.label_encode(empty, ["x"]).count() == 0
+
+
+def test_label_codes_do_not_shuffle_the_table(spark):
+    df = spark.range(1000).selectExpr("id", "if(id % 2 = 0, 'x', 'y') as s")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = EN.label_encode(df, ["s"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
