@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabforge.llm.common import (
-    ASCII_LOWER, SPACED, U64, bitmap, cut, documents, gram_hashes, in_bitmap, keyed, mapped, mix, slices, spans, stream,
+    ASCII_LOWER, SPACED, U64, bitmap, cut, documents, few, gram_hashes, in_bitmap, keyed, mapped, mix, slices, spans, stream,
     text_hash, within, word_hashes,
 )
 from tabforge.llm.components import components
@@ -278,11 +278,11 @@ def texts_of(named: DataFrame, docs: DataFrame) -> DataFrame:
     base = keyed(docs)
     texts = mapped(base, some, ", ".join(f"{c} {t}" for c, t in base.dtypes)).where("text is not null")
     same = texts["doc_id"].eqNullSafe(named["doc_id"]) & (texts["th"] == named["th"])
-    return texts.join(named, same).select("v", "text").dropDuplicates(["v"])
+    return texts.join(few(named), same).select("v", "text").dropDuplicates(["v"])
 
 
 def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose texts reach ``threshold``."""
+    """Those of ``pairs`` (checkpointed) whose texts reach ``threshold``."""
 
     def run(batches):
         for b in batches:
@@ -292,7 +292,6 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float)
                 near = overlap(rows.column("ta").to_pylist(), rows.column("tb").to_pylist())
                 yield rows.select(["a", "b"]).filter(pa.array(near >= threshold, pa.bool_()))
 
-    pairs = cut(pairs)
     texts = texts_of(cut(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(reps.select("v", "doc_id", "th"), "v")), docs)
     with_a = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("ta")), "a")
     with_b = with_a.join(texts.select(F.col("v").alias("b"), F.col("text").alias("tb")), "b")
@@ -311,10 +310,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shared = cut(members.join(heads, "key"))  # from here on only buckets with several members
 
     tested = cut(shared.where("v <> to").select(F.col("to").alias("a"), F.col("v").alias("b")).distinct())
-    edges = cut(verify(alike(tested, reps), reps, docs, threshold))
+    edges = cut(verify(cut(alike(tested, reps)), reps, docs, threshold))
     labels, fine = components(edges), None
     for every in (False, True):
-        known = shared.join(labels, "v", "left").select("key", "v", F.coalesce("c", "v").alias("c"), "n")
+        known = shared.join(few(labels), "v", "left").select("key", "v", F.coalesce("c", "v").alias("c"), "n")
         sizes = known.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(
             F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("all"))
         mixed = sizes.where("top.k < all").select("key", F.col("top.c").alias("major"), (F.col("all") - F.col("top.k")).alias("t"))
@@ -327,7 +326,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         tested = tested.union(new)
         edges = cut(edges.union(verify(new, reps, docs, threshold)))
         labels = components(edges)
-    classes = reps.select("d1", "d2", "v", F.struct("doc_id", "th").alias("own")).join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    classes = reps.select("d1", "d2", "v", F.struct("doc_id", "th").alias("own")).join(few(labels), "v", "left").withColumn("c", F.coalesce("c", "v"))
     first = classes.groupBy("c").agg(F.min("own").alias("first"))
     classes = classes.join(first, "c").select(F.col("d1").alias("k1"), F.col("d2").alias("k2"), "first")
     return sketches.select("doc_id", "th", "d1", "d2").join(
