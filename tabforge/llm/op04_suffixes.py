@@ -409,7 +409,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     docs_ = docs.withColumn("text", F.col("text").cast("string"))
     lost = find_repeats(docs_, length, anchor).groupBy(F.when(F.col("id") != NO_ID, F.col("id")).alias("i"), F.col("th").alias("t")).agg(
         F.collect_set(F.struct("lo", "hi")).alias("lost"))  # at most the bytes of a document
-    base = docs_.select(F.struct("*").alias("row"), F.col("doc_id").alias("d"), text_hash().alias("h"), "text")
+    base = docs_.select(F.struct("*").alias("row"), F.col("doc_id").alias("d"), text_hash().alias("h"))
     both = base.join(lost, F.col("d").eqNullSafe(F.col("i")) & (F.col("h") == F.col("t")), "left")
 
     def run(batches):
@@ -432,7 +432,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
                 [rows.column("row"), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), pa.array(kept, pa.binary())],
                 names=["row", "spans", "kept"])
 
-    return mapped(both.select("row", "text", "lost"), run,
+    # a text is shuffled and sorted once, in its row; only the Python task is given it beside the row
+    return mapped(both.select("row", F.col("row.text").alias("text"), "lost"), run,
                   f"row {both.schema['row'].dataType.simpleString()}, spans array<struct<lo:long,hi:long>>, kept binary")
 
 
