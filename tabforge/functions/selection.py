@@ -29,6 +29,7 @@ from tabforge.functions import cols as C
 
 CELLS = 1 << 18        # rows of a histogram that the driver reads
 MAX_GROUPS = 4096      # groups with thresholds of their own (a broadcast table of as many rows)
+PLAIN_CUTS = 32        # thresholds of a group that a row is compared with one by one, in generated code
 _H, _G, _P, _T, _S, _N = "__sel_h", "__sel_g", "__sel_part", "__sel_t", "__sel_split", "__sel_n"
 
 
@@ -121,6 +122,14 @@ def thresholds(df: DataFrame, h: Column, groups: Groups, ranks: Sequence[Sequenc
     return wanted
 
 
+def _passed(most: int) -> Column:
+    """Number of the row's thresholds, at most ``most``, that are below its hash. A lambda over the array would keep
+    Spark from generating code for every scan that asks for the part."""
+    if most > PLAIN_CUTS:
+        return F.size(F.filter(_T, lambda t: t < F.col(_H)))
+    return sum((F.when(F.get(_T, F.lit(i)) < F.col(_H), 1).otherwise(0) for i in range(most)), F.lit(0))
+
+
 def deal(df: DataFrame, h: Column, groups: Groups, cuts: Sequence[Sequence[int]], name: str,
          facts: Sequence[tuple[str, T.DataType, list]] = ()) -> DataFrame:
     """``df`` with ``name``, each row's part: rows of a group with a rank (by ``h``, from 0) below its first cut
@@ -137,7 +146,7 @@ def deal(df: DataFrame, h: Column, groups: Groups, cuts: Sequence[Sequence[int]]
     facts = [("__sel_z", T.IntegerType(), zero), (_T, T.ArrayType(T.LongType()), [[w.hash for w in ws] for ws in found]), *facts]
     keep = [*df.columns, *(n for n, _, _ in facts[2:])]
     rows = _with_groups(df.withColumn(_H, h), groups, facts)
-    part = F.col("__sel_z") + F.size(F.filter(_T, lambda t: t < F.col(_H)))
+    part = F.col("__sel_z") + _passed(max((len(ws) for ws in found), default=0))
     if not any(divided):
         return rows.select(*[C.c(n) for n in keep], part.cast("int").alias(name))
     table = df.sparkSession.createDataFrame([(g, x) for g, xs in enumerate(divided) for x in xs], f"{_G} int, {_H} long")

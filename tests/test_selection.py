@@ -85,3 +85,21 @@ def test_balancing_of_one_hot_row(spark):
     assert df.exceptAll(over).isEmpty() and over.join(df.distinct(), ["y", "x"], "left_anti").isEmpty()
     spread = [r["count"] for r in over.where("y = 'c'").groupBy("x").count().collect()]
     assert sorted(spread) == [33, 33, 34]
+
+
+def test_parts_are_told_in_generated_code(spark, monkeypatch):
+    df = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_tax", "l_quantity", "l_extendedprice", "l_returnflag")
+    out = SP.exact_folds(df, 5, stratify="l_returnflag")
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(SE, "PLAIN_CUTS", 0)  # more thresholds than that are counted by a lambda
+    assert collections.Counter(out.collect()) == collections.Counter(SP.exact_folds(df, 5, stratify="l_returnflag").collect())
+
+
+def test_groups_of_few_thresholds_beside_others(spark):
+    # a class of one row has no threshold inside it, the others have one or four
+    rows = [("a", 0)] + [("b", i) for i in range(3)] + [("c", i) for i in range(40)] + [(None, i) for i in range(11)]
+    out = SP.exact_folds(spark.createDataFrame(rows, "y string, x int"), 5, stratify="y").collect()
+    assert sorted((r.y or "", r.x) for r in out) == sorted((y or "", x) for y, x in rows)
+    for y, n in (("a", 1), ("b", 3), ("c", 40), (None, 11)):
+        sizes = collections.Counter(r.fold for r in out if r.y == y)
+        assert sum(sizes.values()) == n and max(sizes.values()) == -(-n // 5) and min(sizes[k] for k in range(5)) == n // 5
