@@ -940,7 +940,7 @@ FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumbe
 
 def _clf_table(spark, sf, target_expr: str = "l_returnflag") -> DataFrame:
     df = _t(spark, sf, "lineitem").selectExpr(*FEATURES, f"{target_expr} as target")
-    return EN.label_encode(df, ["l_linestatus"])
+    return EN.label_encode(df, ["l_linestatus"], plain=True)  # training scans it often
 
 
 def _reg_table(spark, sf) -> DataFrame:

@@ -46,10 +46,10 @@ class Groups:
     schema: T.StructType
 
 
-def group_sizes(df: DataFrame, columns: Sequence[str]) -> Groups:
+def group_sizes(df: DataFrame, columns: Sequence[str], rows: int | None = None) -> Groups:
     columns = list(columns)
     if not columns:
-        return Groups([], [()], [df.count()], T.StructType())
+        return Groups([], [()], [df.count() if rows is None else rows], T.StructType())
     found = df.groupBy(*[C.c(n) for n in columns]).agg(F.count(F.lit(1)).alias(_N)).limit(MAX_GROUPS + 1).collect()
     if len(found) > MAX_GROUPS:
         raise TooManyGroups(f"more than {MAX_GROUPS} groups by {columns}")

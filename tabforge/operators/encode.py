@@ -16,6 +16,8 @@ from tabforge.functions.ordered import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS,
 # Fixed values from the reference.
 # One-hot refuses a column with more distinct values than this.
 ONEHOT_MAX_DISTINCT = 50
+# label_encode(plain=True): text columns of at most so many codes need no join.
+PLAIN_CODES = 32
 # Text used for a missing value by label encoding (str() of a float NaN).
 MISSING_LABEL = "nan"
 
@@ -72,12 +74,14 @@ def label_maps(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def label_encode(df: DataFrame, columns: Sequence[str],
-                 maps: DataFrame | None = None) -> DataFrame:
+                 maps: DataFrame | None = None, plain: bool = False) -> DataFrame:
     """Replace each column by its code (bigint), in place.
 
     The codes (``maps``, or :func:`label_maps` of this table) are a distributed
     table that is joined per column, broadcast where its rows and bytes are few: Spark
     can't tell its size from the plan and would shuffle the rows by value.
+    ``plain`` compares a text column of at most ``PLAIN_CODES`` codes with their values instead,
+    for results that are scanned often: each scan would join again.
     A value that ``maps`` does not know becomes NULL.
     """
     cols = validate_columns(df, columns)
@@ -85,8 +89,15 @@ def label_encode(df: DataFrame, columns: Sequence[str],
         maps = label_maps(df, cols)
     rows, size = maps.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("value") + 16), F.lit(0))).first()
     small = rows <= BROADCAST_MAX_ROWS and size <= BROADCAST_MAX_BYTES
+    few = _few_codes(df, maps, cols) if plain and rows <= PLAIN_CODES * len(cols) else {}
     out = df
     for i, n in enumerate(cols):
+        if n in few:
+            label, code = _as_label(df, n), F.lit(None).cast("long")
+            for value, number in few[n].items():
+                code = F.when(label == value, F.lit(number)).otherwise(code)
+            out = out.withColumn(f"__c{i}", code)
+            continue
         m = maps.where(F.col("column") == n).select(
             F.col("value").alias(f"__v{i}"), F.col("code").alias(f"__c{i}"))
         out = out.join(F.broadcast(m) if small else m, _as_label(out, n) == F.col(f"__v{i}"), "left")
@@ -94,6 +105,18 @@ def label_encode(df: DataFrame, columns: Sequence[str],
                         for f in df.schema.fields])
 
 
+def _few_codes(df: DataFrame, maps: DataFrame, columns: Sequence[str]) -> dict[str, dict[str, int]]:
+    """Codes by value of the text columns that have few; a value with several codes stays a row for each, by join."""
+    found = maps.select("column", "value", "code").where(F.col("value").isNotNull()).collect()
+    out = {}
+    for n in columns:
+        own = [r for r in found if r["column"] == n]
+        codes = {r["value"]: r["code"] for r in own}
+        if len(codes) == len(own) <= PLAIN_CODES and isinstance(C.field(df, n).dataType, T.StringType):
+            out[n] = codes
+    return out
+
+
 class LabelEncoder:
     """Label codes as a fit/apply step: the code table is a DataFrame, so that it can be saved, loaded and
     joined to new data and to streams; nothing is collected."""

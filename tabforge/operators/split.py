@@ -68,6 +68,10 @@ def task_stats(df: DataFrame, target: str) -> DataFrame:
 
 
 def detect_task(df: DataFrame, target: str) -> str:
+    if target in df.columns:
+        dt = C.field(df, target).dataType
+        if not (C.is_numeric(dt) or isinstance(dt, T.BooleanType)):
+            return "classification"  # whatever its counts
     return task_stats(df, target).first()["task_type"]
 
 
@@ -141,15 +145,17 @@ def _dealt(df: DataFrame, seed: int, groups: Sequence[str], shares: Sequence[tup
     return expand(parts, F.col("__p.n"), [*cols, name])
 
 
-def exact_split(df: DataFrame, test_size: float = DEFAULT_TEST_SIZE, seed: int = DEFAULT_SEED, name: str = "split") -> DataFrame:
+def exact_split(df: DataFrame, test_size: float = DEFAULT_TEST_SIZE, seed: int = DEFAULT_SEED, name: str = "split",
+                rows: int | None = None) -> DataFrame:
     """``split`` = 'train' | 'test' per row: ceil(n * test_size) test rows, also where rows repeat.
 
     The test rows are the first by seeded hash, told by one threshold that a histogram of the hashes finds: no row
     is shuffled but copies of the row at the threshold. :func:`mark_split` saves the histogram's two scans.
+    ``rows`` is the number of rows, where it is known.
     """
     if not 0.0 < test_size < 1.0:
         raise ValueError("test_size must be in (0, 1)")
-    whole = SE.group_sizes(df, [])
+    whole = SE.group_sizes(df, [], rows)
     n_test = math.ceil(Fraction(str(test_size)) * whole.sizes[0])
     out = SE.deal(df, row_hash(df, seed), whole, [[n_test]], "__part")
     return out.withColumn(name, F.when(F.col("__part") == 0, "test").otherwise("train")).drop("__part")

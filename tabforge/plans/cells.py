@@ -50,13 +50,31 @@ TREES_AT_ONCE = 3        # trees of one forest fitted at the same time
 KNOWN = {"n_estimators", "max_depth", "min_samples_split", "learning_rate"}
 
 
-def _edges(df: DataFrame, features: Sequence[str]) -> dict[str, list[float]]:
+@dataclass
+class Facts:
+    """What one scan tells of a table."""
+    rows: int
+    unlabelled: int              # rows without a target
+    incomplete: int              # rows without a target or a feature
+    distinct: dict[str, int]     # estimates
+
+
+def facts(df: DataFrame, features: Sequence[str], target: str) -> Facts:
+    """Sizes of a table and estimates of the distinct values of its columns, in one scan."""
+    lacks = {n: C.is_missing(n, C.field(df, n).dataType) for n in [*features, target]}
+    any_ = F.greatest(*lacks.values(), F.lit(False))
+    found = df.agg(F.count(F.lit(1)), F.count_if(lacks[target]), F.count_if(any_), *[
+        F.approx_count_distinct(C.c(n) if n == target else C.c(n).cast("double"), 0.02) for n in lacks]).first()
+    return Facts(found[0], found[1], found[2], dict(zip(lacks, found[3:])))
+
+
+def _edges(df: DataFrame, features: Sequence[str], distinct: dict[str, int]) -> dict[str, list[float]]:
     """Inner edges of each feature's bins (booleans have none): between all values if there are at most ``MAX_BINS``,
-    else quantiles of all rows. Two scans; about 50 values and 31 quantiles per feature reach the driver."""
+    else quantiles of all rows. One scan; about 50 values and 31 quantiles per feature reach the driver."""
     of = {n: C.c(n).cast("double") for n in features if not isinstance(C.field(df, n).dataType, T.BooleanType)}
     if not of:
         return {}
-    number = df.agg(*[F.approx_count_distinct(x, 0.02).alias(f"d{i}") for i, x in enumerate(of.values())]).first()
+    number = [distinct[n] for n in of]
     shares = [i / MAX_BINS for i in range(1, MAX_BINS)]
     # the estimate decides who is asked for what, with a margin; the values themselves are exact
     found = df.agg(*[F.percentile_approx(x, shares, RANKS).alias(f"q{i}") for i, x in enumerate(of.values()) if number[i] > MAX_BINS / 1.5],
@@ -85,24 +103,30 @@ class Binning:
         return [*([self.bucketizer] if self.bucketizer else []), assembler]
 
 
-def binning(df: DataFrame, features: Sequence[str], target: str, task: str) -> Binning | None:
-    """Bins for ``df``, or None where its cells are too many to be worth it (an estimate by one more scan)."""
-    rows = df.count()
-    if rows < FROM_ROWS:
+def binning(df: DataFrame, features: Sequence[str], target: str, task: str, known: Facts | None = None) -> Binning | None:
+    """Bins for ``df``, or None where its cells are too many to be worth it: an estimate by one more scan, which a
+    table with rows enough for all combinations of its bins and classes does not need."""
+    known = known or facts(df, features, target)
+    if known.rows < FROM_ROWS:
         return None
-    if df.where(F.greatest(*[C.is_missing(n, C.field(df, n).dataType) for n in [*features, target]], F.lit(False))).limit(1).count():
+    if known.incomplete:
         return None  # rows with missing features are the assembler's error
-    edges = _edges(df, features)
+    edges = _edges(df, features, known.distinct)
     taken = set(df.columns)
     names = {n: next(x for x in (f"__bin{j}_{i}" for j in range(len(taken) + 1)) if x not in taken) for i, n in enumerate(features)}
     cut = [n for n in features if edges.get(n)]
     bucketizer = Bucketizer(splitsArray=[[-math.inf, *edges[n], math.inf] for n in cut], inputCols=cut,
                             outputCols=[names[n] for n in cut], handleInvalid="error") if cut else None
     columns = [names[n] if n in cut else n for n in features]
+    most = math.prod(len(edges[n]) + 1 if n in cut else known.distinct[n] for n in features)
+    if task == "classification":
+        most *= known.distinct[target]
+    if most * PAYS <= known.rows:
+        return Binning(bucketizer, columns, most)
     binned = bucketizer.transform(df) if bucketizer else df
     key = [C.c(n) for n in columns] + ([C.c(target)] if task == "classification" else [])
     cells = binned.agg(F.approx_count_distinct(F.xxhash64(*key), 0.02)).first()[0]
-    if cells * PAYS > rows:
+    if cells * PAYS > known.rows:
         return None
     return Binning(bucketizer, columns, cells)
 

@@ -86,3 +86,40 @@ def test_prefix_of_a_regression_forest_predicts_the_mean_of_its_trees(spark):
     part = MD.prefix(MD.make_estimator("Random Forest", "regression", 0, {"n_estimators": 4, "max_depth": 2}).fit(df), 2)
     first = df.first()["features"]
     assert abs(part.transform(df).first()["prediction"] - sum(t.predict(first) for t in part.trees) / 2) < 1e-9
+
+
+def _scans(spark, df):
+    """``df`` and a counter of the rows that scans of it read."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+    return spark.createDataFrame(df.rdd.map(seen), df.schema), read
+
+
+def test_a_forest_over_cells_scans_its_table_six_times(spark, rows, as_cells):
+    df, read = _scans(spark, rows.select("a", "b", "c", "k"))
+    r = TR.train(df, "k", "Random Forest", params={"n_estimators": 3, "max_depth": 3}, use_cv=False)
+    # facts, edges, two for the split, labels, cells
+    assert as_cells and read.value <= 6 * 12_000, read.value / 12_000
+    # the folds that nobody asked for change nothing
+    two = TR.train(rows.select("a", "b", "c", "k"), "k", "Random Forest", params={"n_estimators": 3, "max_depth": 3}, use_cv=True)
+    assert len(two.cv_scores) == 5 and not r.cv_scores
+    assert [*r.importance(spark).collect()] == [*two.importance(spark).collect()] and r.metrics == two.metrics
+
+
+def test_facts_are_those_of_the_rows(spark):
+    df = spark.createDataFrame([(1.0, 1, "x"), (float("nan"), 2, "y"), (None, 2, None), (3.0, None, None)], "a double, b int, k string")
+    known = CE.facts(df, ["a", "b"], "k")
+    assert (known.rows, known.unlabelled, known.incomplete) == (4, 2, 3)
+    empty = CE.facts(df.where("b > 5"), ["a", "b"], "k")
+    assert (empty.rows, empty.unlabelled, empty.incomplete) == (0, 0, 0)
+    with pytest.raises(ValueError, match="2 rows have no k"):
+        TR.train(df, "k")
+
+
+def test_labels_of_signed_zeros_stay_apart(spark):
+    df = spark.range(60).selectExpr("cast(id as double) as a", "case id % 3 when 0 then 0.0D when 1 then -0.0D else 1.0D end as k")
+    r = TR.train(df, "k", params={"n_estimators": 2, "max_depth": 2}, use_cv=False, task="classification")
+    assert r.labels == ["-0.0", "0.0", "1.0"]

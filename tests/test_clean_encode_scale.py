@@ -128,3 +128,20 @@ def test_label_codes_do_not_shuffle_the_table(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_few_label_codes_are_compared_not_joined(spark):
+    df = spark.createDataFrame([("x", 1), (None, 2), ("q", 3), ("x", 4)], "a string, n int")
+    out = EN.label_encode(df, ["a"], plain=True)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in out.collect()) == [(0, 2), (1, 3), (2, 1), (2, 4)] and dict(out.dtypes)["a"] == "bigint"
+    # unknown values are NULL; a value with two codes stays two rows; null values match nothing
+    maps = spark.createDataFrame([("a", "x", 5), ("a", "x", 6), ("a", None, 7), ("b", "q", 8)], "column string, value string, code long")
+    assert sorted(tuple(r) for r in EN.label_encode(df, ["a"], maps, plain=True).where("a is not null").collect()) == [(5, 1), (5, 4), (6, 1), (6, 4)]
+    plain = EN.label_encode(df, ["a"], maps.where("code > 5"), plain=True)
+    assert sorted((r["n"], r["a"]) for r in plain.collect()) == [(1, 6), (2, None), (3, None), (4, 6)]
+    assert [r["a"] for r in EN.label_encode(df, ["a"], maps.where("false"), plain=True).collect()] == [None] * 4
+    many = spark.range(100).selectExpr("cast(id as string) as a", "id as n")
+    assert sorted(r["a"] for r in EN.label_encode(many, ["a"], plain=True).collect()) == list(range(100))
+    numbers = spark.createDataFrame([(2.5,), (None,), (1.0,)], "a double")
+    assert sorted(r["a"] for r in EN.label_encode(numbers, ["a"], plain=True).collect()) == [0, 1, 2]
